@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oblong.llm.tokens import UnitCache, rank_encoding
+from oblong.llm.tokens import UnitCache, blocks, joined_encoder
 
 #: The rank file with the vocabulary of byte_bpe_50k.json; the ids are equal (tests compare them with that file's).
 RANKS = "byte_bpe_50k.tiktoken"
@@ -105,8 +106,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = rank_encoding(path)
-        cache = UnitCache(lambda unit: np.array(encoding.encode_ordinary(unit), dtype="<u4").tobytes())
+        cache = UnitCache(joined_encoder(path))
         packer = Packer(capacity, tolerance, TaskContext.get().partitionId() << 36)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -120,9 +120,11 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
         rows: list[tuple] = []
         for batch in batches:
-            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(packer.add(document, b"".join([*(cache.all(text) if text else ()), end])))
-                if len(rows) >= 5000:
+            for part in blocks(batch, 1):
+                encoded = cache.encode(pc.fill_null(part.column(1), ""))
+                for document, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    rows.extend(packer.add(document, ids + end))
+                if len(rows) >= 1000:
                     yield table(rows)
                     rows = []
         rows.extend(packer.rest())

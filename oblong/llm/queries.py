@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import packing
+from oblong.llm import packing, sp_bpe
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,14 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_bpe.encode_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_harmonic_packing": op2_harmonic_packing,
+        "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
     }
 
 
