@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import packing, sp_bpe
+from oblong.llm import packing, pii, sp_bpe
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_read(spark, sf_dir, "documents"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op2_harmonic_packing": op2_harmonic_packing,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
     }
