@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import packing, pii, sp_bpe
+from oblong.llm import packing, pii, quality, sp_bpe
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op2_harmonic_packing": op2_harmonic_packing,
+        "op4_distribution_divergence": op4_distribution_divergence,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
     }
 

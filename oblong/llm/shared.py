@@ -31,11 +31,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def join_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' UTF-8 bytes, lower-cased, each followed by a line feed, and the place where each ends."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
-    return data, np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+def join_texts(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes, A-Z lower-cased, each followed by a line feed, and the place after each line feed."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8) if raw else np.zeros(0, dtype=np.uint8)
+    return LOWER[data] if lower else data, np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
 
 
 def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,17 +63,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
-def blocks(items: list, sizes: list[int], most: int):
-    """Runs of items whose sizes add up to about ``most``; a larger item stands alone."""
-    part, held = [], 0
-    for item, size in zip(items, sizes, strict=True):
-        if part and held + size > most:
-            yield part
-            part, held = [], 0
-        part.append(item)
-        held += size
-    if part:
-        yield part
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` successive values, in order; shorter input gives none."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = hashes[:n].copy()
+    for k in range(1, size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n + k])
+    return out
+
+
+def spread(bounds: np.ndarray) -> np.ndarray:
+    """For each item the number of the text it is in, from the texts' item counts added up."""
+    return np.repeat(np.arange(len(bounds)), np.diff(bounds, prepend=0))
+
+
+def per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over each text's bytes or words."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return np.diff(total[ends], prepend=0)
 
 
 def remainder(id_column: Column, by: int) -> Column:
