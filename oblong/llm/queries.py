@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import packing, pii, quality, sp_bpe
+from oblong.llm import language, packing, passages, pii, quality, sp_bpe
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,16 +25,26 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op6_output_codes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(_read(spark, sf_dir, "documents"))
 
 
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op2_harmonic_packing": op2_harmonic_packing,
         "op4_distribution_divergence": op4_distribution_divergence,
+        "op6_output_codes_language": op6_output_codes_language,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
+        "op9_attention_quality": op9_attention_quality,
     }
 
 

@@ -82,7 +82,7 @@ def spread(bounds: np.ndarray) -> np.ndarray:
 def per_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over each text's bytes or words."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    return np.diff(total[ends], prepend=0)
+    return np.diff(total[ends], prepend=0) if len(ends) else np.zeros(0, dtype=np.int64)
 
 
 def remainder(id_column: Column, by: int) -> Column:
