@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import language, packing, passages, pii, quality, sp_bpe
+from oblong.llm import language, packing, passages, pii, quality, sp_bpe, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_output_codes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(spark, warc.write(_read(spark, sf_dir, "pages")))
+
+
 def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -43,10 +47,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_harmonic_packing": op2_harmonic_packing,
         "op4_distribution_divergence": op4_distribution_divergence,
         "op6_output_codes_language": op6_output_codes_language,
+        "op7_content_addressed_warc": op7_content_addressed_warc,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
         "op9_attention_quality": op9_attention_quality,
     }
 
 
+#: Null html counts as empty, as DuckDB would digest it to null.
+OP7_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_content_addressed_warc": OP7_SQL,
+    }
