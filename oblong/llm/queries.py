@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import language, packing, passages, pii, quality, sp_bpe, warc
+from oblong.llm import embeddings, language, packing, passages, pii, quality, sp_bpe, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op5_pca_tiled_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_output_codes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op2_harmonic_packing": op2_harmonic_packing,
         "op4_distribution_divergence": op4_distribution_divergence,
+        "op5_pca_tiled_near_duplicates": op5_pca_tiled_near_duplicates,
         "op6_output_codes_language": op6_output_codes_language,
         "op7_content_addressed_warc": op7_content_addressed_warc,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
