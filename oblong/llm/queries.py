@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import embeddings, language, packing, passages, pii, quality, sp_bpe, warc
+from oblong.llm import embeddings, jaccard, language, packing, passages, pii, quality, sp_bpe, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
         "op2_harmonic_packing": op2_harmonic_packing,
+        "op3_multi_order_jaccard": op3_multi_order_jaccard,
         "op4_distribution_divergence": op4_distribution_divergence,
         "op5_pca_tiled_near_duplicates": op5_pca_tiled_near_duplicates,
         "op6_output_codes_language": op6_output_codes_language,
