@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oblong.llm import embeddings, jaccard, language, packing, passages, pii, quality, sp_bpe, warc
+from oblong.llm import embeddings, jaccard, language, packing, passages, pii, quality, sp_bpe, suffix_tree, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": op1_weak_supervision_pii,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_content_addressed_warc": op7_content_addressed_warc,
         "op8_sentencepiece_bpe": op8_sentencepiece_bpe,
         "op9_attention_quality": op9_attention_quality,
+        "op10_suffix_tree_scores": op10_suffix_tree_scores,
     }
 
 
