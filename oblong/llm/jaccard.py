@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oblong.llm.components import components
-from oblong.llm.shared import discard, join_texts, mix, stored, windows, word_hashes, words_of
+from oblong.llm.shared import discard, join_texts, mix, stored, windows, without, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 WORDS = 5
@@ -281,3 +281,16 @@ def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = sized.join(found, "sid", "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id. Rows with a null id stay.
+
+    Ids that occur in several rows are few; only their rows are shuffled to keep one of each.
+    """
+    found = stored(join_documents(docs, id_column, text_column).where("doc_id is not null").withColumnRenamed("doc_id", id_column), "components")
+    left = without(docs, found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct(), id_column)
+    repeated = stored(found.groupBy(id_column).count().where("count > 1").select(id_column), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    return without(left, repeated, id_column).unionByName(left.join(repeated, id_column, "left_semi").dropDuplicates([id_column]))

@@ -23,6 +23,8 @@ from oblong.llm.tokens import blocks, strings
 
 DIMENSIONS = 4096
 UNDETERMINED = "und"
+#: Texts whose best codeword is less than this ahead of the next one are ambiguous.
+AMBIGUOUS = 0.7
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -125,7 +127,7 @@ def predict(texts: list[str | None], model: LanguageModel) -> tuple[list[str], n
     return [model.languages[i] if w else UNDETERMINED for i, w in zip(best, written, strict=True)], score, ahead
 
 
-def identify(docs: DataFrame, model: LanguageModel | None = None, ambiguous_within: float = 0.7, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None = None, ambiguous_within: float = AMBIGUOUS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """Language of every whole text; without a model one is trained on the rows whose id's remainder by 3 is not 1.
 
     Null texts and texts without a letter are ``und`` with score 0 and ambiguous. Null and repeated ids are allowed, other columns are
@@ -141,3 +143,17 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, ambiguous_with
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), (remainder(F.col(id_column), 3) == 1).alias("held_out"), F.col(text_column).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep(docs: DataFrame, model: LanguageModel | None = None, ambiguous_within: float = AMBIGUOUS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language that is not ambiguous, with all their columns."""
+    own = model or train(docs.where(remainder(F.col(id_column), 3) != 1), text_column, lang_column)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, at):
+                _, _, ahead = predict(strings(part.column(at)), own)
+                yield part.filter(pa.array(ahead >= ambiguous_within, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -189,6 +189,16 @@ def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(upto, prepend=0), "word_chars": per_text(chars, upto), "n_symbols": per_text(_SYMBOL[data], ends), "n_dup_lines": np.array(lines, dtype=np.int64), "n_repeat_words": per_text(covered, upto)}
 
 
+def verdicts(texts: list[str | None], known: References, rules: Rules) -> tuple[dict[str, np.ndarray], list[str]]:
+    """Counts, verdicts and distances of some texts, and their nearest languages."""
+    out = base_counts(texts)
+    by_class, by_word, lang = divergence(texts, known)
+    n = out["n_words"]
+    failed = (n < rules.least_words) | (100 * out["n_repeat_words"] > rules.most_repeat_percent * n)
+    far = (n >= rules.class_words) & (by_class > rules.class_distance) | (n >= rules.common_words) & (by_word > rules.common_distance)
+    return out | {"base_failed": failed, "kept": ~failed & ~far, "class_distance": by_class, "word_distance": by_word}, lang
+
+
 def judge(docs: DataFrame, known: References | None = None, rules: Rules = Rules(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """Counts and verdict for every whole text; without references they are learned from ``docs``.
 
@@ -200,14 +210,22 @@ def judge(docs: DataFrame, known: References | None = None, rules: Rules = Rules
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 1):
-                texts = strings(part.column(1))
-                base = base_counts(texts)
-                by_class, by_word, lang = divergence(texts, own)
-                n = base["n_words"]
-                failed = (n < rules.least_words) | (100 * base["n_repeat_words"] > rules.most_repeat_percent * n)
-                far = (n >= rules.class_words) & (by_class > rules.class_distance) | (n >= rules.common_words) & (by_word > rules.common_distance)
-                columns = [part.column(0), *[pa.array(v, pa.int64()) for v in base.values()], pa.array(failed), pa.array(~failed & ~far), pa.array(by_class), pa.array(by_word), pa.array(lang, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *base, "base_failed", "kept", "class_distance", "word_distance", "nearest_lang"])
+                found, lang = verdicts(strings(part.column(1)), own, rules)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values()), pa.array(lang, pa.string())], ["doc_id", *found, "nearest_lang"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, nearest_lang string"
     return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, known: References | None = None, rules: Rules = Rules(), text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that neither the base rules nor the distances reject, with all their columns."""
+    own = known or learn(docs, rules, text_column, lang_column)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, at):
+                kept, _ = verdicts(strings(part.column(at)), own, rules)
+                yield part.filter(pa.array(kept["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

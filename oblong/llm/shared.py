@@ -118,3 +118,8 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows whose id is not among ``ids``; rows with a null id stay. Up to ``broadcast_rows`` ids are broadcast, more are joined by a shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, column, "left_anti")
