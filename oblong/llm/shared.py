@@ -123,3 +123,15 @@ def discard(df: DataFrame) -> None:
 def without(rows: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows whose id is not among ``ids``; rows with a null id stay. Up to ``broadcast_rows`` ids are broadcast, more are joined by a shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, column, "left_anti")
+
+
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most ``most`` of them, found without sorting: the rows at or above the lowest count
+    that few enough rows reach. Counts beyond 2**16 are compared by powers of two."""
+    level = F.when(F.col(count) < 1 << 16, F.col(count).cast("double")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col(count).cast("double")))))
+    reached, least = 0, float("inf")
+    for at, n in sorted(rows.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if reached + n > most:
+            break
+        reached, least = reached + n, at
+    return rows.where(F.col(count) >= least) if reached else rows.limit(0)
