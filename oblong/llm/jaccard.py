@@ -7,8 +7,8 @@ sizes and the number of shared prefix tokens then bound the overlap of each pair
 go. What is left must share prefix tokens under the other orders too, and is then verified on the whole sets.
 
 Sets that are equal are one vertex. In a group of many near copies not all pairs are formed: the holders of a token are
-first compared with two leaders only; of the remaining pairs only those between different components are formed, as
-others can't change a component.
+first compared with a few leaders, in rounds; of the remaining pairs only those between different components are formed,
+as others can't change a component.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oblong.llm.components import components
-from oblong.llm.shared import discard, join_texts, mix, stored, windows, without, word_hashes, words_of
+from oblong.llm.shared import discard, join_texts, mix, most_frequent, stored, windows, without, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 WORDS = 5
 #: The threshold as a fraction: SHARED / ALL of the union must be shared.
 SHARED, ALL = 3, 4
 ORDERS = 3
+#: The rounds' leaders by the numbers of their hashes.
+LEADERS = (range(0, 2), range(2, 6), range(6, 12))
 _SEEDS = [mix(np.array([k + 1], dtype=np.uint64))[0] for k in range(ORDERS)]
 
 
@@ -123,9 +125,9 @@ def frequent_tokens(surveyed: DataFrame, least: int = 8, most: int = 1 << 20) ->
     tokens the rarer ones count as rare.
     """
     counts = surveyed.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "a").limit(most).toPandas()
-    tokens = rows["a"].to_numpy(dtype=np.int64).view(np.uint64)
-    rank = np.minimum(31, 1 + np.log2(np.maximum(rows["n"].to_numpy(dtype=float), 1)).astype(np.int64))
+    rows = most_frequent(counts, "n", most).toArrow()
+    tokens = rows["a"].to_numpy().view(np.uint64)
+    rank = np.minimum(31, 1 + np.log2(np.maximum(rows["n"].to_numpy().astype(float), 1)).astype(np.int64))
     order = np.argsort(tokens)
     return tokens[order], rank[order]
 
@@ -192,24 +194,31 @@ def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
     return sizes & ((SHARED + ALL) * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= SHARED * (F.col(n) + F.col(n2)))
 
 
-def leader_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of each token's holders of similar size with two of them, chosen by two hashes."""
+def leader_pairs(entries: DataFrame, leaders: range) -> DataFrame:
+    """Pairs of each token's holders of similar size with some of them in other components; one leader for each hash numbered in ``leaders``."""
     banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ALL / SHARED))))
-    lead = lambda k: F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n", "pos")).alias(f"lead{k}")
-    leaders = banded.groupBy("key", "band").agg(F.count("*").alias("holders"), lead(0), lead(1)).where("holders > 1").drop("holders")
-    each = banded.join(leaders, ["key", "band"]).select("sid", "n", "pos", F.explode(F.array("lead0", "lead1")).alias("lead"))
-    each = each.select("sid", "n", "pos", F.col("lead.sid").alias("sid2"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"))
-    return each.where((F.col("sid") != F.col("sid2")) & _possible("n", "pos", "n2", "pos2")).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    lead = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n", "pos", "component")).alias(f"lead{k}") for k in leaders]
+    found = banded.groupBy("key", "band").agg(F.count("*").alias("holders"), *lead).where("holders > 1").drop("holders")
+    own = ("sid", "n", "pos", "component")
+    each = banded.join(found, ["key", "band"]).select(*own, F.explode(F.array_distinct(F.array(*[f"lead{k}" for k in leaders]))).alias("lead"))
+    each = each.select(*own, *[F.col(f"lead.{c}").alias(f"{c}2") for c in own])
+    return each.where((F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
 
-def remaining_pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """All possible pairs of a token's holders that are in different components."""
+def mixed_entries(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries of tokens whose holders are in different components, with their components."""
     own = entries.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     own = stored(own.select("key", "sid", "n", "pos", "component"), "entries")
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = own.join(mixed, "key")
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "component")])
-    return left.join(right, "key").where((F.col("sid") < F.col("sid2")) & (F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    left = stored(own.join(mixed, "key"), "entries")
+    discard(own)
+    return left
+
+
+def remaining_pairs(entries: DataFrame) -> DataFrame:
+    """All possible pairs of a token's holders that are in different components."""
+    other = entries.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "component")])
+    return entries.join(other, "key").where((F.col("sid") < F.col("sid2")) & (F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
 
 
 def bounded(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -270,11 +279,18 @@ def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     representatives = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"))
     entries = stored(shared_only(prefixes(named, frequent, rank)), "prefixes")
     lists = stored(entries.groupBy("sid").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("key").alias("keys")), "lists")
-    links = verified(stored(bounded(leader_pairs(entries), lists), "pairs"), named, representatives, frequent, rank)
-    groups = components(links)
-    rest = stored(bounded(remaining_pairs(entries, groups), lists), "pairs")
-    if rest.limit(1).count():
-        groups = components(links.unionByName(verified(rest, named, representatives, frequent, rank)))
+    groups, links, left = None, None, entries.withColumn("component", F.col("sid"))
+    for leaders in (*LEADERS, None):
+        pairs = stored(bounded(remaining_pairs(left) if leaders is None else leader_pairs(left, leaders), lists), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        new = verified(pairs, named, representatives, frequent, rank)
+        links = new if links is None else links.unionByName(new)
+        groups = components(links)
+        if leaders is not None:
+            left = mixed_entries(left.drop("component"), groups)
+    if groups is None:
+        groups = docs.sparkSession.createDataFrame([], "id long, component long")
     vertices = representatives.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lowest = vertices.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = vertices.join(lowest, "component").select("sid", "component_id")
