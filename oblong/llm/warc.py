@@ -105,10 +105,12 @@ def records(spark: SparkSession, archive: Archive) -> DataFrame:
 
 def parsed(found: DataFrame) -> DataFrame:
     """What the bytes of records say: type, ids, URL, digest, and the payload's bytes as their lengths place them."""
-    blank = F.lit("\r\n\r\n").cast("binary")
-    rows = found.withColumn("at", F.position(blank, F.col("record"))).withColumn("head", F.expr("decode(substring(record, 1, at - 1), 'UTF-8')"))
+    blank = F.lit("\r\n\r\n")
+    # One character a byte, as position counts characters and substring of binary counts bytes.
+    place = lambda name: F.position(blank, F.decode(F.col(name), "ISO-8859-1"))
+    rows = found.withColumn("at", place("record")).withColumn("head", F.expr("decode(substring(record, 1, at - 1), 'UTF-8')"))
     rows = rows.withColumn("block", F.expr("substring(record, at + 4)"))  # HTTP header, payload, end of the record
-    rows = rows.withColumn("http", F.position(blank, F.col("block")) + 3)
+    rows = rows.withColumn("http", place("block") + 3)
     rows = rows.withColumn("held", F.regexp_extract("head", r"(?m)^Content-Length: ([0-9]+)", 1).cast("int"))
     field = lambda name, value: F.regexp_extract("head", rf"(?m)^{name}: {value}", 1)
     page = lambda name: F.nullif(field(name, f"<{_ID}(-?[0-9]*)>"), F.lit("")).cast("long")
