@@ -79,11 +79,12 @@ GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Micha
 IBAN_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
 
-_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,200}+(?![A-Za-z0-9_/+@.-]*@)")
+_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+(?![A-Za-z0-9_/+@.-]*@)")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _PERSON = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(TITLES) + r")\.? |(?=(?:" + "|".join(GIVEN_NAMES) + r") ))[A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?")
 _ASSIGNED = re.compile(r"([A-Za-z_-]+)\s*[=:]\s*[\"']?\Z")
+_VALUE = re.compile(r"(?<![A-Za-z_-])([A-Za-z_-]++)\s*+[=:]\s*+[\"']?([^\s\"',;&<>]++)")
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|(?:ghp_|gho_|sk-|AIza|xoxb-|xoxp-)[A-Za-z0-9_-]{16,}\Z|github_pat_[A-Za-z0-9_]{20,}\Z")
 _NAMED = re.compile(r"\b(?:name|named|called|by|from|dear|hello|signed)\b\W*\Z", re.I)
@@ -148,9 +149,18 @@ class Candidate:
     features: tuple[int, ...]
 
 
+def _assigned_values(text: str) -> Iterator[Span]:
+    """What follows a credential word and = or :, without the punctuation that ends a sentence; the classifier decides on it."""
+    for m in _VALUE.finditer(text):
+        if any(w in m[1].lower() for w in CREDENTIAL_WORDS) and (value := m[2].rstrip(".!?:)]}")):
+            yield "secret", m.start(2), m.start(2) + len(value)
+
+
 def candidates(text: str, base: list[Span]) -> list[Candidate]:
     """Spans of further kinds to decide on; those that overlap a base span or an earlier candidate are left out."""
     found: list[tuple[str, int, int]] = [("person", *m.span()) for m in _PERSON.finditer(text)] if " " in text else []
+    if "=" in text or ":" in text:
+        found += _assigned_values(text)
     if _DIGITS.search(text):
         found += [("secret", *m.span()) for m in _RUN.finditer(text)]
         found += [("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
