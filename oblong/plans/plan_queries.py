@@ -70,7 +70,7 @@ def frank_wolfe_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep = linear.Layout(p.a, p.b, p.low.copy(), p.high, p.origins)
         keep.low[2::4], keep.low[3::4] = s.x[2::4], s.x[3::4]  # sizes only grow, so areas stay
         deg = float(plan * 7 % 360)
-        x, trace, status = linear.frank_wolfe(keep, s.x, deg, 0.5, most=8)
+        x, trace, status = linear.frank_wolfe(keep, s.x, deg, 0.5, most=50)
         return [(plan, status, len(trace), linear.daylight(s.x, deg)[0], linear.daylight(x, deg)[0], keep.contains(x, 1e-5))]
 
     return per_plan(derived.rooms(spark, sf_dir), improve, "plan_id long, status string, iterations long, before double, after double, inside boolean")
@@ -222,7 +222,7 @@ def permutation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, b = (rows.loc[rows["line"] % 2 == k, "truth"].to_numpy(float) for k in (0, 1))
         if len(a) < 2 or len(b) < 2:
             return []
-        statistic, p = ks_permutation(a, b, seed=cluster, draws=49)
+        statistic, p = ks_permutation(a, b, seed=cluster)
         return [(cluster, len(rows), statistic, p, p < 0.05)]
 
     rows = derived.measures(spark, sf_dir).withColumn("at", F.col("part_id"))
