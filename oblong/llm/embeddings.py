@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oblong.llm.components import components
-from oblong.llm.shared import stored
+from oblong.llm.shared import lean, stored
 
 _SLACK = 1e-9  # for rounding in the turned coordinates; the deciding product has none
 
@@ -39,7 +39,7 @@ def _classes(vectors: DataFrame, id_column: str, vector_column: str, label_colum
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["vec_id", "label", "size", "digest", "x"])
 
     chosen = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
-    return chosen.mapInArrow(run, "vec_id long, label string, size int, digest binary, x binary")
+    return chosen.mapInArrow(lean(run), "vec_id long, label string, size int, digest binary, x binary")
 
 
 def _units(data: list[bytes]) -> np.ndarray:
@@ -63,7 +63,7 @@ def principal_axes(distinct: DataFrame) -> dict[int, np.ndarray]:
         rows = [(size, i, row.tolist()) for size, table in sums.items() for i, row in enumerate(table)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["size", "i", "row"])
 
-    parts = distinct.select("size", "x").mapInArrow(run, "size int, i int, row array<double>")
+    parts = distinct.select("size", "x").mapInArrow(lean(run), "size int, i int, row array<double>")
     cells = parts.select("size", "i", F.posexplode("row").alias("j", "v")).groupBy("size", "i", "j").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for size, i, j, v in cells.collect():
@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile_rows: int
             first = [float((_units([x]) @ axes[size][:, 0])[0]) for size, x in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.float64())], [*batch.schema.names, "p"])
 
-    placed = distinct.mapInArrow(leading, "label string, size int, digest binary, rep long, copies long, x binary, p double")
+    placed = distinct.mapInArrow(lean(leading), "label string, size int, digest binary, rep long, copies long, x binary, p double")
     sorted_rows = placed.repartitionByRange("label", "size", "p", "digest").sortWithinPartitions("label", "size", "p", "digest")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile_rows: int
         if held:
             yield tile()
 
-    cut = stored(sorted_rows.mapInArrow(tiles, "tile binary, label string, size int, low double, high double, digests binary, copies array<long>, xs binary"), "tiles")
+    cut = stored(sorted_rows.mapInArrow(lean(tiles), "tile binary, label string, size int, low double, high double, digests binary, copies array<long>, xs binary"), "tiles")
     facts = cut.select("tile", "label", "size", "low", "high")
     other = facts.select(F.col("tile").alias("tile2"), "label", "size", F.col("low").alias("low2"), F.col("high").alias("high2"))
     # On one axis, vectors of length one at p and q have a product of at most pq + sqrt((1 - pp)(1 - qq)): they are apart by an angle at least.
@@ -183,7 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile_rows: int
                     yield pa.RecordBatch.from_arrays([pa.array(names[touched].tolist(), pa.binary()), pa.array(count[touched].astype(np.int64)), pa.array(names[root[touched]].tolist(), pa.binary()), pa.array([label] * len(touched), pa.string())], ["digest", "links", "root", "label"])
 
     # A digest may occur under several labels, so vertices are named by label and digest.
-    found = stored(work.mapInArrow(compare, "digest binary, links long, root binary, label string"), "links")
+    found = stored(work.mapInArrow(lean(compare), "digest binary, links long, root binary, label string"), "links")
     name = lambda c: F.concat(F.hex(F.col(c)), F.lit("@"), F.col("label"))
     degree = found.groupBy("label", "digest").agg(F.sum("links").alias("links"))
     spanning = found.select(name("digest").alias("a"), name("root").alias("b")).where("a <> b")

@@ -4,7 +4,8 @@ Two sets of shingles whose Jaccard index reaches the threshold share a token in
 tokens, if a prefix is long enough: all but ceil(threshold * n) of n tokens, plus one. Here each order puts frequent tokens
 last and is random among tokens of like frequency. Under the first order prefixes are joined on their tokens; positions,
 sizes and the number of shared prefix tokens then bound the overlap of each pair, and pairs that can't reach the threshold
-go. What is left must share prefix tokens under the other orders too, and is then verified on the whole sets.
+go. What is left must share prefix tokens under each of the other orders too; only the pairs that pass them all meet their
+whole sets and are verified.
 
 Sets that are equal are one vertex. In a group of many near copies not all pairs are formed: the holders of a token are
 first compared with a few leaders, in rounds; of the remaining pairs only those between different components are formed,
@@ -13,6 +14,7 @@ as others can't change a component.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -20,15 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oblong.llm.components import components
-from oblong.llm.shared import discard, join_texts, mix, most_frequent, stored, windows, without, word_hashes, words_of
+from oblong.llm.shared import discard, gathered, hubs_of, join_texts, lean, looked_up, mix, most_frequent, stored, windows, with_both, without, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 WORDS = 5
 #: The threshold as a fraction: SHARED / ALL of the union must be shared.
 SHARED, ALL = 3, 4
 ORDERS = 3
+#: One in so many single sightings of a token is counted.
+SAMPLED = 64
+#: Bits of an order's keys that hold the frequency's rank, and the rank from which a token's holders are dealt out over several tasks.
+_RANK_AT, _DEALT = 58, 13
 #: The rounds' leaders by the numbers of their hashes.
 LEADERS = (range(0, 2), range(2, 6), range(6, 12))
 _SEEDS = [mix(np.array([k + 1], dtype=np.uint64))[0] for k in range(ORDERS)]
@@ -71,22 +78,31 @@ def order_keys(tokens: np.ndarray, order: int, frequent: np.ndarray, rank: np.nd
     return hashed | np.where(frequent[at] == tokens, rank[at], 0).astype(np.uint64) << np.uint64(58)
 
 
-def similar(x: np.ndarray, y: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> bool:
-    """Whether two sets reach the threshold: first the prefixes under the further orders, then the whole sets."""
+def further_prefixes(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> list[bytes]:
+    """The prefixes of a set under the orders after the first, as sorted 32-bit names: equal tokens have equal names."""
+    size = len(tokens) - needed(len(tokens)) + 1
+    out = []
     for order in range(1, ORDERS):
-        prefixes = []
-        for s in (x, y):
-            keys = order_keys(s, order, frequent, rank)
-            size = len(s) - needed(len(s)) + 1
-            prefixes.append(np.partition(keys, size - 1)[:size])
-        if not np.isin(prefixes[0], prefixes[1]).any():
-            return False
+        keys = order_keys(tokens, order, frequent, rank) if len(tokens) else tokens
+        out.append(np.unique(np.partition(keys, size - 1)[:size].astype(np.uint32)).tobytes() if len(tokens) else b"")
+    return out
+
+
+def meet(x: bytes, y: bytes) -> bool:
+    """Whether two prefixes share a name."""
+    return bool(np.isin(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)).any())
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two whole sets reach the threshold."""
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return ALL * shared >= SHARED * (len(x) + len(y) - shared)
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, c): 0 for a document with the size and the id of its set, 1 for a token that some task saw twice or more with its count."""
+    """Rows (kind, a, b, c): 0 for a document with the size and the id of its set; 1 for a token that some task saw twice or more, with
+    its count; 2 for a token that a task saw once: every SAMPLED-th such sighting, drawn anew in each task, so that tokens spread
+    thinly over many tasks are counted too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,9 +111,11 @@ def survey(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > 1
+            own = mix(np.array([tokens[0]], dtype=np.uint64) + np.uint64(len(tokens)))[0]  # differs from flush to flush
+            drawn = mix(tokens ^ own) % np.uint64(SAMPLED) == 0
+            keep = (counts > 1) | drawn
             tokens, counts = tokens[keep].view(np.int64), counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), dtype=np.int32)), pa.array(tokens), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(tokens), dtype=np.int64))], ["kind", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.where(counts > 1, 1, 2).astype(np.int32)), pa.array(tokens), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(tokens), dtype=np.int64))], ["kind", "a", "b", "c"])
 
         for batch in batches:
             for part in blocks(batch, 1):
@@ -112,10 +130,10 @@ def survey(docs: DataFrame) -> DataFrame:
                 if size > 4_000_000:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long")
+    return docs.mapInArrow(lean(run), "kind int, a long, b long, c long")
 
 
 def frequent_tokens(surveyed: DataFrame, least: int = 8, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +142,9 @@ def frequent_tokens(surveyed: DataFrame, least: int = 8, most: int = 1 << 20) ->
     Only the order depends on them, and any order gives the same result, so the list may be bounded: beyond ``most``
     tokens the rarer ones count as rare.
     """
-    counts = surveyed.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= least)
+    seen = surveyed.where("kind > 0").groupBy("a").agg(F.sum(F.when(F.col("kind") == 1, F.col("b")).otherwise(0)).alias("sure"), F.count_if(F.col("kind") == 2).alias("drawn"))
+    n = F.col("sure") + F.when(F.col("drawn") > 1, SAMPLED * F.col("drawn")).otherwise(F.col("drawn"))  # one draw may be chance
+    counts = seen.select("a", n.alias("n")).where(F.col("n") >= least)
     rows = most_frequent(counts, "n", most).toArrow()
     tokens = rows["a"].to_numpy().view(np.uint64)
     rank = np.minimum(31, 1 + np.log2(np.maximum(rows["n"].to_numpy().astype(float), 1)).astype(np.int64))
@@ -155,7 +175,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
                 columns = [np.concatenate(out), np.repeat([i for i, _ in sets], sizes), np.repeat([len(s) for _, s in sets], sizes).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), np.repeat([p[-1] for p in out], sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sid", "n", "pos", "last"])
 
-    return docs.mapInArrow(run, "key long, sid long, n int, pos int, last long")
+    return docs.mapInArrow(lean(run), "key long, sid long, n int, pos int, last long")
 
 
 def shared_only(entries: DataFrame) -> DataFrame:
@@ -166,7 +186,7 @@ def shared_only(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: pa.RecordBatch | None = None  # the last row so far, not yet decided on, and the key of the row before it
         key_before = None
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             rows = batch if before is None else pa.concat_batches([before, batch])
@@ -185,7 +205,7 @@ def shared_only(entries: DataFrame) -> DataFrame:
             if key == key_before or key >= 1 << 58:
                 yield before
 
-    return sorted_rows.mapInArrow(run, entries.schema)
+    return sorted_rows.mapInArrow(lean(run), entries.schema)
 
 
 def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
@@ -194,13 +214,26 @@ def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
     return sizes & ((SHARED + ALL) * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= SHARED * (F.col(n) + F.col(n2)))
 
 
+def _band(n: str) -> Column:
+    """Sizes of linked sets are in the same band or in adjacent ones; the half keeps their quotients off the limit."""
+    return F.floor(F.log(F.col(n) + 0.5) / float(np.log(ALL / SHARED)))
+
+
+def _salts() -> Column:
+    """Over how many tasks a token's holders are dealt out: its rank tells how many these are."""
+    over = F.shiftrightunsigned("key", _RANK_AT) - _DEALT
+    return F.when(over > 0, F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {_RANK_AT}) - {_DEALT} AS int))")).otherwise(F.lit(1))
+
+
 def leader_pairs(entries: DataFrame, leaders: range) -> DataFrame:
     """Pairs of each token's holders of similar size with some of them in other components; one leader for each hash numbered in ``leaders``."""
-    banded = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ALL / SHARED))))
+    banded = entries.withColumn("band", _band("n"))
     lead = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n", "pos", "component")).alias(f"lead{k}") for k in leaders]
-    found = banded.groupBy("key", "band").agg(F.count("*").alias("holders"), *lead).where("holders > 1").drop("holders")
+    found = banded.groupBy("key", "band").agg(F.count("*").alias("holders"), *lead).where("holders > 1")
+    found = found.select("key", "band", F.array_distinct(F.array(*[f"lead{k}" for k in leaders])).alias("leads"), F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
     own = ("sid", "n", "pos", "component")
-    each = banded.join(found, ["key", "band"]).select(*own, F.explode(F.array_distinct(F.array(*[f"lead{k}" for k in leaders]))).alias("lead"))
+    dealt = banded.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(-1)), _salts()).cast("int"))
+    each = dealt.join(found, ["key", "band", "salt"]).select(*own, F.explode("leads").alias("lead"))
     each = each.select(*own, *[F.col(f"lead.{c}").alias(f"{c}2") for c in own])
     return each.where((F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
@@ -216,28 +249,39 @@ def mixed_entries(entries: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(entries: DataFrame) -> DataFrame:
-    """All possible pairs of a token's holders that are in different components."""
-    other = entries.select("key", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "component")])
-    return entries.join(other, "key").where((F.col("sid") < F.col("sid2")) & (F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    """All possible pairs of a token's holders that are in different components.
+
+    Where the first common token of a linked pair stands in the smaller set, at most a seventh of that set comes before it
+    (for a threshold of 3/4): the overlap is at most what is left of it. So only such entries are looked up, in their own
+    band of sizes and in the one above.
+    """
+    small = entries.where((SHARED + ALL) * (F.col("n") - F.col("pos")) >= 2 * SHARED * F.col("n"))
+    small = small.select("key", F.explode(F.array(_band("n"), _band("n") + 1)).alias("band"), _salts().alias("salts"), *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "component")])
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    large = entries.withColumn("band", _band("n")).withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(-1)), _salts()).cast("int"))
+    ordered = (F.col("n") > F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2"))
+    both = large.join(small, ["key", "band", "salt"]).where(ordered & (F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2"))
+    return both.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
 
-def bounded(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, lists: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """Pairs whose shared prefix tokens allow the threshold.
 
     Of the set whose prefix ends first, a token of the prefix that is in the other set is in that set's prefix too; so the
     overlap is at most the number of shared prefix tokens and of the tokens after that prefix.
     """
-    a = lists.select(*[F.col(c).alias(f"{c}_a") for c in lists.columns])
-    b = lists.select(*[F.col(c).alias(f"{c}_b") for c in lists.columns])
-    both = pairs.join(a, F.col("a") == F.col("sid_a")).join(b, F.col("b") == F.col("sid_b"))
+    both = with_both(pairs, lists, "sid", hubs)
     first = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
     after = F.ceil(first * SHARED / ALL) - 1
     most = F.size(F.array_intersect("keys_a", "keys_b")) + after
     return both.where((SHARED + ALL) * most >= SHARED * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, frequent: np.ndarray, rank: np.ndarray, broadcast_rows: int = 200_000) -> DataFrame:
-    """The pairs that reach the threshold. Only texts of sets that stand in a pair are read again."""
+def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, frequent: np.ndarray, rank: np.ndarray, hubs: DataFrame | None, broadcast_rows: int = 200_000) -> DataFrame:
+    """The pairs that reach the threshold. Only texts of sets that stand in a pair are read again.
+
+    The prefixes under the further orders come first; only pairs that meet in all of them are given their whole sets.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(representatives, "sid").select(F.col("rep").alias("doc_id"))
     wanted = stored(wanted, "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "doc_id", "left_semi")
@@ -246,29 +290,44 @@ def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, freq
         for batch in batches:
             for part in blocks(batch, 1):
                 found = shingle_sets(strings(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "tokens"])
+                further = [further_prefixes(s, frequent, rank) for s in found]
+                columns = [pa.array([set_id(s) for s in found], pa.int64()), *[pa.array(p, pa.binary()) for p in zip(*further, strict=True)], pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sid", *_FURTHER, "tokens"])
+
+    # A represented id may stand in rows with other texts: their sets are of no pair here, or equal to one that is.
+    known = texts.select("doc_id", "text").mapInArrow(lean(sets), f"sid long, {', '.join(f'{c} binary' for c in _FURTHER)}, tokens binary")
+    known = stored(known.dropDuplicates(["sid"]), "sets")
 
-    known = texts.select("doc_id", "text").mapInArrow(sets, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    known = stored(known, "sets")
-    both = pairs.join(known.withColumnsRenamed({"sid": "a", "tokens": "x"}), "a").join(known.withColumnsRenamed({"sid": "b", "tokens": "y"}), "b").select("a", "b", "x", "y")
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for name in _FURTHER:
+                x, y = batch.column(f"{name}_a"), batch.column(f"{name}_b")
+                keep[keep] = [meet(x[int(i)].as_buffer(), y[int(i)].as_buffer()) for i in np.flatnonzero(keep)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), frequent, rank) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = stored(both.mapInArrow(verify, "a long, b long"), "links")
-    discard(known)
+    passed = stored(with_both(pairs, known.select("sid", *_FURTHER), "sid", hubs).mapInArrow(lean(through), "a long, b long"), "passed")
+    links = stored(with_both(passed, known.select("sid", "tokens"), "sid", hubs).mapInArrow(lean(verify), "a long, b long"), "links")
+    discard(known, wanted, passed)
     return links
 
 
-def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+_FURTHER = [f"prefix{k}" for k in range(1, ORDERS)]
+
+
+def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_sets: bool = False) -> DataFrame:
     """Size of every document's shingle set, and its component: the smallest id reachable by links.
 
     Null and empty texts, and texts without words, have empty sets and are linked with nothing. Rows with a null id are
-    linked with nothing. Rows repeated with one id give one row each, in one component. Other columns are ignored; an
-    empty table gives no rows. No set of tokens with many holders is gathered in one task, and nothing that grows with
-    the documents is collected.
+    linked with nothing. Rows repeated with one id give one row each, in the component of their own text. Other columns are
+    ignored; an empty table gives no rows. A text is cut into shingles whole, at some forty bytes of memory a byte, in one
+    worker. No set of tokens with many holders is gathered in one task, and nothing that grows with the documents is
+    collected. ``with_sets`` adds the id of each document's set (column ``sid``; null where it links with nothing).
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     surveyed = stored(survey(rows), "survey")
@@ -276,37 +335,69 @@ def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     frequent, rank = frequent_tokens(surveyed)
     named = rows.where("doc_id is not null")
     linkable = sized.where("doc_id is not null and n_shingles > 0")
-    representatives = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    representatives = stored(linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
     entries = stored(shared_only(prefixes(named, frequent, rank)), "prefixes")
     lists = stored(entries.groupBy("sid").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("key").alias("keys")), "lists")
-    groups, links, left = None, None, entries.withColumn("component", F.col("sid"))
+    groups, links, mixed, left = None, [], None, entries.withColumn("component", F.col("sid"))
     for leaders in (*LEADERS, None):
-        pairs = stored(bounded(remaining_pairs(left) if leaders is None else leader_pairs(left, leaders), lists), "pairs")
-        if not pairs.limit(1).count():
+        pairs = stored(remaining_pairs(left) if leaders is None else leader_pairs(left, leaders), "pairs")
+        hubs = hubs_of(pairs)
+        likely = stored(bounded(pairs, lists, hubs), "likely")
+        discard(pairs)
+        if not likely.limit(1).count():
+            discard(likely)
             continue
-        new = verified(pairs, named, representatives, frequent, rank)
-        links = new if links is None else links.unionByName(new)
-        groups = components(links)
+        links.append(verified(likely, named, representatives, frequent, rank, hubs))
+        before, groups = groups, components(functools.reduce(DataFrame.unionByName, links))
+        if before is not None:
+            discard(before)
+        discard(likely)
         if leaders is not None:
             left = mixed_entries(left.drop("component"), groups)
-    if groups is None:
-        groups = docs.sparkSession.createDataFrame([], "id long, component long")
-    vertices = representatives.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = vertices.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = vertices.join(lowest, "component").select("sid", "component_id")
-    joined = sized.join(found, "sid", "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+            if mixed is not None:
+                discard(mixed)
+            mixed = left
+    linked = (groups if groups is not None else docs.sparkSession.createDataFrame([], "id long, component long")).withColumnRenamed("id", "sid").join(representatives, "sid")
+    lowest = stored(linked.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "lowest")
+    found = looked_up(linked.select("sid", "component"), lowest, ["component"], "members").select("sid", "component_id")
+    # Sets of one document that are linked with nothing need no row here.
+    facts = representatives.join(found, "sid", "left").where("copies > 1 or component_id is not null")
+    facts = stored(facts.select("sid", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "components")
+    discard(entries, lists, lowest, representatives, *links, *[t for t in (groups, mixed) if t is not None])
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    joined = looked_up(sized.withColumn("sid", F.when(linkable, F.col("sid"))), facts, ["sid"], "copies")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["sid"] if with_sets else []))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id. Rows with a null id stay.
+    """``docs`` with one row of each component: that of its smallest id. Rows with a null id, and texts without words, stay.
 
-    Ids that occur in several rows are few; only their rows are shuffled to keep one of each.
+    Rows are told apart by their id and their text's set: of rows that repeat both one stays, and a row with another text
+    under a repeated id is decided on by that text. Other columns, whatever their names, stay as they are; an empty table
+    stays empty. Ids to leave out, and ids of several rows, are broadcast up to a fixed number, else joined by a shuffle.
     """
-    found = stored(join_documents(docs, id_column, text_column).where("doc_id is not null").withColumnRenamed("doc_id", id_column), "components")
-    left = without(docs, found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct(), id_column)
-    repeated = stored(found.groupBy(id_column).count().where("count > 1").select(id_column), "repeated")
-    if not repeated.limit(1).count():
+    found = stored(join_documents(docs, id_column, text_column, with_sets=True).where("doc_id is not null"), "components")
+    several = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    gone = stored(found.where("doc_id <> component_id").join(F.broadcast(several) if several.count() <= _BROADCAST else several, "doc_id", "left_anti").select(F.col("doc_id").alias(id_column)), "gone")
+    left = without(docs, gone, id_column, _BROADCAST)
+    if not several.limit(1).count():
         return left
-    return without(left, repeated, id_column).unionByName(left.join(repeated, id_column, "left_semi").dropDuplicates([id_column]))
+    # Ids that stand in several rows: few, so their rows alone are named by their texts' sets and decided on one by one.
+    unsure = left.join(several.withColumnRenamed("doc_id", id_column), id_column, "left_semi")
+    at, text_at = "oblong_row", docs.columns.index(text_column)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text_at):
+                sets = shingle_sets(strings(part.column(text_at).cast(pa.string())))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], [*part.schema.names, at])
+
+    named = unsure.mapInArrow(lean(name), T.StructType([*docs.schema.fields, T.StructField(at, T.LongType())]))
+    own = found.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias(id_column), F.col("sid").alias("oblong_sid"), "component_id").distinct()
+    own = own.where(F.col(id_column) == F.col("component_id")).drop("component_id")
+    kept = named.join(own, (named[id_column] == own[id_column]) & (named[at] == own["oblong_sid"]), "left_semi").dropDuplicates([id_column, at])
+    certain = without(left, several.withColumnRenamed("doc_id", id_column), id_column, _BROADCAST)
+    return certain.unionByName(kept.drop(at)).unionByName(named.where(F.col(at).isNull()).drop(at))
+
+
+_BROADCAST = 200_000

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oblong.llm.sampling import labelled_sample
-from oblong.llm.shared import join_texts, remainder
+from oblong.llm.shared import by_block, join_texts, lean, remainder
 from oblong.llm.tokens import blocks, strings
 
 DIMENSIONS = 4096
@@ -96,10 +96,13 @@ def fit(rows: np.ndarray, labels: list[str], steps: int = 150) -> LanguageModel:
     return LanguageModel(languages, code, weights, bias, trust / trust.mean())
 
 
-def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", per_language: int = 500, in_all: int = 6000) -> LanguageModel:
-    """Fits on about ``per_language`` documents a language, ``in_all`` at most; null languages and texts are left out."""
-    rows = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    sample, _ = labelled_sample(rows, "lang", F.col("text"), per_language, in_all)
+def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", per_language: int = 500, in_all: int = 6000) -> LanguageModel:
+    """Fits on about ``per_language`` documents a language, ``in_all`` at most; null languages and texts are left out.
+
+    Documents are drawn by their ids, so that copies of one text are drawn each for itself.
+    """
+    rows = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"), F.col(id_column).cast("string").alias("id")).where("text is not null")
+    sample, _ = labelled_sample(rows, "lang", F.coalesce("id", "text"), per_language, in_all)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +110,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
                 found, _ = features(strings(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.astype(np.float16).tobytes() for row in found], pa.binary())], ["lang", "row"])
 
-    held = sample.mapInArrow(run, "lang string, row binary").collect()
+    held = sample.select("lang", "text").mapInArrow(lean(run), "lang string, row binary").collect()
     held.sort(key=lambda r: (r["lang"], bytes(r["row"])))
     matrix = np.stack([np.frombuffer(r["row"], dtype=np.float16).astype(np.float32) for r in held]) if held else np.zeros((0, DIMENSIONS), dtype=np.float32)
     return fit(matrix, [r["lang"] for r in held])
@@ -131,9 +134,10 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, ambiguous_with
     """Language of every whole text; without a model one is trained on the rows whose id's remainder by 3 is not 1.
 
     Null texts and texts without a letter are ``und`` with score 0 and ambiguous. Null and repeated ids are allowed, other columns are
-    ignored, an empty table gives no rows. Only the text enters a prediction. No shuffle of rows.
+    ignored, an empty table gives no rows. A text is read whole, whatever its length. Of equal losses the first language by name wins;
+    such texts are ambiguous. Only the text enters a prediction. No shuffle of rows.
     """
-    own = model or train(docs.where(remainder(F.col(id_column), 3) != 1), text_column, lang_column)
+    own = model or train(docs.where(remainder(F.col(id_column), 3) != 1), text_column, lang_column, id_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,18 +146,15 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, ambiguous_with
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(ahead < ambiguous_within)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), (remainder(F.col(id_column), 3) == 1).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return chosen.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep(docs: DataFrame, model: LanguageModel | None = None, ambiguous_within: float = AMBIGUOUS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language that is not ambiguous, with all their columns."""
-    own = model or train(docs.where(remainder(F.col(id_column), 3) != 1), text_column, lang_column)
-    at = docs.columns.index(text_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, at):
-                _, _, ahead = predict(strings(part.column(at)), own)
-                yield part.filter(pa.array(ahead >= ambiguous_within, pa.bool_()))
+    """The rows of ``docs`` whose text has a language that is not ambiguous, with all their columns, whatever their names.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null texts and texts without a letter go; repeated rows stay or go alike; a text is read whole however long it is; an
+    empty table stays empty. Only the texts cross to Python.
+    """
+    own = model or train(docs.where(remainder(F.col(id_column), 3) != 1), text_column, lang_column, id_column)
+    sure = F.arrow_udf(by_block(lambda texts: pa.array(predict(texts, own)[2] >= ambiguous_within, pa.bool_()), pa.bool_()), "boolean")
+    return docs.where(sure(F.col(text_column).cast("string")))

@@ -9,6 +9,9 @@ at the capacity; the last stretch is cut at powers of two, which need no padding
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,10 +23,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oblong.llm.shared import lean
 from oblong.llm.tokens import UnitCache, blocks, joined_encoder
 
-#: The rank file with the vocabulary of byte_bpe_50k.json; the ids are equal (tests compare them with that file's).
-RANKS = "byte_bpe_50k.tiktoken"
+#: The rank file with the vocabulary of the tokenizer file; the ids are equal (tests compare them).
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
+
+@functools.lru_cache(maxsize=2)
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer file cuts out before it encodes, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def encode_around(cache: UnitCache, texts: pa.Array, added: dict[str, int]) -> list[bytes]:
+    """Ids of texts in which added tokens have their own ids; what stands between them is encoded by itself."""
+    if not added:
+        return cache.encode(texts)
+    cutter = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    holds = pc.match_substring_regex(texts, cutter.pattern).to_numpy(zero_copy_only=False)
+    plain = iter(cache.encode(texts.filter(pa.array(~holds))))
+    out = []
+    for text, cut in zip(texts, holds.tolist(), strict=True):
+        if not cut:
+            out.append(next(plain))
+            continue
+        parts = cutter.split(text.as_py())
+        between = iter(cache.encode(pa.array(parts[0::2], pa.string())))
+        out.append(b"".join(np.array([added[p]], dtype="<u4").tobytes() if i % 2 else next(between) for i, p in enumerate(parts)))
+    return out
+
+
 
 
 def cut(length: int, capacity: int, tolerance: float) -> list[tuple[int, int]]:
@@ -94,15 +125,16 @@ class Packer:
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: str | None = None, end_id: int = 1,
-         capacity: int = 2048, tolerance: float = 1 / 64, with_ids: bool = False) -> DataFrame:
+         capacity: int = 2048, tolerance: float = 1 / 64, with_ids: bool = False, tokenizer: str | None = None) -> DataFrame:
     """One row for each piece: where its ids stand in their document and in their sequence.
 
     Null and empty texts are documents of the end id alone. Equal ids, equal texts and repeated rows are packed each for
     itself; other columns are ignored; an empty table gives no rows. Ids of sequences depend on how the input is split
     into partitions. ``with_ids`` adds the pieces' ids (column ``ids``, array of int). A worker holds at most one open
-    bin for each class in memory.
+    bin for each class in memory, and one text whole, however long it is. Strings of the tokenizer's added tokens have their own ids.
     """
     path = ranks or public_tokenizers.path(RANKS)
+    added = added_tokens(tokenizer or public_tokenizers.path(TOKENIZER)) if ranks is None or tokenizer else {}
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +153,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         rows: list[tuple] = []
         for batch in batches:
             for part in blocks(batch, 1):
-                encoded = cache.encode(pc.fill_null(part.column(1), ""))
+                encoded = encode_around(cache, pc.fill_null(part.column(1), ""), added)
                 for document, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
                     rows.extend(packer.add(document, ids + end))
                 if len(rows) >= 1000:
@@ -132,7 +164,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield table(rows)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(lean(run), schema)
 
 
 def sequences(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:

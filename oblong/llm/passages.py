@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from oblong.llm.quality import _CLASS_OF, CLASSES
 from oblong.llm.sampling import labelled_sample
-from oblong.llm.shared import join_texts, mix, per_text, remainder, spread, windows, word_hashes, words_of
+from oblong.llm.shared import join_texts, lean, mix, per_text, remainder, spread, windows, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 PASSAGE_WORDS = 64
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
                 data = [rows[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["id", "label", "rows"])
 
-    held = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(run, "id long, label int, rows binary").collect()
+    held = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(lean(run), "id long, label int, rows binary").collect()
     held.sort(key=lambda r: (r["id"], r["label"], bytes(r["rows"])))
     if not held:
         return None
@@ -178,4 +178,4 @@ def score(docs: DataFrame, labels: DataFrame, model: AttentionModel | None = Non
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found), pa.array(found >= threshold).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), (remainder(F.col(id_column), 4) == 2).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return chosen.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")

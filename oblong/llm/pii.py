@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oblong.llm.shared import by_block, lean
 from oblong.llm.tokens import blocks, strings
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -266,7 +267,7 @@ def count_votes(docs: DataFrame, text_column: str = "text") -> DataFrame:
                         seen[key] = seen.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    counted = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "pattern string, n long")
+    counted = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), "pattern string, n long")
     return counted.groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
@@ -300,7 +301,8 @@ def detect(docs: DataFrame, model: SpanModel | None = None, id_column: str = "do
     """Counts and spans of every whole text; without a model one is trained on ``docs``.
 
     Null and empty texts have no spans. Rows are independent given the model, so repeated rows give repeated results;
-    other columns are ignored; an empty table gives no rows. Offsets are code points, ends exclusive.
+    other columns are ignored; an empty table gives no rows. A text is searched whole, in time linear in its length. Candidates
+    with a score of exactly the threshold are taken. Offsets are code points, ends exclusive.
     """
     own = model or train(docs, text_column)
 
@@ -315,7 +317,7 @@ def detect(docs: DataFrame, model: SpanModel | None = None, id_column: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digests, pa.string()), pa.array(spans, pa.string()), more], ["doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", "n_added"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(lean(run), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -329,11 +331,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None, text_column: str = "text") -> DataFrame:
-    """``docs`` with all found spans replaced; null texts stay null, other columns stay as they are."""
-    own = model or train(docs, text_column)
-
-    @F.pandas_udf("string")
-    def replace(texts):
-        return texts.map(lambda t: redacted(t, sum(find(t, own), [])) if t else t)
+    """``docs`` with all found spans replaced; null and empty texts stay as they are, and so do other columns, whatever their names.
 
-    return docs.withColumn(text_column, replace(F.col(text_column)))
+    Repeated rows change alike; a text is searched whole however long it is; an empty table stays empty. Only the texts cross to Python.
+    """
+    own = model or train(docs, text_column)
+    replace = F.arrow_udf(by_block(lambda texts: pa.array([redacted(t, sum(find(t, own), [])) if t else t for t in texts], pa.string()), pa.string()), "string")
+    return docs.withColumn(text_column, replace(F.col(text_column).cast("string")))

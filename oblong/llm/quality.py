@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oblong.llm.shared import join_texts, mix, per_text, spread, windows, word_hashes, words_of
+from oblong.llm.shared import by_block, discard, join_texts, lean, mix, per_text, spread, stored, windows, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 #: Byte classes. Continuation bytes of UTF-8 belong to no class.
@@ -87,15 +87,29 @@ def _language(column) -> F.Column:
 def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", lang_column: str = "lang") -> References:
     """References from all documents, in two passes: which words may be common, then exact counts.
 
-    A word that has the wanted share of a language's words has it in some partition, so every common word is among those
-    that reach it in one. Their number is bounded by the share and the number of languages; only they are collected.
-    Documents without a language form one of their own.
+    Tasks count words in stretches and hand on those that have a fiftieth of the wanted share of their stretch. What a word
+    loses that way is less than a fiftieth of that share of all words, so every common word keeps 49 fiftieths of it in the
+    sums over all stretches. No more than 50 / 49 / share words a language can reach that much; only they are collected,
+    however the table is split. Documents without a language form one of their own.
     """
     chosen = docs.select(_language(F.col(lang_column)).alias("lang"), F.col(text_column).cast("string").alias("text"))
     share = rules.common_share
+    lost = share / 50
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def stretch(lang: str) -> pa.RecordBatch:
+            parts = held.pop(lang)
+            words, where = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(words)).astype(np.int64)
+            total = int(n.sum())
+            keep = n >= lost * total
+            size = int(keep.sum())
+            columns = [pa.array([lang] * (size + 1), pa.string()), pa.array([*words[keep].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[keep].tolist(), total], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+
+        sizes: dict[str, int] = {}
         for batch in batches:
             for part in blocks(batch, 1):
                 langs = np.array(strings(part.column(0)), dtype=object)
@@ -104,17 +118,20 @@ def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", la
                 hashes, owner = word_hashes(data, starts, stops), langs[spread(upto)] if len(starts) else langs[:0]
                 for lang in set(langs):
                     values, n = np.unique(hashes[owner == lang], return_counts=True)
-                    total = held.setdefault(lang, [np.zeros(0, np.uint64), np.zeros(0, np.int64), 0])
-                    merged, where = np.unique(np.concatenate((total[0], values)), return_inverse=True)
-                    sums = np.bincount(where, weights=np.concatenate((total[1], n)), minlength=len(merged))
-                    words = total[2] + int(n.sum())
-                    few = len(merged) > 200_000  # forget the rarest: they are far from the share, which bounds what is lost
-                    keep = sums > share * words / 50 if few else sums > 0
-                    held[lang] = [merged[keep], sums[keep], words]
-        rows = [(lang, int(h)) for lang, (h, n, words) in held.items() for h in h[n >= 0.9 * share * words].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["lang", "word"])
-
-    words = [r["word"] for r in chosen.mapInArrow(frequent, "lang string, word long").select("word").distinct().collect()]
+                    held.setdefault(lang, []).append((values, n))
+                    sizes[lang] = sizes.get(lang, 0) + len(values)
+                    if sizes[lang] > 400_000:
+                        yield stretch(lang)
+                        sizes[lang] = 0
+        for lang in list(held):
+            yield stretch(lang)
+
+    partial = chosen.mapInArrow(lean(frequent), "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    partial = stored(partial, "words")
+    totals = partial.where("word is null").select("lang", F.col("n").alias("total"))
+    reached = partial.where("word is not null").join(F.broadcast(totals), "lang").where(F.col("n") >= (share - lost) * F.col("total"))
+    words = [r["word"] for r in reached.select("word").distinct().collect()]
+    discard(partial)
     common = np.sort(np.array(words, dtype=np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +147,7 @@ def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", la
         rows = [(lang, i, float(v)) for lang, values in sums.items() for i, v in enumerate(values) if v]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["lang", "i", "v"])
 
-    summed = chosen.mapInArrow(count, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    summed = chosen.mapInArrow(lean(count), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     languages = sorted({r["lang"] for r in summed})
     table = np.zeros((len(languages), len(CLASSES) + len(common) + 1))
     for lang, i, v in summed:
@@ -138,6 +155,8 @@ def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", la
     classes, found = table[:, : len(CLASSES)], table[:, len(CLASSES) :]
     rate = found / np.maximum(found[:, -1:], 1)
     is_common = rate[:, :-1] >= share
+    used = is_common.any(axis=0)
+    common, is_common, rate = common[used], is_common[:, used], rate[:, np.append(used, True)]
     words_of_language = np.concatenate((rate[:, :-1] * is_common, 1 - (rate[:, :-1] * is_common).sum(axis=1, keepdims=True)), axis=1)
     return References(languages, classes / np.maximum(classes.sum(axis=1, keepdims=True), 1e-12), common, is_common, words_of_language)
 
@@ -203,7 +222,9 @@ def judge(docs: DataFrame, known: References | None = None, rules: Rules = Rules
     """Counts and verdict for every whole text; without references they are learned from ``docs``.
 
     Null and empty texts have no words, so they fail the base rules. Rows are independent given the references, so
-    repeated rows give repeated results; other columns are ignored; an empty table gives no rows. No shuffle of rows.
+    repeated rows give repeated results; other columns are ignored; an empty table gives no rows. A text is counted whole
+    in one worker, at some ten bytes of memory a byte. Of languages equally near the first by name is taken, and a
+    distance equal to its limit passes. No shuffle of rows.
     """
     own = known or learn(docs, rules, text_column, lang_column)
 
@@ -214,18 +235,15 @@ def judge(docs: DataFrame, known: References | None = None, rules: Rules = Rules
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values()), pa.array(lang, pa.string())], ["doc_id", *found, "nearest_lang"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, nearest_lang string"
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(lean(run), schema)
 
 
 def keep(docs: DataFrame, known: References | None = None, rules: Rules = Rules(), text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor the distances reject, with all their columns."""
-    own = known or learn(docs, rules, text_column, lang_column)
-    at = docs.columns.index(text_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, at):
-                kept, _ = verdicts(strings(part.column(at)), own, rules)
-                yield part.filter(pa.array(kept["kept"]))
+    """The rows of ``docs`` that neither the base rules nor the distances reject, with all their columns, whatever their names.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null and empty texts go; repeated rows stay or go alike; a text is judged whole however long it is; an empty table stays empty.
+    Distances equal to a limit pass. Only the texts cross to Python.
+    """
+    own = known or learn(docs, rules, text_column, lang_column)
+    kept = F.arrow_udf(by_block(lambda texts: pa.array(verdicts(texts, own, rules)[0]["kept"], pa.bool_()), pa.bool_()), "boolean")
+    return docs.where(kept(F.col(text_column).cast("string")))

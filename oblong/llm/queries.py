@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from oblong.llm import embeddings, jaccard, language, packing, passages, pii, quality, sp_bpe, suffix_tree, warc
+from oblong.llm.shared import small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oblong.llm.shared import lean
 from oblong.llm.tokens import UnitCache, blocks, load_ranks
 
 #: The vocabulary of the production query.
@@ -195,4 +196,4 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(lean(run), schema)

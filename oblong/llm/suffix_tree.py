@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oblong.llm.shared import join_texts, mix, most_frequent, per_text, remainder, stored, word_hashes, words_of
+from oblong.llm.shared import gathered, join_texts, lean, mix, most_frequent, per_text, remainder, stored, word_hashes, words_of
 from oblong.llm.tokens import blocks, strings
 
 DEPTH = 5
@@ -98,7 +98,7 @@ def count(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     yield from out()
         yield from out()
 
-    counted = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "kind int, code long, n long")
+    counted = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), "kind int, code long, n long")
     return counted.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
@@ -240,7 +240,7 @@ def _branches(batches: Iterator[pa.RecordBatch], trunk: Trunk) -> Iterator[tuple
             yield trunk.branches(code[given], n[given], code[asked]), code[asked], n[asked], row[asked]
 
     fresh = 0
-    for batch in batches:
+    for batch in gathered(batches):
         if batch.num_rows:
             parts.append((batch.column("code").to_numpy(), batch.column("n").to_numpy(), batch.column("row").fill_null(0).to_numpy(), batch.column("wanted").to_numpy(zero_copy_only=False)))
             fresh += batch.num_rows
@@ -264,7 +264,7 @@ def trunk_of(grams: DataFrame, least_gain: float = 32.0) -> Trunk:
             long = tree.contexts[tree.contexts >> _LEVEL == NEAR]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique((NEAR - 1) << _LEVEL | long & ((1 << 8 * (NEAR - 1)) - 1)))], ["context"])
 
-    ended = _dealt(grams).mapInArrow(run, "context long").distinct().toArrow()["context"].to_numpy()
+    ended = _dealt(grams).mapInArrow(lean(run), "context long").distinct().toArrow()["context"].to_numpy()
     short = _grown(bare.k, bare.code, bare.n, total, least_gain, ended).contexts
     return Trunk(bare.k, bare.code, bare.n, short, total, least_gain)
 
@@ -279,7 +279,7 @@ def log_probabilities(grams: DataFrame, trunk: Trunk, wanted: DataFrame) -> Data
                 value = tree.log_probabilities(_lengths(c), c >> 8, c & 255) * n[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(row[i : i + 100_000]), pa.array(value)], ["row", "value"])
 
-    return _dealt(grams, wanted).mapInArrow(run, "row long, value double")
+    return _dealt(grams, wanted).mapInArrow(lean(run), "row long, value double")
 
 
 def _lengths(codes: np.ndarray) -> np.ndarray:
@@ -379,7 +379,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, head: int = 1 << 1
                     yield pa.RecordBatch.from_arrays([pa.array(ids[owner[where]]), nothing, pa.nulls(k, pa.bool_()), nothing, nothing, pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), nothing, pa.array(np.diff(where, append=len(code))), pa.array(code[where])], _NAMES)
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), (remainder(F.col(id_column), 7) == 2).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    rows = stored(chosen.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, many long, code long"), "scored")
+    rows = stored(chosen.mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, many long, code long"), "scored")
     rare = rows.where("word is not null").select("row", "word", "many").join(words, "word")
     sums = rare.groupBy("row").agg(F.sum(F.col("many") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("many").alias("found"))
     shares = log_probabilities(grams, trunk, rows.where("code is not null").select("code", F.col("many").alias("n"), "row")).groupBy("row").agg(F.sum("value").alias("share"))

@@ -67,7 +67,7 @@ class UnitCache:
     when the younger is full; it never keeps long stretches.
     """
 
-    def __init__(self, encoders, most: int = 250_000, longest: int = 48):
+    def __init__(self, encoders, most: int = 100_000, longest: int = 48):
         self.of_stretches, self.of_texts = encoders
         self.most, self.longest = most, longest
         self.young: dict[str, bytes] = {}  # by the stretch without its space
@@ -124,11 +124,15 @@ class UnitCache:
         return [next(pieces) if alone else next(out) for alone in whole.to_pylist()]
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """Slices of a batch with about ``most`` bytes of text, so that what is derived from them stays small."""
+def blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 20, rows: int = 512):
+    """Slices of a batch with about ``most`` bytes of text and at most ``rows`` rows, so that what is derived from them stays small.
+
+    A longer text is a slice of its own: whole texts are never cut.
+    """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        end = min(end, at + rows)
         yield batch.slice(at, end - at)
         at = end
