@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each on all that the one before has kept."""
+"""From raw documents to packed sequences: five stages, each on all that the one before has kept.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows, empty tables and extra columns of any name; what
+becomes of them is said by the operator that it calls. All but the last return the columns of what they are given.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.llm import jaccard, language, packing, pii, quality
-from oblong.llm.shared import stored
+from oblong.llm.shared import small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the distance from their language reject go."""
+    """Documents that the base rules or the distance from their language reject go; null and empty texts are among them."""
+    small_batches(spark)
     return quality.keep(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or between two, go."""
+    """Documents without a language, or between two (ties included), go."""
+    small_batches(spark)
     return language.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one with the smallest id. Null ids and texts without words stay."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text. No row goes."""
+    small_batches(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences; an empty text is its end id alone."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
@@ -45,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can express neither the learned models nor the tokenizer; tests compare the stages with brute force.
+#: SQL can express neither the learned models nor the tokenizer; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
