@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oblong.llm.shared import shared_dir
+from oblong.llm.shared import discard, looked_up, shared_dir, stored
 
 #: The public WARC 1.1 names.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,45 +66,73 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 100, dat
     the others revisit it; smaller ones are all responses, though stored once too. Rows with null ids revisit a row that
     has one, if there is; rows repeated with the same id are all responses. Only digests that occur twice need to know of
     each other: they are found by a count before the shuffle, and joined to the pages by broadcast up to
-    ``broadcast_rows`` of them, else by a shuffled join.
+    ``broadcast_rows`` of them; beyond that the most frequent ones are, and the others by a shuffled join. Either table
+    keeps how many records have a digest, so that a reader can deal the many records of one payload out over several tasks.
+    A payload of any length is a value of its own.
     """
     spark = pages.sparkSession
     archive = Archive(path or f"{shared_dir(spark)}/oblong-warc-{uuid.uuid4().hex}")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    twice = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    twice.write.parquet(f"{archive.path}/repeated")
-    twice = spark.read.schema(twice.schema).parquet(f"{archive.path}/repeated")
-    known = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
-    rows = rows.join(known, "digest", "left")
+    twice = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_")).where("n_ > 1")
+    twice = stored(twice.withColumn("copies", F.col("n_")), "repeated")
+    rows = looked_up(rows, twice, ["digest"], "n_", broadcast_rows)
     first = F.col("copies").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    payloads = rows.where(first).select("digest", "payload", "copies")
-    once = payloads.where("copies is null").drop("copies")
-    chosen = payloads.where("copies is not null").groupBy("digest").agg(F.first("payload").alias("payload"))
+    payloads = rows.where(first).select("digest", "payload", F.coalesce("copies", F.lit(1)).alias("copies"))
+    once = payloads.where("copies = 1")
+    chosen = payloads.where("copies > 1").groupBy("digest").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies"))
     once.unionByName(chosen).write.option("compression", "zstd").parquet(archive.payloads)
     revisit = ~first & (F.col("n") >= least_bytes)
     typed = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    typed.select("digest", "record_type", _header(date).cast("binary").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
+    headers = typed.select("digest", F.coalesce("copies", F.lit(1)).alias("copies"), "record_type", _header(date).cast("binary").alias("header"))
+    headers.write.option("compression", "zstd").parquet(archive.headers)
+    discard(twice)
     return archive
 
 
+#: Records of one payload that meet it in one task.
+_EACH = 10_000
+
+
 def _payloads(spark: SparkSession, archive: Archive) -> DataFrame:
-    """The stored payloads whose bytes still have the digest they are stored under."""
-    stored = spark.read.schema("digest string, payload binary").parquet(archive.payloads)
-    return stored.where(F.sha2("payload", 256) == F.col("digest"))
+    """The stored payloads, and whether their bytes still have the digest they are stored under."""
+    stored = spark.read.schema("digest string, payload binary, copies long").parquet(archive.payloads)
+    return stored.withColumn("sound", F.sha2("payload", 256) == F.col("digest"))
+
+
+def _with_payloads(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Every header with its payload's columns, null where there is none. The records of a payload with many are dealt out."""
+    parts = F.ceil(F.col("copies") / _EACH).cast("int")
+    dealt = headers.withColumn("part", F.pmod(F.xxhash64("header"), parts).cast("int")).drop("copies")
+    copied = payloads.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("copies")
+    return dealt.join(copied, ["digest", "part"], "left").drop("part")
+
+
+def _headers(spark: SparkSession, archive: Archive, kind: str) -> DataFrame:
+    return spark.read.schema("digest string, copies long, record_type string, header binary").parquet(archive.headers).where(F.col("record_type") == kind)
 
 
-def records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Every record as it was written: response headers joined with their payloads, and revisit headers alone."""
-    headers = spark.read.schema("digest string, record_type string, header binary").parquet(archive.headers)
+def _checked(rows: DataFrame, strict: bool) -> DataFrame:
+    """Rows whose payload is lost or damaged raise an error, or stay with null payload columns."""
+    if not strict:
+        return rows
+    bad = F.raise_error(F.concat(F.lit("payload is lost or damaged: "), F.col("digest"))).cast("boolean")
+    return rows.where(F.when(F.coalesce("sound", F.lit(False)), True).otherwise(bad))
+
+
+def records(spark: SparkSession, archive: Archive, strict: bool = True) -> DataFrame:
+    """Every record as it was written: response headers joined with their payloads, and revisit headers alone.
+
+    A response whose payload is lost or no longer has its digest is an error, or without ``strict`` a null record.
+    """
     end = F.lit("\r\n\r\n").cast("binary")
-    whole = headers.where("record_type = 'response'").join(_payloads(spark, archive), "digest")
-    responses = whole.select("digest", F.concat("header", "payload", end).alias("record"))
-    return responses.unionByName(headers.where("record_type = 'revisit'").select("digest", F.concat("header", end).alias("record")))
+    whole = _checked(_with_payloads(_headers(spark, archive, "response"), _payloads(spark, archive)), strict)
+    responses = whole.select("digest", "header", F.when(F.col("sound"), F.concat("header", "payload", end)).alias("record"))
+    return responses.unionByName(_headers(spark, archive, "revisit").select("digest", "header", F.concat("header", end).alias("record")))
 
 
-def parsed(found: DataFrame) -> DataFrame:
-    """What the bytes of records say: type, ids, URL, digest, and the payload's bytes as their lengths place them."""
+def parsed(found: DataFrame, *more: str) -> DataFrame:
+    """What the bytes of records say: type, ids, URL, digest, and the payload's bytes as their lengths place them; and the columns ``more``."""
     blank = F.lit("\r\n\r\n")
     # One character a byte, as position counts characters and substring of binary counts bytes.
     place = lambda name: F.position(blank, F.decode(F.col(name), "ISO-8859-1"))
@@ -121,16 +149,23 @@ def parsed(found: DataFrame) -> DataFrame:
         field("WARC-Payload-Digest", "sha256:([0-9a-f]*)").alias("header_digest"),
         page("WARC-Refers-To").alias("refers_to"),
         F.expr("substring(block, http + 1, held - http)").alias("payload"),
+        *more,
     )
 
 
-def read_back(spark: SparkSession, archive: Archive) -> DataFrame:
+def read_back(spark: SparkSession, archive: Archive, strict: bool = True) -> DataFrame:
     """One row for each record: what its bytes say, with length and digest of its full payload computed from stored bytes.
 
-    A revisit's payload is that of the record it refers to; it is found by the digest, as a length and a digest.
+    A revisit's payload is that of the record it refers to; it is found by the digest, as a length and a digest. A payload that is lost
+    or no longer has its digest is an error; without ``strict`` its records are there with null length and digest.
     """
-    own = parsed(records(spark, archive)).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    responses = own.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    facts = _payloads(spark, archive).select(F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    revisits = own.where("record_type = 'revisit'").select("page_id", F.col("header_digest").alias("payload_digest"), "record_type", "refers_to")
-    return responses.unionByName(revisits.join(facts, "payload_digest").select(responses.columns))
+    found = records(spark, archive, strict)
+    end = F.lit("\r\n\r\n").cast("binary")
+    own = parsed(found.withColumn("record", F.coalesce("record", F.concat("header", end))))  # of a lost payload the header tells
+    responses = own.where("record_type = 'response'")
+    sound = F.sha2("payload", 256) == F.col("header_digest")
+    responses = responses.select("page_id", F.when(sound, F.octet_length("payload").cast("long")).alias("payload_bytes"), F.when(sound, F.sha2("payload", 256)).alias("payload_digest"), "record_type", "refers_to")
+    facts = _payloads(spark, archive).select("digest", "copies", "sound", F.when(F.col("sound"), F.octet_length("payload").cast("long")).alias("payload_bytes"), F.when(F.col("sound"), F.sha2("payload", 256)).alias("payload_digest"))
+    revisits = _checked(_with_payloads(_headers(spark, archive, "revisit"), facts), strict)
+    said = parsed(revisits.withColumn("record", F.concat("header", end)).select("record", "payload_bytes", "payload_digest"), "payload_bytes", "payload_digest")
+    return responses.unionByName(said.select(responses.columns))
