@@ -37,7 +37,7 @@ SAMPLED = 64
 #: Bits of an order's keys that hold the frequency's rank, and the rank from which a token's holders are dealt out over several tasks.
 _RANK_AT, _DEALT = 58, 13
 #: The rounds' leaders by the numbers of their hashes.
-LEADERS = (range(0, 2), range(2, 6), range(6, 12))
+LEADERS = (range(0, 3), range(3, 9))
 _SEEDS = [mix(np.array([k + 1], dtype=np.uint64))[0] for k in range(ORDERS)]
 
 
@@ -79,18 +79,29 @@ def order_keys(tokens: np.ndarray, order: int, frequent: np.ndarray, rank: np.nd
 
 
 def further_prefixes(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> list[bytes]:
-    """The prefixes of a set under the orders after the first, as sorted 32-bit names: equal tokens have equal names."""
-    size = len(tokens) - needed(len(tokens)) + 1
-    out = []
+    """The prefixes of a set under the orders after the first: the prefix's last place, the set's size, and a 32-bit name for each token.
+
+    Equal tokens have equal names; that others may share one only lets more pairs through.
+    """
+    n = len(tokens)
+    if not n:
+        return [b""] * (ORDERS - 1)
+    size, out = n - needed(n) + 1, []
     for order in range(1, ORDERS):
-        keys = order_keys(tokens, order, frequent, rank) if len(tokens) else tokens
-        out.append(np.unique(np.partition(keys, size - 1)[:size].astype(np.uint32)).tobytes() if len(tokens) else b"")
+        prefix = np.partition(order_keys(tokens, order, frequent, rank), size - 1)[:size]
+        out.append(np.array([prefix.max(), n], dtype=np.uint64).tobytes() + prefix.astype(np.uint32).tobytes())
     return out
 
 
 def meet(x: bytes, y: bytes) -> bool:
-    """Whether two prefixes share a name."""
-    return bool(np.isin(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)).any())
+    """Whether two prefixes share names, and enough of them for the threshold: what they share and all that stands after the one that
+    ends first bounds the overlap."""
+    (last_x, n_x), (last_y, n_y) = (np.frombuffer(s, dtype=np.uint64, count=2).tolist() for s in (x, y))
+    if ALL * min(n_x, n_y) < SHARED * max(n_x, n_y):
+        return False
+    shared = int(np.isin(np.frombuffer(x, dtype=np.uint32, offset=16), np.frombuffer(y, dtype=np.uint32, offset=16)).sum())
+    most = shared + needed(n_x if last_x <= last_y else n_y) - 1
+    return shared > 0 and (SHARED + ALL) * most >= SHARED * (n_x + n_y)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
