@@ -36,8 +36,8 @@ ORDERS = 3
 SAMPLED = 64
 #: Bits of an order's keys that hold the frequency's rank, and the rank from which a token's holders are dealt out over several tasks.
 _RANK_AT, _DEALT = 58, 13
-#: The rounds' leaders by the numbers of their hashes.
-LEADERS = (range(0, 3), range(3, 9))
+#: The rounds' numbers of leaders for each token and band of sizes.
+LEADERS = (4, 32, 256)
 _SEEDS = [mix(np.array([k + 1], dtype=np.uint64))[0] for k in range(ORDERS)]
 
 
@@ -236,16 +236,16 @@ def _salts() -> Column:
     return F.when(over > 0, F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {_RANK_AT}) - {_DEALT} AS int))")).otherwise(F.lit(1))
 
 
-def leader_pairs(entries: DataFrame, leaders: range) -> DataFrame:
-    """Pairs of each token's holders of similar size with some of them in other components; one leader for each hash numbered in ``leaders``."""
+def leader_pairs(entries: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """Pairs of each token's holders of similar size with some of them in other components: its leaders, one for each of
+    ``leaders`` shares of the holders by a hash that differs from round to round."""
     banded = entries.withColumn("band", _band("n"))
-    lead = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n", "pos", "component")).alias(f"lead{k}") for k in leaders]
-    found = banded.groupBy("key", "band").agg(F.count("*").alias("holders"), *lead).where("holders > 1")
-    found = found.select("key", "band", F.array_distinct(F.array(*[f"lead{k}" for k in leaders])).alias("leads"), F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
+    share = F.pmod(F.xxhash64("sid", F.lit(turn)), F.lit(leaders))
     own = ("sid", "n", "pos", "component")
+    lead = banded.groupBy("key", "band", share.alias("share")).agg(F.min(F.struct(F.xxhash64("sid", F.lit(-turn)).alias("h"), *own)).alias("lead"))
+    lead = lead.select("key", "band", *[F.col(f"lead.{c}").alias(f"{c}2") for c in own], F.explode(F.sequence(F.lit(0), _salts() - 1)).alias("salt"))
     dealt = banded.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(-1)), _salts()).cast("int"))
-    each = dealt.join(found, ["key", "band", "salt"]).select(*own, F.explode("leads").alias("lead"))
-    each = each.select(*own, *[F.col(f"lead.{c}").alias(f"{c}2") for c in own])
+    each = dealt.join(lead, ["key", "band", "salt"])
     return each.where((F.col("component") != F.col("component2")) & _possible("n", "pos", "n2", "pos2")).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
 
@@ -350,8 +350,8 @@ def join_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     entries = stored(shared_only(prefixes(named, frequent, rank)), "prefixes")
     lists = stored(entries.groupBy("sid").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("key").alias("keys")), "lists")
     groups, links, mixed, left = None, [], None, entries.withColumn("component", F.col("sid"))
-    for leaders in (*LEADERS, None):
-        pairs = stored(remaining_pairs(left) if leaders is None else leader_pairs(left, leaders), "pairs")
+    for turn, leaders in enumerate((*LEADERS, None), 1):
+        pairs = stored(remaining_pairs(left) if leaders is None else leader_pairs(left, turn, leaders), "pairs")
         hubs = hubs_of(pairs)
         likely = stored(bounded(pairs, lists, hubs), "likely")
         discard(pairs)
