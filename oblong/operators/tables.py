@@ -50,11 +50,27 @@ def top(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def ranked(rows: DataFrame, group: list[str], value: str, order: list[str] | None = None, name: str = "i_", total: str = "m_", ranges: int = 64) -> DataFrame:
+    """The rows with their place within their group (``name``, ties by ``order``; without it, the place of the first of equals) and the
+    group's size (``total``).
+
+    No task sorts a whole group: approximate quantiles cut it into ranges of values, a row's place is that within its range and the
+    count of all ranges before, so it is exact wherever the cuts are.
+    """
+    cuts = rows.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(2000)).alias("cuts_"), F.count("*").alias(total))
+    at = F.size(F.filter("cuts_", lambda c: c < F.col(value)))
+    placed = rows.join(cuts, group).withColumn("range_", at).drop("cuts_")
+    counts = placed.groupBy(*group, "range_").agg(F.count("*").alias("held_"))
+    before = counts.select(*group, "range_", (F.sum("held_").over(Window.partitionBy(*group).orderBy("range_")) - F.col("held_")).alias("before_"))
+    w = Window.partitionBy(*group, "range_").orderBy(value, *(order or []))
+    within = F.row_number().over(w) if order else F.rank().over(w)
+    return placed.join(before, [*group, "range_"]).withColumn(name, (F.col("before_") + within).cast("long")).drop("range_", "before_")
+
+
 def average_ranks(rows: DataFrame, group: list[str], column: str, name: str) -> DataFrame:
     """Ranks in which ties share their mean."""
-    w = Window.partitionBy(*group).orderBy(column)
     ties = F.count("*").over(Window.partitionBy(*group, column))
-    return rows.withColumn(name, F.rank().over(w) + (ties - 1) / 2.0)
+    return ranked(rows, group, column, name="first_").withColumn(name, F.col("first_") + (ties - 1) / 2.0).drop("first_", "m_")
 
 
 def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
@@ -66,26 +82,24 @@ def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
 
 def holm(tests: DataFrame, group: list[str], p: str, id_: str, alpha: float) -> DataFrame:
     """Step-down: the i-th smallest p of m against alpha / (m - i + 1), until one fails."""
-    w = Window.partitionBy(*group).orderBy(p, id_)
-    m = F.count("*").over(Window.partitionBy(*group))
-    ranked = tests.withColumn("i_", F.row_number().over(w)).withColumn("ok_", F.col(p) <= alpha / (m - F.col("i_") + 1))
-    return ranked.withColumn("rejected", F.min("ok_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("i_", "ok_")
+    placed = ranked(tests, group, p, [id_])
+    fails = F.when(F.col(p) > alpha / (F.col("m_") - F.col("i_") + 1), F.col("i_"))
+    first = placed.groupBy(*group).agg(F.min(fails).alias("first_"))
+    return placed.join(first, group).withColumn("rejected", F.coalesce(F.col("i_") < F.col("first_"), F.lit(True))).drop("i_", "m_", "first_")
 
 
 def benjamini_hochberg(tests: DataFrame, group: list[str], p: str, id_: str, q: float) -> DataFrame:
     """Step-up: all tests up to the last whose p is at most q i / m."""
-    whole = Window.partitionBy(*group)
-    ranked = tests.withColumn("i_", F.row_number().over(whole.orderBy(p, id_))).withColumn("m_", F.count("*").over(whole))
-    last = F.max(F.when(F.col(p) <= q * F.col("i_") / F.col("m_"), F.col("i_"))).over(whole)
-    return ranked.withColumn("rejected", F.coalesce(F.col("i_") <= last, F.lit(False))).drop("i_", "m_")
+    placed = ranked(tests, group, p, [id_])
+    last = placed.groupBy(*group).agg(F.max(F.when(F.col(p) <= q * F.col("i_") / F.col("m_"), F.col("i_"))).alias("last_"))
+    return placed.join(last, group).withColumn("rejected", F.coalesce(F.col("i_") <= F.col("last_"), F.lit(False))).drop("i_", "m_", "last_")
 
 
 def conformal_quantile(scores: DataFrame, group: list[str], score: str, alpha_percent: int) -> DataFrame:
     """The k-th smallest score, k = ceil((n + 1)(1 - alpha)), a rank and not an interpolation; null where k > n."""
-    w = Window.partitionBy(*group)
-    k = F.ceil((F.col("n_") + 1) * F.lit(100 - alpha_percent) / 100)
-    ranked = scores.withColumn("n_", F.count("*").over(w)).withColumn("i_", F.row_number().over(w.orderBy(score)))
-    return ranked.groupBy(*group).agg(F.first("n_").alias("n"), F.max(F.when(F.col("i_") == k, F.col(score))).alias("q"))
+    k = F.ceil((F.col("m_") + 1) * F.lit(100 - alpha_percent) / 100)
+    placed = ranked(scores, group, score)  # equal scores share the place of the first: the k-th is the last whose place is at most k
+    return placed.groupBy(*group).agg(F.first("m_").alias("n"), F.max(F.when((F.col("i_") <= k) & (k <= F.col("m_")), F.col(score))).alias("q"))
 
 
 def stable_split(rows: DataFrame, group: str, fractions: tuple[float, ...], names: tuple[str, ...], seed: str) -> DataFrame:

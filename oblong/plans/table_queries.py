@@ -134,12 +134,12 @@ def average_rank_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables.spearman(derived.measures(spark, sf_dir), ["kind"], "prediction", "spread"))
 
 
-TESTS = "tests AS (SELECT event_type, event_id, pow(value / 500, 3) * 0.01 AS p FROM events WHERE event_id % 20 = 0)"
+TESTS = "tests AS (SELECT event_type, event_id, pow(value / 500, 3) * 0.01 AS p FROM events)"
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One test an experiment: the experiments themselves are every twentieth event."""
-    return table(spark, sf_dir, "events").where(F.col("event_id") % 20 == 0).select("event_type", "event_id", (F.pow(F.col("value") / 500, F.lit(3.0)) * 0.01).alias("p"))
+    """One test an event; its type's tests are one family."""
+    return table(spark, sf_dir, "events").select("event_type", "event_id", (F.pow(F.col("value") / 500, F.lit(3.0)) * 0.01).alias("p"))
 
 
 @query(f"WITH {TESTS}, r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS m FROM tests WINDOW w AS (PARTITION BY event_type ORDER BY p, event_id)), o AS (SELECT *, bool_and(p <= 0.05 / (m - i + 1)) OVER (PARTITION BY event_type ORDER BY p, event_id ROWS UNBOUNDED PRECEDING) AS rejected FROM r) SELECT event_type, event_id, round(p, 9) AS p, rejected FROM o")
@@ -292,16 +292,17 @@ def conformal_bounds_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORES}, l AS (SELECT unnest([50, 70, 80, 90, 95]) AS level), c AS (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM scores WHERE part_id % 2 = 0),
 t AS (SELECT level, max(CASE WHEN i = ceil((n + 1) * level / 100.0) THEN score END) AS q FROM c, l GROUP BY 1) SELECT CAST(level AS BIGINT) AS level, round(count(*) FILTER (score <= q) / CAST(count(*) AS DOUBLE), 6) AS empirical FROM scores, t WHERE part_id % 2 = 1 GROUP BY 1""")
 def reliability_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Empirical coverage at nominal levels. The k-th smallest score is found by counting scores over value bins, never by one sort."""
-    scores = _scores(spark, sf_dir)
-    calibration = scores.where("part_id % 2 = 0").select("score")
-    n = calibration.count()
+    """Empirical coverage at nominal levels. The k-th smallest score is found by its place, from counts over ranges of values, never by one sort."""
+    scores = _scores(spark, sf_dir).withColumn("all_", F.lit(0))
+    placed = tables.ranked(scores.where("part_id % 2 = 0").select("all_", "score"), ["all_"], "score")
     levels = [50, 70, 80, 90, 95]
-    ranks = [-(-(n + 1) * level // 100) for level in levels]
-    exact = calibration.agg(F.percentile("score", F.array(*[F.lit(min((k - 1) / (n - 1), 1.0)) for k in ranks])).alias("q"))
-    limits = exact.select(F.posexplode("q").alias("i", "q")).withColumn("level", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).cast("long"))
+    k = lambda level: F.ceil((F.col("m_") + 1) * F.lit(level) / 100)
+    limit = lambda level: F.max(F.when((F.col("i_") <= k(level)) & (k(level) <= F.col("m_")), F.col("score")))
+    limits = placed.agg(*[limit(level).alias(f"q{level}") for level in levels])  # one row
     test = scores.where("part_id % 2 = 1").select("score").crossJoin(F.broadcast(limits))
-    return rounded(test.groupBy("level").agg((F.count_if(F.col("score") <= F.col("q") * (1 + 1e-12)) / F.count("*")).alias("empirical")))
+    counts = test.agg(F.count("*").alias("n"), *[F.count_if(F.col("score") <= F.col(f"q{level}")).alias(f"c{level}") for level in levels])
+    found = [F.struct(F.lit(level).cast("long").alias("level"), (F.col(f"c{level}") / F.nullif(F.col("n"), F.lit(0))).alias("empirical")) for level in levels]
+    return rounded(counts.select(F.explode(F.array(*found)).alias("r")).select("r.*"))
 
 
 @query(f"WITH {MEASURES} SELECT kind, count(*) AS n, round(regr_slope(truth, prediction), 6) AS slope, round(regr_intercept(truth, prediction), 3) AS intercept, round(corr(truth, prediction), 6) AS pearson FROM measures GROUP BY 1")
