@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +126,37 @@ def stable_split(rows: DataFrame, group: str, fractions: tuple[float, ...], name
 def leaking(assignment: DataFrame, source: str, part: str) -> DataFrame:
     """Sources that are in more than one set."""
     return assignment.groupBy(source).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
+
+
+def covariances(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, i, j, n, cov) of the vectors' components, i <= j, for vectors of one length in each group.
+
+    Each task adds up its vectors' products about its own first vector, which keeps digits; only these sums are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            labels = np.array(batch.column(0).to_pylist(), dtype=object)
+            vectors = batch.column(1).to_pylist()
+            for label in set(labels):
+                x = np.array([v for v, k in zip(vectors, labels, strict=True) if k == label and v], dtype=float)
+                if len(x):
+                    n, mean, product = held.get(label, (0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))))
+                    own = x.mean(axis=0)
+                    off = own - mean
+                    held[label] = (n + len(x), mean + off * len(x) / (n + len(x)), product + (x - own).T @ (x - own) + np.outer(off, off) * n * len(x) / (n + len(x)))
+        rows = [(label, i, n, float(mean[i]), mean[i:].tolist(), product[i, i:].tolist()) for label, (n, mean, product) in held.items() for i in range(len(mean))]
+        yield pa.RecordBatch.from_pylist([dict(zip(("label", "i", "n", "m", "ms", "ps"), r, strict=True)) for r in rows], schema=_PARTS)
+
+    kind = rows.schema[group].dataType.simpleString()
+    parts = rows.select(F.col(group).cast("string"), vector).mapInArrow(run, "label string, i int, n long, m double, ms array<double>, ps array<double>")
+    cells = parts.select("label", "i", "n", "m", F.posexplode(F.arrays_zip("ms", "ps")).alias("at", "c"))
+    sums = cells.groupBy("label", "i", (F.col("i") + F.col("at")).alias("j")).agg(
+        F.sum("n").alias("n"), F.sum("c.ps").alias("p"), F.sum(F.col("n") * F.col("m")).alias("a"), F.sum(F.col("n") * F.col("c.ms")).alias("b"), F.sum(F.col("n") * F.col("m") * F.col("c.ms")).alias("ab")
+    )
+    between = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
+    return sums.where("n > 1").select(F.col("label").cast(kind).alias(group), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n", ((F.col("p") + between) / (F.col("n") - 1)).alias("cov"))
+
+
+_PARTS = pa.schema([("label", pa.string()), ("i", pa.int32()), ("n", pa.int64()), ("m", pa.float64()), ("ms", pa.list_(pa.float64())), ("ps", pa.list_(pa.float64()))])

@@ -186,11 +186,12 @@ def top_k_duals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.top(rows, "user_id", [F.desc(F.abs("price")), F.col("event_id")], 10)
 
 
-@query("SELECT vec_id, round(uncertainty * density, 9) AS score FROM (SELECT vec_id, abs(embedding[1]) AS uncertainty, 1 / (1 + abs(embedding[2])) AS density FROM embeddings) q WHERE vec_id % 3 <> 0 ORDER BY uncertainty * density DESC, vec_id LIMIT 20")
+@query("SELECT vec_id, round(uncertainty * density, 9) AS score FROM (SELECT vec_id, list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))) AS uncertainty, 1 / (1 + list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS density FROM embeddings) q WHERE vec_id % 3 <> 0 ORDER BY uncertainty * density DESC, vec_id LIMIT 20")
 def acquisition_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best candidates outside those excluded: the limit is the operator."""
-    e = F.col("embedding")
-    pool = table(spark, sf_dir, "embeddings").select("vec_id", (F.abs(e[0].cast("double")) * (1 / (1 + F.abs(e[1].cast("double"))))).alias("score"))
+    e = F.col("embedding").cast("array<double>")
+    uncertainty, square = F.array_max(F.transform(e, F.abs)), F.aggregate(e, F.lit(0.0), lambda s, v: s + v * v)
+    pool = table(spark, sf_dir, "embeddings").select("vec_id", (uncertainty / (1 + square)).alias("score"))
     excluded = pool.where(F.col("vec_id") % 3 == 0).select("vec_id")
     return rounded(pool.join(excluded, "vec_id", "left_anti").orderBy(F.desc("score"), "vec_id").limit(20), 9)
 
@@ -320,23 +321,28 @@ def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.crossJoin(F.broadcast(cuts)).groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("WITH v AS (SELECT label, embedding[1] a, embedding[2] b FROM embeddings) SELECT label, count(*) AS n, round(covar_samp(a, b), 6) AS cov_ab, round(var_samp(a), 6) AS var_a, round(stddev_pop(b), 6) AS sd_b FROM v GROUP BY 1")
+@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)
+SELECT a.label, CAST(a.k - 1 AS BIGINT) AS i, CAST(b.k - 1 AS BIGINT) AS j, count(*) AS n, round(covar_samp(a.v, b.v), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2, 3""")
 def feature_envelope_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    v = table(spark, sf_dir, "embeddings").select("label", e[0].cast("double").alias("a"), e[1].cast("double").alias("b"))
-    return rounded(v.groupBy("label").agg(F.count("*").alias("n"), F.covar_samp("a", "b").alias("cov_ab"), F.var_samp("a").alias("var_a"), F.stddev_pop("b").alias("sd_b")))
+    """Covariances of all pairs of features by label; tasks hand on sums of products, never rows."""
+    return rounded(tables.covariances(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")), "label", "v"))
 
 
-@query("""WITH r AS (SELECT vec_id, embedding[1] a, embedding[2] b FROM embeddings WHERE vec_id < 64), c AS (SELECT vec_id, embedding[1] a, embedding[2] b FROM embeddings)
-SELECT c.vec_id, round(greatest(avg(exp(-(pow(CAST(c.a AS DOUBLE) - r.a, 2) + pow(CAST(c.b AS DOUBLE) - r.b, 2)) / (2 * 0.1 * 0.1))), 1e-12), 6) AS density FROM c, r GROUP BY 1""")
+@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e WHERE label IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT e.vec_id, c.label, sum((v - m) * (v - m)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, round(greatest(avg(exp(-d / (2 * 0.5 * 0.5))), 1e-12), 6) AS density FROM d GROUP BY 1""")
 def kde_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density of all vectors over a reference of 64 labelled ones; the reference is small by definition and is broadcast."""
-    e = F.col("embedding")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", e[0].cast("double").alias("a"), e[1].cast("double").alias("b"))
-    reference = rows.where("vec_id < 64").agg(F.collect_list(F.struct("a", "b")).alias("ref"))
-    gap = lambda p: F.exp(-((F.col("a") - p["a"]) * (F.col("a") - p["a"]) + (F.col("b") - p["b"]) * (F.col("b") - p["b"])) / 0.02)
-    density = F.aggregate("ref", F.lit(0.0), lambda acc, p: acc + gap(p)) / F.size("ref")
-    return rounded(rows.crossJoin(F.broadcast(reference)).select("vec_id", F.greatest(density, F.lit(1e-12)).alias("density")))
+    """Gaussian kernel density of all vectors, in all dimensions, over a reference of one point a label: the mean of its rows.
+
+    The reference joins on a column of blocks, so it is never collected, and each vector meets it once a block.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = rows.where("label IS NOT NULL").select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    points = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("c"))
+    blocks = points.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(16)).cast("int")).groupBy("block").agg(F.collect_list("c").alias("points"))
+    square = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(blocks, "block")
+    sums = met.select("vec_id", F.aggregate("points", F.lit(0.0), lambda s, c: s + F.exp(-square(c) / 0.5)).alias("s"), F.size("points").alias("n"))
+    return rounded(sums.groupBy("vec_id").agg(F.greatest(F.sum("s") / F.sum("n"), F.lit(1e-12)).alias("density")))
 
 
 @query()
