@@ -261,11 +261,11 @@ def output_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_diagnosed(spark, sf_dir).agg(*columns, F.count("*").alias("n")))
 
 
-@query(f"WITH {MEASURES} SELECT plan_id, count(*) AS members, round(avg(prediction), 4) AS mean, round(greatest(coalesce(stddev_samp(prediction), 0), 1e-6), 4) AS sigma FROM measures GROUP BY 1")
+@query(f"WITH {MEASURES} SELECT plan_id, count(*) AS members, round(avg(prediction), 6) AS mean, round(greatest(coalesce(stddev_samp(prediction), 0), 1e-6), 6) AS sigma FROM measures GROUP BY 1")
 def ensemble_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of an ensemble's members for each plan, and their spread, which has a floor."""
     t = derived.measures(spark, sf_dir).groupBy("plan_id").agg(F.count("*").alias("members"), F.avg("prediction").alias("mean"), F.greatest(F.coalesce(F.stddev_samp("prediction"), F.lit(0.0)), F.lit(1e-6)).alias("sigma"))
-    return rounded(t, 4)
+    return rounded(t)
 
 
 @query(f"""WITH {MEASURES}, u AS (SELECT *, CASE WHEN line = 7 THEN NULL ELSE truth END AS measured, CAST(floor(deg / 90) AS BIGINT) AS sector FROM measures)
