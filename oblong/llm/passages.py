@@ -92,6 +92,19 @@ class AttentionModel:
         mean = np.add.reduceat(code * weight[:, None], first, axis=0)
         return {"x": x, "code": code, "turn": turn, "gate": gate, "bag": bag, "first": first, "weight": weight, "mean": mean, "logit": mean @ w["out"] + w["out_bias"]}
 
+    def slopes(self, rows: np.ndarray, upto: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean logistic loss of the bags by each weight."""
+        w, f = self.weights, self.forward(rows, upto)
+        bag, code, weight = f["bag"], f["code"], f["weight"]
+        error = (1 / (1 + np.exp(-f["logit"])) - labels) / len(labels)
+        d_mean = error[:, None] * w["out"]
+        d_weight = (code * d_mean[bag]).sum(axis=1)
+        d_raw = weight * (d_weight - np.add.reduceat(weight * d_weight, f["first"])[bag])
+        d_turn = d_raw[:, None] * w["attend"] * f["gate"] * (1 - f["turn"] ** 2)
+        d_gate = d_raw[:, None] * w["attend"] * f["turn"] * f["gate"] * (1 - f["gate"])
+        d_code = (weight[:, None] * d_mean[bag] + d_turn @ w["turn"].T + d_gate @ w["gate"].T) * (1 - code**2)
+        return {"code": f["x"].T @ d_code, "code_bias": d_code.sum(axis=0), "turn": code.T @ d_turn, "gate": code.T @ d_gate, "attend": (f["turn"] * f["gate"]).T @ d_raw, "out": f["mean"].T @ error, "out_bias": error.sum()}
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -115,16 +128,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], size
         for at in range(0, len(order), 128):
             chosen = order[at : at + 128]
             rows, upto = np.concatenate([bags[i] for i in chosen]), np.cumsum([len(bags[i]) for i in chosen])
-            f = model.forward(rows, upto)
-            bag, code, weight = f["bag"], f["code"], f["weight"]
-            error = (1 / (1 + np.exp(-f["logit"])) - labels[chosen]) / len(chosen)
-            d_mean = error[:, None] * w["out"]
-            d_weight = (code * d_mean[bag]).sum(axis=1)
-            d_raw = weight * (d_weight - np.add.reduceat(weight * d_weight, f["first"])[bag])
-            d_turn = d_raw[:, None] * w["attend"] * f["gate"] * (1 - f["turn"] ** 2)
-            d_gate = d_raw[:, None] * w["attend"] * f["turn"] * f["gate"] * (1 - f["gate"])
-            d_code = (weight[:, None] * d_mean[bag] + d_turn @ w["turn"].T + d_gate @ w["gate"].T) * (1 - code**2)
-            slopes = {"code": f["x"].T @ d_code, "code_bias": d_code.sum(axis=0), "turn": code.T @ d_turn, "gate": code.T @ d_gate, "attend": (f["turn"] * f["gate"]).T @ d_raw, "out": f["mean"].T @ error, "out_bias": error.sum()}
+            slopes = model.slopes(rows, upto, labels[chosen])
             step += 1
             for k in w:
                 slope = slopes[k] + 1e-4 * w[k] / max(1, len(order) // 128)
@@ -134,11 +138,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, counts: dict[int, int], size
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_label: int = 1500) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_label: int = 1500, longest: int = 1 << 20) -> AttentionModel | None:
     """Fits on about ``per_label`` documents of either label; None where no document is labelled.
 
-    The sample's bounded size allows broadcasting its ids; encoding runs where the texts are. Labels other than 0 and 1 count by
-    their sign.
+    The sample's bounded size allows broadcasting its ids; encoding runs where the texts are. Texts of more than ``longest``
+    bytes are left out of the sample, so that it is bounded in bytes too; they are scored whole like all others. Labels other
+    than 0 and 1 count by their sign.
     """
     known = labels.select(F.col(id_column).cast("long").alias("id"), (F.col(label_column) > 0).cast("int").alias("label"))
     sample, counts = labelled_sample(known, "label", F.col("id"), per_label, 2 * per_label)
@@ -154,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
                 data = [rows[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["id", "label", "rows"])
 
-    held = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(lean(run), "id long, label int, rows binary").collect()
+    held = texts.where(F.octet_length("text") <= longest).join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(lean(run), "id long, label int, rows binary").collect()
     held.sort(key=lambda r: (r["id"], r["label"], bytes(r["rows"])))
     if not held:
         return None
@@ -165,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
 def score(docs: DataFrame, labels: DataFrame, model: AttentionModel | None = None, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Score of every whole text; without a model one is trained on labels of ids whose remainder by 4 is not 2.
 
-    Null and empty texts are one passage without words. Without any label every score is 0.5. Repeated rows give repeated
+    Null and empty texts are one passage without words. A text is scored whole, whatever its length; a score of exactly the
+    threshold predicts 1. Without any label every score is 0.5. Repeated rows give repeated
     results, other columns are ignored, an empty table gives no rows. Only the text enters a score.
     """
     own = model or train(docs, labels.where(remainder(F.col(id_column), 4) != 2), "quality", id_column, text_column)
