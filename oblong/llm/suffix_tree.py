@@ -313,7 +313,8 @@ def score(docs: DataFrame, training: DataFrame | None = None, head: int = 1 << 1
     """Base score and tree score of every whole text, learned from ``training`` (texts), by default the documents whose id's remainder by 7 is not 2.
 
     Null and empty texts are the end token alone. Without training documents every count is 0 and the tree is uniform.
-    Rows are told apart by where they stand, so repeated rows give repeated results; other columns are ignored; an empty
+    A text is scored whole, whatever its length; contexts that gain exactly the least gain stay. Rows are told apart by where
+    they stand, so repeated rows give repeated results; other columns are ignored; an empty
     table gives no rows. The counts of the ``head`` most frequent words and the log probabilities of the ``head_codes`` most
     frequent symbols with their contexts (fixed numbers) go to all workers; the other words meet their counts, and the other
     symbols the branches of the tree, in shuffles.
