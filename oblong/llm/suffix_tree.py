@@ -61,8 +61,12 @@ def _codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, upto: np.nda
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    n = np.concatenate([n for _, n in parts])[order]
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def count(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -82,7 +86,7 @@ def count(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     parts.clear()
 
         for batch in batches:
-            for part in blocks(batch, 0, 2 << 20):
+            for part in blocks(batch, 0):
                 data, ends = join_texts(strings(part.column(0)))
                 starts, stops, upto = words_of(data, ends)
                 hashes = word_hashes(data, starts, stops)
@@ -94,7 +98,7 @@ def count(docs: DataFrame, text_column: str = "text") -> DataFrame:
                 for parts in (words, grams):
                     if len(parts) > 16:
                         parts[:] = [_merged(parts)]
-                if sum(len(k) for k, _ in words + grams) > 3_000_000:
+                if sum(len(k) for k, _ in words + grams) > 1_200_000:
                     yield from out()
         yield from out()
 
