@@ -234,6 +234,8 @@ def _branches(batches: Iterator[pa.RecordBatch], trunk: Trunk) -> Iterator[tuple
 
     def out(last: bool) -> Iterator[tuple[SuffixTree, np.ndarray, np.ndarray, np.ndarray]]:
         code, n, row, wanted = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(code):
+            return
         near = code >> 8 & ((1 << 8 * NEAR) - 1)
         open_ = near == near[-1]
         use = np.ones(len(code), dtype=bool) if last or wanted[-1] else ~open_
