@@ -166,15 +166,36 @@ def ks_permutation(a: np.ndarray, b: np.ndarray, seed: int, draws: int = 199) ->
     return own, (hits + 1) / (draws + 1)
 
 
-def cluster_bootstrap(successes: np.ndarray, sizes: np.ndarray, seed: int, draws: int = 1000, alpha: float = 0.05) -> tuple[float, float]:
-    """Percentile interval of a ratio of sums when whole clusters are drawn; NaN for fewer than two."""
+def cluster_bootstrap(successes: np.ndarray, sizes: np.ndarray, seed: int, draws: int = 2000, alpha: float = 0.05) -> tuple[float, float]:
+    """Percentile interval of a ratio of sums when whole clusters are drawn; NaN for fewer than two. Drawn in blocks of bounded size."""
     if len(sizes) < 2:
         return math.nan, math.nan
-    at = np.random.default_rng(seed).integers(0, len(sizes), (draws, len(sizes)))
-    ratio = successes[at].sum(axis=1) / sizes[at].sum(axis=1)
+    random, ratio = np.random.default_rng(seed), []
+    each = max(1, 2_000_000 // len(sizes))
+    for k in range(0, draws, each):
+        at = random.integers(0, len(sizes), (min(each, draws - k), len(sizes)))
+        ratio.append(successes[at].sum(axis=1) / sizes[at].sum(axis=1))
+    ratio = np.concatenate(ratio)
     return tuple(np.quantile(ratio, [alpha / 2, 1 - alpha / 2]).tolist())
 
 
+def paired_bootstrap(a: np.ndarray, b: np.ndarray, seed: int, draws: int = 10_000, alpha: float = 0.05) -> tuple[float, float, float]:
+    """Mean paired difference and its percentile interval; NaN ends for fewer than two pairs."""
+    gap = np.asarray(a, dtype=float) - np.asarray(b, dtype=float)
+    if len(gap) < 2:
+        return (float(gap.mean()) if len(gap) else math.nan), math.nan, math.nan
+    low, high = cluster_bootstrap(gap, np.ones(len(gap)), seed, draws, alpha)
+    return float(gap.mean()), low, high
+
+
+def metric_bootstrap(statistic, prediction: np.ndarray, truth: np.ndarray, seed: int, draws: int = 1000, alpha: float = 0.05) -> tuple[float, float]:
+    """Percentile interval of any statistic of paired values; draws for which it is not finite are left out."""
+    random = np.random.default_rng(seed)
+    values = [statistic(prediction[at], truth[at]) for at in (random.integers(0, len(truth), len(truth)) for _ in range(draws))] if len(truth) > 1 else []
+    finite = [v for v in values if math.isfinite(v)]
+    return tuple(np.quantile(finite, [alpha / 2, 1 - alpha / 2]).tolist()) if finite else (math.nan, math.nan)
+
+
 def crps(prediction: np.ndarray, truth: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """Gaussian continuous ranked probability score of each row."""
     z = (truth - prediction) / spread

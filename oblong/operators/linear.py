@@ -144,7 +144,7 @@ def area_cut(w: float, h: float, area: float) -> tuple[float, float]:
 
 
 def nearest_with_areas(p: Layout, reference: np.ndarray, areas: np.ndarray, rounds: int = 12, margin: float = 1e-6) -> Solution:
-    """``nearest`` with least areas, by tangents that are added where a room is too small."""
+    """``nearest`` with least areas, by tangents that are added where a room is too small; status ``limit`` if some still are after all rounds."""
     s = nearest(p, reference)
     for _ in range(rounds):
         if s.x is None:
@@ -157,6 +157,8 @@ def nearest_with_areas(p: Layout, reference: np.ndarray, areas: np.ndarray, roun
             u, v = area_cut(w[i], h[i], areas[i] + margin)
             p.add({4 * int(i) + 2: -u, 4 * int(i) + 3: -v}, -2 * (areas[i] + margin), f"area {i}")
         s = nearest(p, reference)
+    if s.x is not None and (s.x[2::4] * s.x[3::4] < areas - 1e-9).any():
+        return Solution("limit", None, np.nan, None, None)
     return s
 
 
@@ -194,6 +196,25 @@ def proof(rooms: np.ndarray, box: tuple[float, float], least_width: float, areas
     return {"inside": inside, "disjoint": disjoint, "wide": wide, "large": large}
 
 
+def whole_proof(rooms: np.ndarray, before: np.ndarray, outline: tuple[float, float, float, float], walls: list[tuple[bool, float, float, float]], budget: float) -> dict[str, bool]:
+    """Exact verdicts beyond ``proof``: no gaps and no overhang in a rectangular outline, no load-bearing wall (horizontal, place, low, high)
+    inside a room, no side moved further than the budget."""
+    q = [[Fraction(float(v)) for v in (r[0], r[1], r[0] + r[2], r[1] + r[3])] for r in rooms]
+    x0, y0, x1, y1 = (Fraction(float(v)) for v in outline)
+    xs, ys = (sorted({a, b, *(v for r in q for v in (r[k], r[k + 2]) if a < v < b)}) for k, a, b in ((0, x0, x1), (1, y0, y1)))
+    covered = all(any(r[0] <= a and r[2] >= b and r[1] <= c and r[3] >= d for r in q) for a, b in zip(xs, xs[1:], strict=False) for c, d in zip(ys, ys[1:], strict=False))
+    held = all(r[0] >= x0 and r[1] >= y0 and r[2] <= x1 and r[3] <= y1 for r in q)
+
+    def crossed(r, wall) -> bool:
+        along, across = (0, 1) if wall[0] else (1, 0)
+        place, low, high = (Fraction(float(v)) for v in wall[1:])
+        return r[across] < place < r[across + 2] and low < r[along + 2] and high > r[along]
+
+    clear = not any(crossed(r, w) for r in q for w in walls)
+    moved = max((abs(Fraction(float(a)) - Fraction(float(b))) for a, b in zip(np.ravel(rooms), np.ravel(before), strict=True)), default=Fraction(0))
+    return {"no_gaps": covered, "no_overhang": held, "walls_clear": clear, "within_budget": moved <= Fraction(float(budget))}
+
+
 def daylight(x: np.ndarray, deg: float) -> tuple[float, np.ndarray]:
     """The analytic daylight score of rooms and its gradient (the left one where the lit depth has its kink)."""
     from oblong.functions.scoring import DEPTH_FACTOR, EXPOSURE, HEAD_HEIGHT, SOUTHWARD

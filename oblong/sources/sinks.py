@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.operators.plans import per_plan
@@ -21,8 +23,14 @@ def plan_json(plans: DataFrame) -> DataFrame:
 
 
 def write_plans(plans: DataFrame, path: str) -> None:
-    """Documents as text, one a line. Plans that ``plan_json`` refuses are left out."""
-    plan_json(plans).where("json IS NOT NULL").select("json").write.text(path)
+    """Documents as text, one a line. A plan that ``plan_json`` refuses is an error: none is left out in silence."""
+    refused = F.raise_error(F.concat(F.lit("plan with a NaN or infinite number: "), F.col("plan_id").cast("string"))).cast("string")
+    plan_json(plans).select(F.coalesce("json", refused).alias("json")).write.text(path)
+
+
+def write_record(spark: SparkSession, path: str, content: dict) -> None:
+    """A small document (a manifest, a record of a run) as one line of sorted JSON; NaN is refused."""
+    spark.createDataFrame([(json.dumps(content, sort_keys=True, allow_nan=False, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -49,3 +57,23 @@ def svg(rooms: DataFrame, pixels: int = 40) -> DataFrame:
         return [(plan, f'<svg xmlns="http://www.w3.org/2000/svg" width="{pixels * right:g}" height="{pixels * top:g}">{boxes}</svg>')]
 
     return per_plan(rooms, draw, "plan_id long, svg string")
+
+
+def svg_sheet(panels: DataFrame, columns: int = 2, pixels: int = 40, gap: float = 1.0) -> DataFrame:
+    """(plan_id, svg): the states of each plan (column ``panel``: 0, 1, …) side by side at one scale, ``columns`` in a row, each with its number."""
+
+    def draw(plan: int, rows: pd.DataFrame) -> list[tuple]:
+        wide, high = float((rows["x"] + rows["w"]).max()) + gap, float((rows["y"] + rows["h"]).max()) + gap
+        parts, n = [], int(rows["panel"].max()) + 1
+        for r in rows.itertuples():
+            left, top = (r.panel % columns) * wide, (r.panel // columns) * high
+            parts.append(f'<rect x="{pixels * (left + r.x):g}" y="{pixels * (top + high - gap - r.y - r.h):g}" width="{pixels * r.w:g}" height="{pixels * r.h:g}" fill="none" stroke="black"><title>{r.panel}:{r.room_id}</title></rect>')
+        return [(plan, f'<svg xmlns="http://www.w3.org/2000/svg" width="{pixels * wide * min(columns, n):g}" height="{pixels * high * -(-n // columns):g}">{"".join(parts)}</svg>')]
+
+    return per_plan(panels, draw, "plan_id long, svg string", ("panel", "x", "y", "w", "h"))
+
+
+def svg_compare(before: DataFrame, after: DataFrame, pixels: int = 40) -> DataFrame:
+    """(plan_id, svg): each plan before and after, side by side at one scale."""
+    side = lambda rooms, k: rooms.select("plan_id", "room_id", F.lit(k).alias("panel"), "x", "y", "w", "h")
+    return svg_sheet(side(before, 0).unionByName(side(after, 1)), 2, pixels)
