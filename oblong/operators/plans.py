@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 
 
 def per_plan(rooms: DataFrame, function: Callable[[int, pd.DataFrame], list[tuple]], schema: str, columns: tuple[str, ...] = ("x", "y", "w", "h"), key: str = "plan_id", order: str = "room_id") -> DataFrame:
-    """Rows that ``function`` gives for each plan's key and its rooms in order."""
+    """Rows that ``function`` gives for each plan's key and its rooms in order.
+
+    A plan costs far more than its bytes tell, so the number of partitions is given: else adaptive execution would merge
+    small ones and leave cores idle.
+    """
     names = [part.split()[0] for part in schema.split(",")]
-    sorted_rooms = rooms.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    parts = int(rooms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rooms = rooms.select(key, order, *columns).repartition(parts, key).sortWithinPartitions(key, order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
