@@ -176,8 +176,11 @@ def proves_infeasible(p: Layout, y: np.ndarray) -> bool:
     return total < 0
 
 
-def snapped(x: np.ndarray, grid: float = 2.0**-20) -> np.ndarray:
-    """Rooms whose sides are moved to a fine binary grid, so that sides that should meet do."""
+def snapped(x: np.ndarray, grid: float = 2.0**-24) -> np.ndarray:
+    """Rooms whose sides are moved to a fine binary grid, so that sides that should meet do.
+
+    The grid is far coarser than the error of a solution, and so fine that areas stay within the margin of ``nearest_with_areas``.
+    """
     r = x.reshape(-1, 4)
     near = np.round(r[:, :2] / grid) * grid
     far = np.round((r[:, :2] + r[:, 2:]) / grid) * grid
