@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import csv
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of both versions of the plan document. Version 1 has French keys and room types.
 ROOM_TYPES_V1 = {"sejour": "living_room", "chambre": "bedroom", "cuisine": "kitchen", "sdb": "bathroom", "wc": "toilet", "couloir": "corridor"}
@@ -117,3 +126,44 @@ def read_split(spark: SparkSession, folder: str) -> DataFrame:
     if twice:
         raise ValueError(f"ids in more than one place of the split: {', '.join(twice)}")
     return ids
+
+
+def _simulation_lines(path: str, rows: int) -> Iterator[list[dict[str, str | None]]]:
+    """Rows of simulations.csv, from the file itself or from its ZIP archive, ``rows`` at a time; bytes that are no UTF-8 are replaced.
+
+    The first item holds one row with the names of the columns only.
+    """
+    with contextlib.ExitStack() as opened:
+        if path.lower().endswith(".zip"):
+            archive = opened.enter_context(zipfile.ZipFile(path))
+            names = [n for n in archive.namelist() if n.lower().endswith("simulations.csv")]
+            if not names:
+                raise ValueError(f"no simulations.csv in {path}")
+            text = io.TextIOWrapper(opened.enter_context(archive.open(names[0])), encoding="utf-8", errors="replace", newline="")
+        else:
+            text = opened.enter_context(open(path, encoding="utf-8", errors="replace", newline=""))
+        reader = csv.DictReader(text)
+        yield [dict.fromkeys(reader.fieldnames or [])]
+        while held := [{k: r[k] for k in reader.fieldnames} for r in itertools.islice(reader, rows)]:
+            yield held
+
+
+def read_simulations(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """All columns of simulations.csv as texts, streamed from its ZIP archive or from the bare file.
+
+    An archive's member can only be read from its beginning, so one task reads it, ``rows`` rows at a time, and deals them out. The path
+    must be one that every worker can open. Missing fields of a short line are null.
+    """
+    with contextlib.closing(_simulation_lines(path, rows)) as lines:
+        columns = list(next(lines)[0])
+    if not columns:
+        raise ValueError(f"no header in {path}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in batch["path"]:
+                for held in itertools.islice(_simulation_lines(one, rows), 1, None):
+                    yield pd.DataFrame(held, columns=columns)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInPandas(run, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
