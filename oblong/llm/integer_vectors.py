@@ -22,8 +22,10 @@ def integers(vectors: DataFrame, scale: int, vector_column: str, **kept: Column
     error: it could not be multiplied and added exactly.
     """
     v = F.col(vector_column).cast("array<double>")
-    floors = F.transform(v, lambda x: F.floor(x * float(scale)))
-    wide = F.exists(v, lambda x: F.abs(x * float(scale)) >= float(LIMIT))
+    # Filters may be evaluated in any order, so unusable components must not fail here.
+    narrow = lambda x: F.abs(x * float(scale)) < float(LIMIT)
+    floors = F.transform(v, lambda x: F.when(narrow(x), F.floor(x * float(scale))))
+    wide = F.exists(v, lambda x: _usable(x) & ~narrow(x))
     whole = F.when(wide, F.raise_error(F.lit("a vector's integers go beyond 2^24"))).otherwise(floors).cast("array<int>")
     columns = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in kept.items()]
     return vectors.where(v.isNotNull() & F.forall(v, _usable)).select(*columns, whole.alias("v"))

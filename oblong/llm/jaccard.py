@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -395,7 +396,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         return left
     # Ids that stand in several rows: few, so their rows alone are named by their texts' sets and decided on one by one.
     unsure = left.join(several.withColumnRenamed("doc_id", id_column), id_column, "left_semi")
-    at, text_at = "oblong_row", docs.columns.index(text_column)
+    taken, text_at = {c.lower() for c in docs.columns}, docs.columns.index(text_column)
+    at = next(c for i in itertools.count() if (c := f"oblong_row{i}") not in taken)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,8 +8,11 @@ resulting soft labels train a logistic classifier on the spans' shapes, which de
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,7 +83,8 @@ GIVEN_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Micha
 IBAN_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xoxb-", "xoxp-", "eyJ", "AIza")
 
-_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+(?![A-Za-z0-9_/+@.-]*@)")
+_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{12,}+")
+_STRETCH = re.compile(r"[A-Za-z0-9_/+@.-]+")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _PERSON = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(TITLES) + r")\.? |(?=(?:" + "|".join(GIVEN_NAMES) + r") ))[A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?")
@@ -93,8 +97,8 @@ _WINDOW = 40
 
 
 def _entropy(text: str) -> float:
-    counts = np.unique(np.frombuffer(text.encode(), dtype=np.uint8), return_counts=True)[1] / len(text.encode())
-    return float(-(counts * np.log2(counts)).sum())
+    data = text.encode()
+    return -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values())
 
 
 def _mod97(text: str) -> bool:
@@ -157,13 +161,27 @@ def _assigned_values(text: str) -> Iterator[Span]:
             yield "secret", m.start(2), m.start(2) + len(value)
 
 
+def _runs(text: str) -> Iterator[Span]:
+    """Long runs with a digit, but those that belong to something like an address: an @ follows in the same stretch of letters and dots.
+
+    Each stretch is looked through once, however many runs it has.
+    """
+    end, last = 0, -1
+    for m in _RUN.finditer(text):
+        if m.start() >= end:
+            end = _STRETCH.match(text, m.start()).end()
+            last = text.rfind("@", m.start(), end)
+        if last < m.end():
+            yield "secret", *m.span()
+
+
 def candidates(text: str, base: list[Span]) -> list[Candidate]:
     """Spans of further kinds to decide on; those that overlap a base span or an earlier candidate are left out."""
     found: list[tuple[str, int, int]] = [("person", *m.span()) for m in _PERSON.finditer(text)] if " " in text else []
     if "=" in text or ":" in text:
         found += _assigned_values(text)
     if _DIGITS.search(text):
-        found += [("secret", *m.span()) for m in _RUN.finditer(text)]
+        found += _runs(text)
         found += [("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
         found += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     if not found:
@@ -175,7 +193,7 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
         reach.append(max(b, reach[-1] if reach else 0))
     kept, until = [], 0
     for kind, a, b in sorted(found, key=lambda x: (x[1], order[x[0]], -x[2])):
-        i = int(np.searchsorted(starts, b)) - 1
+        i = bisect.bisect_left(starts, b) - 1
         if a < until or i >= 0 and reach[i] > a:
             continue
         until = b
