@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 import numpy as np
@@ -21,52 +21,119 @@ class Solution:
     certificate: np.ndarray | None
 
 
+class Program:
+    """min c x for rows a x <= b (or = b) and 0 <= x <= upper, where c >= 0: a dual simplex that goes on where it stopped.
+
+    Bounds are no rows: a variable that would leave at its upper bound is counted from there (``flipped``). The slack of an
+    equality is bounded by zero and never comes back. With c >= 0 the slack basis is dual feasible, so no first phase is needed,
+    and so is the last basis after rows were added: a cut costs the few pivots that it changes.
+    """
+
+    def __init__(self, c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarray | None = None, equal: np.ndarray | None = None):
+        rows, self.columns = a.shape
+        self.table, self.rhs = np.hstack((a, np.eye(rows))).astype(float), b.astype(float).copy()
+        self.given = c.astype(float)
+        self.cost = np.concatenate((self.given, np.zeros(rows)))
+        slack = np.full(rows, np.inf) if equal is None else np.where(equal, 0.0, np.inf)
+        self.upper = np.concatenate((np.full(self.columns, np.inf) if upper is None else upper, slack)).astype(float)
+        self.flipped = np.zeros(len(self.upper), dtype=bool)
+        self.basis = np.arange(self.columns, self.columns + rows)
+
+    def add(self, row: np.ndarray, bound: float, equal: bool = False) -> None:
+        """One more row, written in the variables that the present basis leaves free."""
+        full = np.concatenate((row, np.zeros(len(self.upper) - self.columns)))
+        if self.flipped.any():
+            bound -= float(full[self.flipped] @ self.upper[self.flipped])
+            full = np.where(self.flipped, -full, full)
+        weight = full[self.basis]
+        full, bound = full - weight @ self.table, bound - float(weight @ self.rhs)
+        self.table = np.vstack((np.hstack((self.table, np.zeros((len(self.table), 1)))), np.append(full, 1.0)))
+        self.rhs = np.append(self.rhs, bound)
+        self.basis = np.append(self.basis, len(self.upper))
+        self.upper = np.append(self.upper, 0.0 if equal else np.inf)
+        self.flipped, self.cost = np.append(self.flipped, False), np.append(self.cost, 0.0)
+
+    def _turned(self) -> np.ndarray:
+        return np.where(self.flipped[self.columns :], -1.0, 1.0)
+
+    def solve(self, most: int = 5000) -> Solution:
+        free = self.upper > 0
+        for done in range(most):
+            low, over = self.rhs, self.rhs - self.upper[self.basis]
+            worst = np.maximum(-low, over)
+            if not (worst > _EPS).any():
+                x = np.zeros(len(self.upper))
+                x[self.basis] = self.rhs
+                x = np.where(self.flipped, self.upper - x, x)[: self.columns]
+                return Solution("optimal", x, float(self.given @ x), self.cost[self.columns :] * self._turned(), None)
+            leaving = int(worst.argmax()) if done < most // 2 else int((worst > _EPS).argmax())  # the lowest index ends cycles
+            if over[leaving] > -low[leaving]:
+                out = self.basis[leaving]
+                self.rhs[leaving] = self.upper[out] - self.rhs[leaving]
+                self.table[leaving] *= -1
+                self.table[leaving, out] = 1.0
+                self.flipped[out] = not self.flipped[out]
+            line = self.table[leaving]
+            open_ = np.flatnonzero((line < -_EPS) & free)
+            if not len(open_):
+                return Solution("infeasible", None, np.inf, None, line[self.columns :] * self._turned())
+            ratio = self.cost[open_] / -line[open_]
+            tied = open_[ratio <= ratio.min() + 1e-12]
+            entering = int(tied[line[tied].argmin()] if done < most // 2 else tied[0])
+            pivot = line[entering]
+            self.table[leaving] /= pivot
+            self.rhs[leaving] /= pivot
+            factor = self.table[:, entering].copy()
+            factor[leaving] = 0.0
+            self.table -= factor[:, None] * self.table[leaving]
+            self.rhs -= factor * self.rhs[leaving]
+            self.cost -= self.cost[entering] * self.table[leaving]
+            self.basis[leaving] = entering
+        return Solution("limit", None, np.nan, None, None)
+
+
 def minimise(c: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 5000) -> Solution:
-    """min c x for a x <= b, x >= 0, where c >= 0: the slack basis is dual feasible, so no first phase is needed."""
-    rows, columns = a.shape
-    table = np.hstack((a, np.eye(rows), b[:, None])).astype(float)
-    cost = np.concatenate((c, np.zeros(rows + 1))).astype(float)
-    basis = np.arange(columns, columns + rows)
-    for _ in range(most):
-        leaving = int(table[:, -1].argmin())
-        if table[leaving, -1] >= -_EPS:
-            x = np.zeros(columns + rows)
-            x[basis] = table[:, -1]
-            return Solution("optimal", x[:columns], float(c @ x[:columns]), cost[columns:-1].copy(), None)
-        line = table[leaving, :-1]
-        open_ = np.flatnonzero(line < -_EPS)
-        if not len(open_):
-            return Solution("infeasible", None, np.inf, None, np.maximum(table[leaving, columns:-1], 0.0))
-        ratio = cost[open_] / -line[open_]
-        entering = int(open_[np.flatnonzero(ratio <= ratio.min() + 1e-12)[0]])
-        table[leaving] /= table[leaving, entering]
-        factor = table[:, entering].copy()
-        factor[leaving] = 0.0
-        table -= np.outer(factor, table[leaving])
-        cost -= cost[entering] * table[leaving]
-        basis[leaving] = entering
-    return Solution("limit", None, np.nan, None, None)
+    """min c x for a x <= b, x >= 0, where c >= 0."""
+    return Program(c, a, b).solve(most)
+
+
+#: A row of a layout: its terms by column, its bound, where it comes from, and whether it is an equality.
+Row = tuple[dict[int, float], float, str, bool]
 
 
 @dataclass
 class Layout:
-    """a x <= b and low <= x <= high, with columns x, y, w, h of each room."""
+    """a x <= b, a x = b in the rows of ``equal``, and low <= x <= high, with columns x, y, w, h of each room."""
 
     a: np.ndarray
     b: np.ndarray
     low: np.ndarray
     high: np.ndarray
     origins: list[str]
-
-    def add(self, terms: dict[int, float], bound: float, origin: str) -> None:
-        row = np.zeros((1, len(self.low)))
-        for k, v in terms.items():
-            row[0, k] = v
-        self.a, self.b = np.vstack((self.a, row)), np.append(self.b, bound)
-        self.origins.append(origin)
+    equal: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
+
+    def __post_init__(self) -> None:
+        if len(self.equal) < len(self.b):
+            self.equal = np.concatenate((self.equal, np.zeros(len(self.b) - len(self.equal), dtype=bool)))
+
+    def extend(self, rows: list[Row]) -> None:
+        """Several rows at once: (terms, bound, origin, equal)."""
+        if not rows:
+            return
+        block = np.zeros((len(rows), len(self.low)))
+        for i, (terms, *_) in enumerate(rows):
+            for k, v in terms.items():
+                block[i, k] += v
+        self.a, self.b = np.vstack((self.a, block)), np.concatenate((self.b, [r[1] for r in rows]))
+        self.equal = np.concatenate((self.equal, np.array([r[3] for r in rows], dtype=bool)))
+        self.origins += [r[2] for r in rows]
+
+    def add(self, terms: dict[int, float], bound: float, origin: str, equal: bool = False) -> None:
+        self.extend([(terms, bound, origin, equal)])
 
     def contains(self, x: np.ndarray, slack: float = 1e-6) -> bool:
-        return bool((self.a @ x <= self.b + slack).all() and (x >= self.low - slack).all() and (x <= self.high + slack).all())
+        rest = self.a @ x - self.b
+        return bool((rest <= slack).all() and (rest[self.equal] >= -slack).all() and (x >= self.low - slack).all() and (x <= self.high + slack).all())
 
 
 def pairwise_edges(rooms: np.ndarray) -> list[tuple[int, int, int]]:
@@ -105,36 +172,102 @@ def layout(rooms: np.ndarray, box: tuple[float, float], least_width: float) -> L
     low = np.tile([0.0, 0.0, least_width, least_width], n)
     high = np.tile([box[0], box[1], box[0], box[1]], n).astype(float)
     p = Layout(np.zeros((0, 4 * n)), np.zeros(0), low, high, [])
-    for axis, a, b in reduction(n, pairwise_edges(rooms)):
-        p.add({4 * a + axis: 1.0, 4 * a + axis + 2: 1.0, 4 * b + axis: -1.0}, 0.0, f"separation {'xy'[axis]} {a}|{b}")
-    for i in range(n):
-        for axis in (0, 1):
-            p.add({4 * i + axis: 1.0, 4 * i + axis + 2: 1.0}, box[axis], f"box {'xy'[axis]} {i}")
+    rows: list[Row] = [({4 * a + axis: 1.0, 4 * a + axis + 2: 1.0, 4 * b + axis: -1.0}, 0.0, f"separation {'xy'[axis]} {a}|{b}", False) for axis, a, b in reduction(n, pairwise_edges(rooms))]
+    p.extend(rows + [({4 * i + axis: 1.0, 4 * i + axis + 2: 1.0}, box[axis], f"box {'xy'[axis]} {i}", False) for i in range(n) for axis in (0, 1)])
     return p
 
 
+class Nearest:
+    """The point of a layout with the least L1 distance from a reference: x = start + up - down, where the start is the reference
+    brought within the bounds. Cuts may be added and the program solved again from where it stands."""
+
+    def __init__(self, p: Layout, reference: np.ndarray):
+        self.p, self.crossed = p, np.flatnonzero(p.low > p.high)
+        self.start = np.clip(reference, p.low, p.high)
+        self.away = float(np.abs(self.start - reference).sum())
+        if not len(self.crossed):
+            upper = np.concatenate((p.high - self.start, self.start - p.low))
+            self.program = Program(np.ones(2 * len(reference)), np.hstack((p.a, -p.a)), p.b - p.a @ self.start, upper, p.equal)
+
+    def cut(self, terms: dict[int, float], bound: float, origin: str) -> None:
+        self.p.add(terms, bound, origin)
+        row = self.p.a[-1]
+        self.program.add(np.concatenate((row, -row)), bound - float(row @ self.start))
+
+    def solve(self) -> Solution:
+        """Its duals are those of the rows; its certificate has weights of the rows, then of the upper and of the lower bounds."""
+        n = len(self.start)
+        if len(self.crossed):  # an upper bound below the lower one is a proof by itself
+            y = np.zeros(len(self.p.b) + 2 * n)
+            y[len(self.p.b) + self.crossed[0]] = y[len(self.p.b) + n + self.crossed[0]] = 1.0
+            return Solution("infeasible", None, np.inf, None, y)
+        s = self.program.solve()
+        if s.x is None:
+            return s if s.certificate is None else Solution(s.status, None, np.inf, None, np.concatenate((s.certificate, np.zeros(2 * n))))
+        return Solution(s.status, self.start + s.x[:n] - s.x[n:], s.value + self.away, s.duals, None)
+
+
 def nearest(p: Layout, reference: np.ndarray) -> Solution:
-    """The point of the layout with the least L1 distance: x = reference + up - down. Its duals and certificate have the rows
-    of p.a, then those of the upper and of the lower bounds."""
-    eye = np.eye(len(reference))
-    whole = np.vstack((p.a, eye, -eye))
-    bound = np.concatenate((p.b, p.high, -p.low)) - whole @ reference
-    s = minimise(np.ones(2 * len(reference)), np.hstack((whole, -whole)), bound)
-    if s.x is None:
-        return s
-    return Solution(s.status, reference + s.x[: len(reference)] - s.x[len(reference) :], s.value, s.duals, None)
+    """The point of the layout with the least L1 distance."""
+    return Nearest(p, reference).solve()
+
+
+class Oracle:
+    """Minimises one linear cost after another over a layout. Equalities are solved once: what they leave free are a few columns, and
+    the bounds of the others become rows, of which equal ones are kept once."""
+
+    def __init__(self, p: Layout):
+        e, rest = p.a[p.equal].astype(float), p.b[p.equal].astype(float)
+        taken: list[int] = []
+        self.feasible, done = True, 0
+        for i in range(len(e)):
+            pivot = int(np.abs(e[i]).argmax()) if e.shape[1] else 0
+            if not e.shape[1] or abs(e[i, pivot]) < 1e-9:
+                self.feasible &= abs(rest[i]) < 1e-6
+                continue
+            rest[i] /= e[i, pivot]
+            e[i] /= e[i, pivot]
+            factor = e[:, pivot].copy()
+            factor[i] = 0.0
+            e -= factor[:, None] * e[i]
+            rest -= factor * rest[i]
+            e[[done, i]], rest[[done, i]] = e[[i, done]], rest[[i, done]]
+            taken.append(pivot)
+            done += 1
+        self.free = np.setdiff1d(np.arange(len(p.low)), taken)
+        self.base, self.map = np.zeros(len(p.low)), np.zeros((len(p.low), len(self.free)))
+        self.map[self.free, np.arange(len(self.free))] = 1.0
+        self.base[taken], self.map[taken] = rest[:done], -e[:done][:, self.free]
+        self.low, self.high = p.low[self.free], p.high[self.free]
+        loose, own = p.a[~p.equal], np.array(taken, dtype=int)
+        rows = np.vstack((loose @ self.map, self.map[own], -self.map[own]))
+        bound = np.concatenate((p.b[~p.equal] - loose @ self.base, p.high[own] - self.base[own], self.base[own] - p.low[own]))
+        telling = np.abs(rows).max(axis=1, initial=0.0) > 1e-9
+        self.feasible &= bool((bound[~telling] >= -1e-6).all())
+        best: dict[bytes, int] = {}
+        for i in np.flatnonzero(telling).tolist():
+            name = (np.round(rows[i], 9) + 0.0).tobytes()
+            if name not in best or bound[i] < bound[best[name]]:
+                best[name] = i
+        kept = sorted(best.values())
+        self.rows, self.bound = rows[kept], bound[kept]
+
+    def minimum(self, c: np.ndarray) -> Solution:
+        """Columns of negative cost count from their upper bounds."""
+        if not self.feasible:
+            return Solution("infeasible", None, np.inf, None, None)
+        cost = c @ self.map
+        sign, start = np.where(cost >= 0, 1.0, -1.0), np.where(cost >= 0, self.low, self.high)
+        s = Program(np.abs(cost), self.rows * sign, self.bound - self.rows @ start, self.high - self.low).solve()
+        if s.x is None:
+            return Solution(s.status, None, s.value, None, None)
+        x = self.base + self.map @ (start + sign * s.x)
+        return Solution(s.status, x, float(c @ x), None, None)
 
 
 def linear_oracle(p: Layout, c: np.ndarray) -> Solution:
-    """The point of the layout that minimises c x: columns of negative cost count from their upper bounds."""
-    sign = np.where(c >= 0, 1.0, -1.0)
-    start = np.where(c >= 0, p.low, p.high)
-    a = p.a * sign
-    s = minimise(np.abs(c), np.vstack((a, np.eye(len(c)))), np.concatenate((p.b - p.a @ start, p.high - p.low)))
-    if s.x is None:
-        return s
-    x = start + sign * s.x
-    return Solution(s.status, x, float(c @ x), s.duals, None)
+    """The point of the layout that minimises c x."""
+    return Oracle(p).minimum(c)
 
 
 def area_cut(w: float, h: float, area: float) -> tuple[float, float]:
@@ -145,7 +278,8 @@ def area_cut(w: float, h: float, area: float) -> tuple[float, float]:
 
 def nearest_with_areas(p: Layout, reference: np.ndarray, areas: np.ndarray, rounds: int = 12, margin: float = 1e-6) -> Solution:
     """``nearest`` with least areas, by tangents that are added where a room is too small; status ``limit`` if some still are after all rounds."""
-    s = nearest(p, reference)
+    program = Nearest(p, reference)
+    s = program.solve()
     for _ in range(rounds):
         if s.x is None:
             return s
@@ -155,8 +289,8 @@ def nearest_with_areas(p: Layout, reference: np.ndarray, areas: np.ndarray, roun
             return s
         for i in short:
             u, v = area_cut(w[i], h[i], areas[i] + margin)
-            p.add({4 * int(i) + 2: -u, 4 * int(i) + 3: -v}, -2 * (areas[i] + margin), f"area {i}")
-        s = nearest(p, reference)
+            program.cut({4 * int(i) + 2: -u, 4 * int(i) + 3: -v}, -2 * (areas[i] + margin), f"area {i}")
+        s = program.solve()
     if s.x is not None and (s.x[2::4] * s.x[3::4] < areas - 1e-9).any():
         return Solution("limit", None, np.nan, None, None)
     return s
@@ -165,10 +299,11 @@ def nearest_with_areas(p: Layout, reference: np.ndarray, areas: np.ndarray, roun
 def proves_infeasible(p: Layout, y: np.ndarray) -> bool:
     """Whether weights of the rows, upper and lower bounds add up to 0 x <= something negative, in rational arithmetic.
 
-    What rounding leaves in a column is paid for by its bounds, so that the check is exact.
+    Weights of equalities may be negative. What rounding leaves in a column is paid for by its bounds, so that the check is exact.
     """
     rows, n = p.a.shape
-    weights = [Fraction(float(v)) for v in np.maximum(y, 0.0)]
+    either = np.concatenate((p.equal, np.zeros(2 * n, dtype=bool)))
+    weights = [Fraction(float(v)) for v in np.where(either, y, np.maximum(y, 0.0))]
     total = sum((w * Fraction(float(b)) for w, b in zip(weights, np.concatenate((p.b, p.high, -p.low)), strict=True)), Fraction(0))
     for k in range(n):
         column = sum((weights[i] * Fraction(float(p.a[i, k])) for i in np.flatnonzero(p.a[:, k])), Fraction(0)) + weights[rows + k] - weights[rows + n + k]
@@ -239,12 +374,13 @@ def frank_wolfe(p: Layout, start: np.ndarray, deg: float, radius: float, most: i
 
     Returns the point, (value, gap, step) of each iteration and why it ended.
     """
-    box = Layout(p.a, p.b, np.maximum(p.low, start - radius), np.minimum(p.high, start + radius), p.origins)
+    box = Layout(p.a, p.b, np.maximum(p.low, start - radius), np.minimum(p.high, start + radius), p.origins, p.equal)
     box.low, box.high = np.minimum(box.low, start), np.maximum(box.high, start)
+    oracle = Oracle(box)
     x, atoms, weights, trace = start.copy(), [start.copy()], [1.0], []
     for _ in range(most):
         value, slope = daylight(x, deg)
-        s = linear_oracle(box, -slope)
+        s = oracle.minimum(-slope)
         if s.x is None:
             return x, trace, s.status
         gap = float(slope @ (s.x - x))
