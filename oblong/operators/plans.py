@@ -10,15 +10,20 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
-def per_plan(rooms: DataFrame, function: Callable[[int, pd.DataFrame], list[tuple]], schema: str, columns: tuple[str, ...] = ("x", "y", "w", "h"), key: str = "plan_id", order: str = "room_id") -> DataFrame:
+def _plain(key: object) -> object:
+    return key.item() if hasattr(key, "item") else key
+
+
+def per_plan(rooms: DataFrame, function: Callable[[int | str, pd.DataFrame], list[tuple]], schema: str, columns: tuple[str, ...] = ("x", "y", "w", "h"), key: str = "plan_id", order: str = "room_id") -> DataFrame:
     """Rows that ``function`` gives for each plan's key and its rooms in order.
 
     A plan costs far more than its bytes tell, so the number of partitions is given: else adaptive execution would merge
     small ones and leave cores idle.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
     parts = int(rooms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rooms = rooms.select(key, order, *columns).repartition(parts, key).sortWithinPartitions(key, order)
 
@@ -31,8 +36,8 @@ def per_plan(rooms: DataFrame, function: Callable[[int, pd.DataFrame], list[tupl
             last = rows[key].iloc[-1]
             done, held = rows[rows[key] != last], rows[rows[key] == last]
             if len(done):
-                yield pd.DataFrame([r for k, g in done.groupby(key, sort=False) for r in function(int(k), g)], columns=names)
+                yield pd.DataFrame([r for k, g in done.groupby(key, sort=False) for r in function(_plain(k), g)], columns=names)
         if held is not None and len(held):
-            yield pd.DataFrame(function(int(held[key].iloc[0]), held), columns=names)
+            yield pd.DataFrame(function(_plain(held[key].iloc[0]), held), columns=names)
 
     return sorted_rooms.mapInPandas(run, schema)

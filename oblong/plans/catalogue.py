@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oblong.plans import bench_queries, extension_queries, geometry_queries, grid_queries, layout_queries, model_queries, more_queries, plan_queries, polygon_queries, repair_queries, stream_queries, table_queries  # noqa: F401  they register their queries
+from oblong.plans import bench_queries, extension_queries, file_queries, geometry_queries, grid_queries, layout_queries, model_queries, more_queries, plan_queries, polygon_queries, repair_queries, stream_queries, table_queries  # noqa: F401  they register their queries
 from oblong.plans.registry import QUERIES, SQL, Query
 
 

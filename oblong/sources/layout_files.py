@@ -9,11 +9,15 @@ import itertools
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from oblong.operators import conversion
+from oblong.operators.plans import per_plan
+
 #: Names of both versions of the plan document. Version 1 has French keys and room types.
 ROOM_TYPES_V1 = {"sejour": "living_room", "chambre": "bedroom", "cuisine": "kitchen", "sdb": "bathroom", "wc": "toilet", "couloir": "corridor"}
 
@@ -31,12 +35,13 @@ def _renamed(name: str, fields: dict[str, str]) -> Column:
     return F.transform(name, lambda e: F.struct(*[e[old].alias(new) for old, new in fields.items()]))
 
 
-def read_plans(spark: SparkSession, path: str) -> DataFrame:
+def read_plans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row for each plan document, version 1 upgraded: (plan_id, schema, outline, rooms, walls, openings, problem).
 
-    ``problem`` says why a document can't be read; null where it can. The plan's id is its file's name.
+    ``problem`` says why a document can't be read; null where it can. The plan's id is its file's name. With ``lines`` a file holds one
+    document a line, as ``sinks.write_plans`` writes them, and such a file can be split among tasks.
     """
-    raw = spark.read.schema(PLAN).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("plan_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1))
+    raw = spark.read.schema(PLAN).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("plan_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1))
     types = F.create_map(*[F.lit(x) for kv in ROOM_TYPES_V1.items() for x in kv])
     rooms = F.transform("pieces", lambda r: r.withField("type", F.coalesce(F.try_element_at(types, r["type"]), r["type"])))
     walls = _renamed("murs", {"id": "id", "a": "a", "b": "b", "porteur": "load_bearing", "epaisseur": "thickness"})
@@ -89,12 +94,46 @@ def identifier(text: Column) -> Column:
 
 
 def read_corpus(spark: SparkSession, path: str, excluded: tuple[str, ...] = ("BALCONY", "LOGGIA", "TERRACE")) -> DataFrame:
-    """Areas, walls, columns and windows of apartments from a CSV corpus, with their points and bounding boxes."""
+    """Areas, walls, columns and windows of apartments from a CSV corpus, with their points and bounding boxes, numbered by ``at`` in the
+    order of the files."""
     rows = spark.read.option("header", True).csv(path).select("apartment_id", "entity_type", "entity_subtype", "geom", "area_id", "site_id")
     kept = (F.col("entity_type") == "area") & ~F.col("entity_subtype").isin(*excluded) | F.col("entity_subtype").isin("WALL", "COLUMN", "WINDOW")
-    points = rows.where(kept).withColumn("points", wkt_points(F.col("geom")))
+    points = rows.withColumn("at", F.monotonically_increasing_id()).where(kept).withColumn("points", wkt_points(F.col("geom")))
     x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    return points.select("apartment_id", "entity_type", "entity_subtype", identifier(F.col("area_id")).alias("area_id"), identifier(F.col("site_id")).alias("site_id"), "points", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+    return points.select("apartment_id", "entity_type", "entity_subtype", identifier(F.col("area_id")).alias("area_id"), identifier(F.col("site_id")).alias("site_id"), "points", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"), "at")
+
+
+_APARTMENT = (
+    "apartment_id string, site_id string, reason string, angle double, rooms array<struct<x:double,y:double,w:double,h:double,type:string,source:int>>, outline array<double>, "
+    "walls array<array<double>>, openings array<struct<wall:int,s:double,relative_width:double>>, columns array<array<double>>"
+)
+
+
+def converted(corpus: DataFrame, **options: float) -> DataFrame:
+    """One row an apartment of ``read_corpus``: its plan as rectangles, outline (x and y in turn), walls, openings and columns, in the frame
+    that ``angle`` was turned back to; or the first reason why there is none. ``options``: most_rooms, most_rectangles, snap, stitch."""
+    flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
+    rows = corpus.where("apartment_id IS NOT NULL").select("apartment_id", "at", "site_id", "entity_type", "entity_subtype", flat.alias("corners"))
+
+    def run(apartment: str, entities: pd.DataFrame) -> list[tuple]:
+        sites = [s for s in entities["site_id"] if s]
+        given = [(k, s, None if c is None else np.asarray(c, dtype=float).reshape(-1, 2)) for k, s, c in zip(entities["entity_type"], entities["entity_subtype"], entities["corners"], strict=True)]
+        try:
+            a = conversion.convert(given, **options)
+        except conversion.Rejected as rejected:
+            return [(apartment, sites[0] if sites else None, str(rejected), None, None, None, None, None, None)]
+        rooms = [dict(zip(("x", "y", "w", "h", "type", "source"), r, strict=True)) for r in a.rooms]
+        openings = [dict(zip(("wall", "s", "relative_width"), o, strict=True)) for o in a.openings]
+        return [(apartment, sites[0] if sites else None, None, a.angle, rooms, a.outline.ravel().tolist(), [list(w) for w in a.walls], openings, [list(c) for c in a.columns])]
+
+    return per_plan(rows, run, _APARTMENT, ("site_id", "entity_type", "entity_subtype", "corners"), "apartment_id", "at")
+
+
+def conversion_statistics(apartments: DataFrame) -> DataFrame:
+    """(reason, n, share) of ``converted``: how many apartments were kept (reason null) and why the others were not."""
+    counts = apartments.groupBy("reason").agg(F.count("*").alias("n"))
+    read = F.sum("n").over(Window.partitionBy())  # over one row a reason
+    return counts.select("reason", "n", (F.col("n") / read).alias("share"))
 
 
 def unreadable_apartments(corpus: DataFrame) -> DataFrame:
