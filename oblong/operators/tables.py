@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,56 +55,78 @@ def top(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def ranked(rows: DataFrame, group: list[str], value: str, order: list[str] | None = None, name: str = "i_", total: str = "m_", ranges: int = 64) -> DataFrame:
-    """The rows with their place within their group (``name``, ties by ``order``; without it, the place of the first of equals) and the
-    group's size (``total``).
+def _same(names: list[str], other: str = "g_") -> Column:
+    """Groups are equal, null ones too."""
+    return functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{other}{g}")) for g in names])
+
 
-    No task sorts a whole group: approximate quantiles cut it into ranges of values, a row's place is that within its range and the
-    count of all ranges before, so it is exact wherever the cuts are.
+def placed(rows: DataFrame, group: list[str], values: list[str], total: str = "m_", ranges: int = 64) -> DataFrame:
+    """The rows with their group's size and, for each of ``values``, the range of values that they are in (``range_<value>``) and how many
+    rows of the group are in the ranges before (``before_<value>``). Null values are in a last range of their own, null groups are groups.
+
+    Approximate quantiles cut a group into ranges, so no task needs a whole group; counts are exact wherever the cuts are. The rows are
+    read three times, for cuts, for counts and for themselves, however many values are ranked.
     """
-    cuts = rows.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(2000)).alias("cuts_"), F.count("*").alias(total))
-    at = F.size(F.filter("cuts_", lambda c: c < F.col(value)))
-    placed = rows.join(cuts, group).withColumn("range_", at).drop("cuts_")
-    counts = placed.groupBy(*group, "range_").agg(F.count("*").alias("held_"))
-    before = counts.select(*group, "range_", (F.sum("held_").over(Window.partitionBy(*group).orderBy("range_")) - F.col("held_")).alias("before_"))
-    w = Window.partitionBy(*group, "range_").orderBy(value, *(order or []))
+    inner = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    named = [F.col(g).alias(f"g_{g}") for g in group]
+    cuts = rows.groupBy(*group).agg(F.count("*").alias(total), *[F.percentile_approx(v, inner, F.lit(2000)).alias(f"cuts_{v}") for v in values]).select(*named, total, *[f"cuts_{v}" for v in values])
+    at = lambda v: F.when(F.col(v).isNull(), F.lit(ranges)).otherwise(F.size(F.filter(f"cuts_{v}", lambda c: c < F.col(v))))
+    both = rows.join(cuts, _same(group)).select(*[rows[c] for c in rows.columns], total, *[at(v).alias(f"range_{v}") for v in values])
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("k_"), F.col(f"range_{v}").alias("range_")) for k, v in enumerate(values)]))
+    counts = both.select(*group, entries.alias("e_")).groupBy(*group, "e_.k_", "e_.range_").agg(F.count("*").alias("held_"))
+    own = Window.partitionBy(*group, "k_").orderBy("range_")
+    upto = counts.withColumn("before_", F.sum("held_").over(own) - F.col("held_"))
+    maps = upto.groupBy(*group).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("k_") == k, F.struct("range_", "before_")))).alias(f"map_{v}") for k, v in enumerate(values)])
+    found = both.join(maps.select(*named, *[f"map_{v}" for v in values]), _same(group))
+    return found.select(*both.columns, *[F.try_element_at(f"map_{v}", F.col(f"range_{v}")).alias(f"before_{v}") for v in values])
+
+
+def ranked(rows: DataFrame, group: list[str], value: str, order: list[str] | None = None, name: str = "i_", total: str = "m_", ranges: int = 64) -> DataFrame:
+    """The rows with their place within their group (``name``, ties by ``order``; without it, the place of the first of equals) and the
+    group's size (``total``). Null values come last; rows of null groups are ranked among themselves."""
+    w = Window.partitionBy(*group, f"range_{value}").orderBy(F.asc_nulls_last(value), *(order or []))
     within = F.row_number().over(w) if order else F.rank().over(w)
-    return placed.join(before, [*group, "range_"]).withColumn(name, (F.col("before_") + within).cast("long")).drop("range_", "before_")
+    return placed(rows, group, [value], total, ranges).withColumn(name, (F.col(f"before_{value}") + within).cast("long")).drop(f"range_{value}", f"before_{value}")
 
 
-def average_ranks(rows: DataFrame, group: list[str], column: str, name: str) -> DataFrame:
-    """Ranks in which ties share their mean."""
-    ties = F.count("*").over(Window.partitionBy(*group, column))
-    return ranked(rows, group, column, name="first_").withColumn(name, F.col("first_") + (ties - 1) / 2.0).drop("first_", "m_")
+def average_ranks(rows: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
+    """Ranks in which ties share their mean, for each column under its name in ``columns``; null values have no rank."""
+    out = placed(rows, group, list(columns))
+    for value, name in columns.items():
+        range_ = Window.partitionBy(*group, f"range_{value}")
+        ties = F.count("*").over(Window.partitionBy(*group, f"range_{value}", value))  # equal values are in one range, so this needs no further shuffle
+        rank = F.col(f"before_{value}") + F.rank().over(range_.orderBy(F.asc_nulls_last(value))) + (ties - 1) / 2.0
+        out = out.withColumn(name, F.when(F.col(value).isNotNull(), rank))
+    return out.drop("m_", *[f"{k}_{v}" for v in columns for k in ("range", "before")])
 
 
 def spearman(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """Correlation of average ranks; null for fewer than three rows or a constant column."""
-    ranked = average_ranks(average_ranks(rows, group, a, "ra_"), group, b, "rb_")
+    """Correlation of average ranks; null for fewer than three rows or a constant column. Rows that lack a value are left out."""
+    held = average_ranks(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b), group, {a: "ra_", b: "rb_"})
     flat = (F.stddev_pop("ra_") == 0) | (F.stddev_pop("rb_") == 0) | (F.count("*") < 3)
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(~flat, F.corr("ra_", "rb_")).alias("spearman"))
+    return held.groupBy(*group).agg(F.count("*").alias("n"), F.when(~flat, F.corr("ra_", "rb_")).alias("spearman"))
 
 
 def holm(tests: DataFrame, group: list[str], p: str, id_: str, alpha: float) -> DataFrame:
     """Step-down: the i-th smallest p of m against alpha / (m - i + 1), until one fails."""
-    placed = ranked(tests, group, p, [id_])
+    places = ranked(tests, group, p, [id_])
     fails = F.when(F.col(p) > alpha / (F.col("m_") - F.col("i_") + 1), F.col("i_"))
-    first = placed.groupBy(*group).agg(F.min(fails).alias("first_"))
-    return placed.join(first, group).withColumn("rejected", F.coalesce(F.col("i_") < F.col("first_"), F.lit(True))).drop("i_", "m_", "first_")
+    first = places.groupBy(*group).agg(F.min(fails).alias("first_")).select(*[F.col(g).alias(f"g_{g}") for g in group], "first_")
+    return places.join(first, _same(group)).drop(*[f"g_{g}" for g in group]).withColumn("rejected", F.coalesce(F.col("i_") < F.col("first_"), F.lit(True))).drop("i_", "m_", "first_")
 
 
 def benjamini_hochberg(tests: DataFrame, group: list[str], p: str, id_: str, q: float) -> DataFrame:
     """Step-up: all tests up to the last whose p is at most q i / m."""
-    placed = ranked(tests, group, p, [id_])
-    last = placed.groupBy(*group).agg(F.max(F.when(F.col(p) <= q * F.col("i_") / F.col("m_"), F.col("i_"))).alias("last_"))
-    return placed.join(last, group).withColumn("rejected", F.coalesce(F.col("i_") <= F.col("last_"), F.lit(False))).drop("i_", "m_", "last_")
+    places = ranked(tests, group, p, [id_])
+    last = places.groupBy(*group).agg(F.max(F.when(F.col(p) <= q * F.col("i_") / F.col("m_"), F.col("i_"))).alias("last_")).select(*[F.col(g).alias(f"g_{g}") for g in group], "last_")
+    return places.join(last, _same(group)).drop(*[f"g_{g}" for g in group]).withColumn("rejected", F.coalesce(F.col("i_") <= F.col("last_"), F.lit(False))).drop("i_", "m_", "last_")
 
 
 def conformal_quantile(scores: DataFrame, group: list[str], score: str, alpha_percent: int) -> DataFrame:
     """The k-th smallest score, k = ceil((n + 1)(1 - alpha)), a rank and not an interpolation; null where k > n."""
     k = F.ceil((F.col("m_") + 1) * F.lit(100 - alpha_percent) / 100)
-    placed = ranked(scores, group, score)  # equal scores share the place of the first: the k-th is the last whose place is at most k
-    return placed.groupBy(*group).agg(F.first("m_").alias("n"), F.max(F.when((F.col("i_") <= k) & (k <= F.col("m_")), F.col(score))).alias("q"))
+    places = ranked(scores, group, score)  # equal scores share the place of the first: the k-th is the last whose place is at most k
+    return places.groupBy(*group).agg(F.first("m_").alias("n"), F.max(F.when((F.col("i_") <= k) & (k <= F.col("m_")), F.col(score))).alias("q"))
 
 
 def stable_split(rows: DataFrame, group: str, fractions: tuple[float, ...], names: tuple[str, ...], seed: str) -> DataFrame:
@@ -128,6 +151,64 @@ def leaking(assignment: DataFrame, source: str, part: str) -> DataFrame:
     return assignment.groupBy(source).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
 
 
+def kernel_densities(rows: DataFrame, reference: DataFrame, id_: str, vector: str, bandwidth: float, tile_rows: int = 2048) -> DataFrame:
+    """(id, density) of every row: the mean Gaussian kernel to all rows of ``reference``, whole vectors, at least 1e-12.
+
+    Rows and reference are cut into tiles by a hash, and a task is given one tile of either at a time; only sums leave it. Comparing all
+    with all is what the density is, so the work grows with the product of both sizes, but no task's share does. Null vectors have none.
+    """
+    own, other = rows.where(F.col(vector).isNotNull()), reference.where(F.col(vector).isNotNull())
+    n_own, n_other = (max(1, -(-d.count() // tile_rows)) for d in (own, other))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tile = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), vector), F.lit(n)).cast("int")
+    left = own.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), tile(n_own, 1).alias("tile"), every(n_other).alias("block"), F.lit(True).alias("own"))
+    right = other.select(F.lit(None).cast(own.schema[id_].dataType).alias("id"), F.col(vector).cast("array<double>").alias("v"), every(n_own).alias("tile"), tile(n_other, 2).alias("block"), F.lit(False).alias("own"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        a, b = (table.filter(pa.array(table.column("own").to_numpy() == side)) for side in (True, False))
+        total = np.zeros(a.num_rows)
+        if a.num_rows and b.num_rows:
+            x, y = (np.array(t.column("v").to_pylist(), dtype=float) for t in (a, b))
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                far = ((part**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * part @ y.T).clip(min=0)
+                total[at : at + 256] = np.exp(-far / (2 * bandwidth**2)).sum(axis=1)
+        return pa.Table.from_arrays([a.column("id"), pa.array(total), pa.array([b.num_rows] * a.num_rows, pa.int64())], names=["id", "s", "n"])
+
+    kind = own.schema[id_].dataType.simpleString()
+    parts = left.unionByName(right).groupBy("tile", "block").applyInArrow(sums, f"id {kind}, s double, n bigint")
+    return parts.groupBy("id").agg(F.greatest(F.sum("s") / F.sum("n"), F.lit(1e-12)).alias("density")).withColumnRenamed("id", id_)
+
+
+def envelope_distances(rows: DataFrame, id_: str, vector: str, ridge: float = 1e-6) -> DataFrame:
+    """(id, distance) of every vector from the table's mean, in the metric of its ridge-regularised covariance: all dimensions.
+
+    The moments are sums over all rows; what reaches the driver is one number a pair of dimensions, and what goes to tasks likewise.
+    """
+    held = rows.where(F.col(vector).isNotNull()).select(id_, F.col(vector).cast("array<double>").alias("v"))
+    cells = covariances(held.select(F.lit(0).alias("all_"), "v"), "all_", "v").select("i", "j", "cov").collect()
+    if not cells:
+        return held.select(id_, F.lit(None).cast("double").alias("distance"))
+    size = 1 + max(c.i for c in cells)
+    table = np.zeros((size, size))
+    for c in cells:
+        table[c.i, c.j] = table[c.j, c.i] = c.cov
+    inverse = np.linalg.inv(table + ridge * np.eye(size))
+    means = held.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m")).collect()
+    mean = np.zeros(size)
+    for r in means:
+        mean[r.k] = r.m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gap = np.array(batch.column(1).to_pylist(), dtype=float) - mean
+                far = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", gap, inverse, gap, optimize=True), 0.0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(far)], [id_, "distance"])
+
+    return held.mapInArrow(run, f"{id_} {held.schema[id_].dataType.simpleString()}, distance double")
+
+
 def covariances(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, i, j, n, cov) of the vectors' components, i <= j, for vectors of one length in each group.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oblong.operators.graphs import components, kept
 from oblong.operators.layouts import SNAP, both, coverage, pair_spans
 
 #: The sides of a room by axis, and its fields as columns of a decision vector.
@@ -105,6 +106,28 @@ def polygon_edges(corners: DataFrame) -> DataFrame:
     return moved.select("plan_id", "room_id", "k", F.pmod(F.degrees(F.atan2("dy", "dx")) + 180.0, F.lit(180.0)).alias("angle"), F.hypot("dx", "dy").alias("length"))
 
 
+def near_duplicate_groups(rooms: DataFrame, threshold: float, cell: float = 1.0, leading: int = 8) -> DataFrame:
+    """(plan_id, class_id, copies, n_links, group_id) of every plan: near duplicates as classes of equal plans and groups of linked ones.
+
+    Plans whose rooms have equal ids and numbers are one class, named by its smallest plan; only classes are compared, so m copies cost
+    m rows and no pairs. ``n_links`` counts the other plans within the threshold, copies included; ``group_id`` is the smallest plan that
+    links lead to. Every link between different plans is found, and none is written out for its copies.
+    """
+    held = F.array_sort(F.collect_list(F.struct("room_id", *FIELDS)))
+    plans = rooms.groupBy("plan_id").agg(F.sha2(F.to_json(held), 256).alias("print"))
+    # A class may hold a third of all plans: its smallest plan comes from an aggregation, and plans get it back by a join that Spark may split.
+    classes = plans.groupBy("print").agg(F.min("plan_id").alias("class_id"), F.count("*").alias("copies"))
+    members = kept(plans.join(classes, "print").select("plan_id", "class_id", "copies"), "members")
+    heads = members.where("plan_id = class_id")
+    links = kept(near_duplicates(rooms.join(heads.select("plan_id"), "plan_id", "left_semi"), threshold, cell, leading).select(F.col("plan_id").alias("a"), F.col("other").alias("b")), "links")
+    sizes = heads.select("class_id", "copies")
+    side = lambda own, far: links.select(F.col(own).alias("class_id"), F.col(far).alias("far"))
+    met = side("a", "b").unionByName(side("b", "a")).join(sizes.select(F.col("class_id").alias("far"), F.col("copies").alias("far_copies")), "far")
+    facts = sizes.join(met.groupBy("class_id").agg(F.sum("far_copies").alias("met")), "class_id", "left").join(components(links, "a", "b").withColumnRenamed("id", "class_id"), "class_id", "left")
+    facts = facts.select("class_id", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("group_id"))
+    return members.join(facts, "class_id").select("plan_id", "class_id", "copies", "n_links", "group_id")
+
+
 def near_duplicates(rooms: DataFrame, threshold: float, cell: float = 1.0, leading: int = 8) -> DataFrame:
     """(plan_id, other, distance) of plans with rooms of equal ids, none of whose numbers differs by more than the threshold.
 

@@ -32,13 +32,14 @@ def azimuth_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.select("plan_id", "variant", F.pmod(F.col("deg") + F.col("variant") * 45, F.lit(360.0)).alias("azimuth"))
 
 
-@query("""WITH p AS (SELECT CASE WHEN i = 53 THEN 0 ELSE i END AS seed, i AS plan_id FROM (SELECT unnest(range(90)) AS i) q), c AS (SELECT plan_id, 3.0 + seed % 9 * 0.25 AS cx, 3.0 + seed // 9 * 0.3 AS cy FROM p),
+@query("""WITH p AS (SELECT CASE WHEN o_orderkey % 90 = 53 THEN 0 ELSE o_orderkey % 90 END AS seed, o_orderkey AS plan_id FROM orders), c AS (SELECT plan_id, 3.0 + seed % 9 * 0.25 AS cx, 3.0 + seed // 9 * 0.3 AS cy FROM p),
 r AS (SELECT plan_id, unnest([{'room_id': 0, 'x': 0, 'y': 0, 'w': cx, 'h': cy}, {'room_id': 1, 'x': cx, 'y': 0, 'w': 8 - cx, 'h': cy}, {'room_id': 2, 'x': 0, 'y': cy, 'w': cx, 'h': 8 - cy}, {'room_id': 3, 'x': cx, 'y': cy, 'w': 8 - cx, 'h': 8 - cy}]) AS r FROM c)
 SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(r.room_id AS BIGINT) AS room_id, ['living_room', 'bedroom', 'kitchen', 'bathroom'][r.room_id + 1] AS room_type, CAST(r.x AS DOUBLE) AS x, CAST(r.y AS DOUBLE) AS y, CAST(r.w AS DOUBLE) AS w, CAST(r.h AS DOUBLE) AS h FROM r""")
 def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ninety plans of four typed rooms that tile a square, the 54th a copy of the first."""
-    seed = F.when(F.col("id") == 53, F.lit(0)).otherwise(F.col("id"))
-    c = spark.range(90).select(F.col("id").alias("plan_id"), (3.0 + seed % 9 * 0.25).alias("cx"), (3.0 + F.floor(seed / 9) * 0.3).alias("cy"))
+    """A plan an order, of four typed rooms that tile a square, of one of ninety kinds of which the 54th is a copy of the first."""
+    key = F.col("o_orderkey") % 90
+    seed = F.when(key == 53, F.lit(0)).otherwise(key)
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), (3.0 + seed % 9 * 0.25).alias("cx"), (3.0 + F.floor(seed / 9) * 0.3).alias("cy"))
     zero, cx, cy = F.lit(0.0), F.col("cx"), F.col("cy")
     cells = [("living_room", zero, zero, cx, cy), ("bedroom", cx, zero, 8 - cx, cy), ("kitchen", zero, cy, cx, 8 - cy), ("bathroom", cx, cy, 8 - cx, 8 - cy)]
     rooms = [F.struct(F.lit(i).cast("long").alias("room_id"), F.lit(t).alias("room_type"), *[v.cast("double").alias(k) for k, v in zip("xywh", vs, strict=True)]) for i, (t, *vs) in enumerate(cells)]

@@ -289,15 +289,19 @@ def frozen_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("plan_id", "axis", "src", "dst", F.round(slack, 6).alias("slack"), F.when(F.abs(slack) <= 1e-6, "eq").otherwise("le").alias("kind"))
 
 
-@query(f"""WITH {TYPED}, n AS (SELECT unnest(range(49)) AS k), t AS (SELECT * FROM regulation), c AS (SELECT room_type, k, sqrt(least_area) * pow(1.1, k - 24) AS w, least_area / (sqrt(least_area) * pow(1.1, k - 24)) AS h FROM t, n),
-l AS (SELECT *, lead(w) OVER (PARTITION BY room_type ORDER BY k) AS w1, lead(h) OVER (PARTITION BY room_type ORDER BY k) AS h1 FROM c) SELECT room_type, k, round(h - h1, 6) AS a, round(w1 - w, 6) AS b, round((h - h1) * w + (w1 - w) * h, 6) AS bound FROM l WHERE w1 IS NOT NULL""")
+@query(f"""WITH {TYPED}, q AS (SELECT plan_id, room_id, w, h, least_area AS a, (w * h / least_area + 1) / 2 + 1 AS rest FROM typed JOIN regulation USING (room_type) WHERE w * h >= least_area), t AS (SELECT *, (rest + sqrt(greatest(rest * rest - 4, 0))) / 2 AS t FROM q)
+SELECT plan_id, room_id, round(w / t, 6) AS from_w, round(w * t, 6) AS to_w, round(a / (w * w), 6) AS slope, round(a * t / w + a / (w * w) * (w / t), 6) AS bound, a / (w * w) * w + h >= a * t / w + a / (w * w) * (w / t) - 1e-9 AS inside FROM t""")
 def inner_area_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chords a w + b h >= bound of each type's least area between 49 nodes in steps of a tenth: inside of them every room is large enough."""
-    types = spark.createDataFrame(sorted(derived.LEAST_AREA.items()), "room_type string, area double")
-    nodes = types.select("room_type", "area", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(48).cast("long"))).alias("k")).withColumn("w", F.sqrt("area") * F.pow(F.lit(1.1), F.col("k") - 24)).withColumn("h", F.col("area") / F.col("w"))
-    o = Window.partitionBy("room_type").orderBy("k")
-    c = nodes.withColumn("a", F.col("h") - F.lead("h").over(o)).withColumn("b", F.lead("w").over(o) - F.col("w")).where("a IS NOT NULL")
-    return c.select("room_type", "k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") * F.col("w") + F.col("b") * F.col("h"), 6).alias("bound"))
+    """For every large enough room the chord h + slope w >= bound of its least area's curve between two widths about its own: all rooms
+    inside of it are large enough, and half of what the room has to spare is left above it."""
+    area = derived.least_area(F.col("room_type"))
+    rooms = derived.typed_rooms(spark, sf_dir).withColumn("a", area).where("a IS NOT NULL AND w * h >= a")
+    rest = (F.col("w") * F.col("h") / F.col("a") + 1) / 2 + 1
+    t = (rest + F.sqrt(F.greatest(rest * rest - 4, F.lit(0.0)))) / 2
+    c = rooms.select("plan_id", "room_id", "w", "h", "a", (F.col("w") / t).alias("from_w"), (F.col("w") * t).alias("to_w"))
+    slope = F.col("a") / (F.col("from_w") * F.col("to_w"))
+    bound = F.col("a") / F.col("from_w") + slope * F.col("from_w")
+    return c.select("plan_id", "room_id", F.round("from_w", 6).alias("from_w"), F.round("to_w", 6).alias("to_w"), F.round(slope, 6).alias("slope"), F.round(bound, 6).alias("bound"), (slope * F.col("w") + F.col("h") >= bound - 1e-9).alias("inside"))
 
 
 @query(f"""WITH {TYPED}, p AS (SELECT t.plan_id, sum(coalesce(least_area, 0)) AS wanted, max(x + w) - min(x) AS wide, max(y + h) - min(y) AS high, count(*) AS n FROM typed t LEFT JOIN regulation USING (room_type) GROUP BY 1)
@@ -336,3 +340,13 @@ def cross_split_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates whose plans are in different sets."""
     part = lambda c: F.when(F.substring(F.md5(F.concat(F.lit("3:"), F.col(c).cast("string"))), 1, 1) < "a", "train").otherwise("test")
     return _near_plans(spark, sf_dir).select("plan_id", "other", part("plan_id").alias("part"), part("other").alias("other_part")).where("part <> other_part")
+
+
+@query(f"""WITH RECURSIVE {NEAR}, pairs AS (SELECT plan_id AS a, other AS b FROM near WHERE k = n), twoway AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT plan_id AS a, plan_id AS b FROM c UNION SELECT r.a, s.b FROM reach r JOIN twoway s ON s.a = r.b), g AS (SELECT a AS plan_id, min(b) AS group_id FROM reach GROUP BY 1),
+f AS (SELECT plan_id, string_agg(room_id || '|' || x || '|' || y || '|' || w || '|' || h, ';' ORDER BY room_id) AS f FROM j GROUP BY 1), e AS (SELECT plan_id, min(plan_id) OVER (PARTITION BY f) AS class_id, count(*) OVER (PARTITION BY f) AS copies FROM f)
+SELECT plan_id, class_id, copies, coalesce(n_links, 0) AS n_links, group_id FROM e JOIN g USING (plan_id) LEFT JOIN (SELECT a AS plan_id, count(*) AS n_links FROM twoway GROUP BY 1) USING (plan_id)""")
+def near_duplicate_plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates as classes of equal plans and groups of linked ones: a row a plan, whatever the number of copies."""
+    rooms = derived.rooms(spark, sf_dir).withColumn("x", F.col("x") + (F.col("part_id") % 3).cast("double") * 0.009)
+    return tiling.near_duplicate_groups(rooms, 0.02)

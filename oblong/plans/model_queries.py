@@ -203,7 +203,8 @@ def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         level = sg.conformal_level(np.abs(held["truth"].to_numpy(float) - mean) / spread, alpha)
         pool = _scored(described.where(~F.col("plan_id").isin(calibration)), members)
         inside = (F.abs(F.col("truth") - F.col("predicted")) <= level * F.col("spread")).cast("double")
-        seen_by = pool.agg(F.avg("spread").alias("spread"), F.avg(inside).alias("coverage")).first()
+        unseen = pool.where(~F.col("plan_id").isin([int(p) for p in labels["plan_id"]]))  # no plan that the networks learnt from
+        seen_by = unseen.agg(F.avg("spread").alias("spread"), F.avg(inside).alias("coverage")).first()
         rows.append((cycle, len(labels), len(held), level, 2 * level * seen_by["spread"], seen_by["coverage"]))
         if cycle == cycles - 1:
             break
@@ -215,8 +216,7 @@ def active_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
                     near = np.exp(-0.5 * (gaps**2).mean(axis=2)).mean(axis=1)
                     yield part[["plan_id", "features", "truth"]].assign(score=near * part["spread"])
 
-        asked = pool.where(~F.col("plan_id").isin([int(p) for p in labels["plan_id"]]))
-        best = asked.mapInPandas(dense, "plan_id long, features array<double>, truth double, score double").orderBy(F.desc("score"), "plan_id").limit(batch)
+        best = unseen.mapInPandas(dense, "plan_id long, features array<double>, truth double, score double").orderBy(F.desc("score"), "plan_id").limit(batch)
         labels = pd.concat([labels, best.toPandas()[["plan_id", "features", "truth"]]], ignore_index=True)
     described.unpersist()
     return spark.createDataFrame(rows, schema)

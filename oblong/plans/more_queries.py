@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.functions import circular
-from oblong.operators import layouts
+from oblong.operators import layouts, tables
 from oblong.plans import derived
 from oblong.plans.derived import MEASURES, OPENINGS, ROOMS, RUNS, TYPED
 from oblong.plans.layout_queries import CHANGES, SCORED, _after, _scored
@@ -28,16 +28,15 @@ def room_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rooms.join(totals, "plan_id").select("plan_id", "room_id", "area", "perimeter", (4 * np.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).alias("compactness"), (F.col("area") / F.col("total")).alias("share"), "n_rooms", (F.col("room_type") == "bedroom").cast("int").alias("is_bedroom"), h[0].alias("c1"), h[1].alias("s1")))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b FROM embeddings), m AS (SELECT avg(a) ma, avg(b) mb, var_samp(a) + 1e-6 saa, var_samp(b) + 1e-6 sbb, covar_samp(a, b) sab FROM v)
-SELECT vec_id, round(sqrt((sbb * (a - ma) * (a - ma) - 2 * sab * (a - ma) * (b - mb) + saa * (b - mb) * (b - mb)) / (saa * sbb - sab * sab)), 5) AS distance FROM v, m""")
+@query("""WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT list(x ORDER BY k) AS m FROM (SELECT k, avg(v) AS x FROM e GROUP BY k)),
+c AS (SELECT a.k AS i, b.k AS j, covar_samp(a.v, b.v) + CASE WHEN a.k = b.k THEN 1e-6 ELSE 0 END AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2), r AS (SELECT i, list(cov ORDER BY j) AS r FROM c GROUP BY i),
+s AS (SELECT 1 AS k, list(r ORDER BY i) AS t FROM r UNION ALL
+  SELECT k + 1, list_transform(t, lambda row, i: list_transform(row, lambda x, j: CASE WHEN i = k AND j = k THEN -1 / x WHEN i = k OR j = k THEN x / t[k][k] ELSE x - t[i][k] * t[k][j] / t[k][k] END)) FROM s WHERE k <= len(t)),
+inv AS (SELECT t FROM s WHERE k = len(t) + 1), d AS (SELECT vec_id, list_transform(list_zip(embedding, m), lambda z: CAST(z[1] AS DOUBLE) - z[2]) AS d FROM embeddings, m WHERE embedding IS NOT NULL)
+SELECT vec_id, round(sqrt(greatest(-list_dot_product(d, list_transform(t, lambda row: list_dot_product(row, d))), 0)), 5) AS distance FROM d, inv""")
 def mahalanobis_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of two features from the table's ridge-regularised envelope; one row of moments goes to all workers."""
-    e = F.col("embedding")
-    v = table(spark, sf_dir, "embeddings").select("vec_id", e[0].cast("double").alias("a"), e[1].cast("double").alias("b"))
-    m = v.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), (F.var_samp("a") + 1e-6).alias("saa"), (F.var_samp("b") + 1e-6).alias("sbb"), F.covar_samp("a", "b").alias("sab"))
-    da, db = F.col("a") - F.col("ma"), F.col("b") - F.col("mb")
-    d = F.sqrt((F.col("sbb") * da * da - 2 * F.col("sab") * da * db + F.col("saa") * db * db) / (F.col("saa") * F.col("sbb") - F.col("sab") * F.col("sab")))
-    return rounded(v.crossJoin(F.broadcast(m)).select("vec_id", d.alias("distance")), 5)
+    """Distance of every vector from the table's ridge-regularised envelope, in all dimensions."""
+    return rounded(tables.envelope_distances(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 5)
 
 
 @query(f"WITH {TYPED} SELECT plan_id, room_id, round(g.least_area * w * h / sum(w * h) OVER (PARTITION BY plan_id, room_type) + 1e-9, 6) AS least FROM typed JOIN regulation g USING (room_type)")

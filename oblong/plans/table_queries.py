@@ -328,21 +328,12 @@ def feature_envelope_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables.covariances(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")), "label", "v"))
 
 
-@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e WHERE label IS NOT NULL GROUP BY 1, 2),
-d AS (SELECT e.vec_id, c.label, sum((v - m) * (v - m)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, round(greatest(avg(exp(-d / (2 * 0.5 * 0.5))), 1e-12), 6) AS density FROM d GROUP BY 1""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.vec_id, round(greatest(avg(exp(-pow(list_distance(a.v, b.v), 2) / (2 * 2.0 * 2.0))), 1e-12), 6) AS density FROM e a, e b GROUP BY 1""")
 def kde_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian kernel density of all vectors, in all dimensions, over a reference of one point a label: the mean of its rows.
-
-    The reference joins on a column of blocks, so it is never collected, and each vector meets it once a block.
-    """
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    means = rows.where("label IS NOT NULL").select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
-    points = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("c"))
-    blocks = points.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(16)).cast("int")).groupBy("block").agg(F.collect_list("c").alias("points"))
-    square = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(blocks, "block")
-    sums = met.select("vec_id", F.aggregate("points", F.lit(0.0), lambda s, c: s + F.exp(-square(c) / 0.5)).alias("s"), F.size("points").alias("n"))
-    return rounded(sums.groupBy("vec_id").agg(F.greatest(F.sum("s") / F.sum("n"), F.lit(1e-12)).alias("density")))
+    """Gaussian kernel density of all vectors, in all dimensions, over all of them, tile by tile."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rounded(tables.kernel_densities(rows, rows, "vec_id", "embedding", 2.0))
 
 
 @query()
@@ -400,11 +391,11 @@ def exact_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("e", exact("k", "n")).select("amplitude", "k", "n", "e.*")
 
 
-@query(f"""WITH {MEASURES}, r AS (SELECT truth / 1000 AS v, state = 'F' AS f FROM measures WHERE kind <> 'N' OR state = 'F'), c AS (SELECT v, sum(CASE WHEN f THEN 1 ELSE 0 END) a, sum(CASE WHEN f THEN 0 ELSE 1 END) b FROM r GROUP BY 1),
+@query(f"""WITH {MEASURES}, r AS (SELECT truth / 1000 AS v, state = 'F' AS f FROM measures), c AS (SELECT v, sum(CASE WHEN f THEN 1 ELSE 0 END) a, sum(CASE WHEN f THEN 0 ELSE 1 END) b FROM r GROUP BY 1),
 e AS (SELECT v, sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE) fa, sum(b) OVER (ORDER BY v) / CAST(sum(b) OVER () AS DOUBLE) fb FROM c) SELECT round(max(abs(fa - fb)), 6) AS ks FROM e""")
 def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance: running counts within value ranges, on top of the ranges' totals."""
-    rows = derived.measures(spark, sf_dir).where("kind <> 'N' OR state = 'F'").select((F.col("truth") / 1000).alias("v"), (F.col("state") == "F").alias("f"))
+    rows = derived.measures(spark, sf_dir).select((F.col("truth") / 1000).alias("v"), (F.col("state") == "F").alias("f"))
     counts = rows.groupBy("v").agg(F.count_if(F.col("f")).alias("a"), F.count_if(~F.col("f")).alias("b")).withColumn("bin", F.floor("v"))
     bins = counts.groupBy("bin").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -412,4 +403,4 @@ def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = bins.select("bin", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("pa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("pb"), F.sum("sa").over(totals).alias("na"), F.sum("sb").over(totals).alias("nb"))
     inside = Window.partitionBy("bin").orderBy("v")
     fa, fb = (F.sum("a").over(inside) + F.col("pa")) / F.col("na"), (F.sum("b").over(inside) + F.col("pb")) / F.col("nb")
-    return rounded(counts.join(F.broadcast(bins), "bin").select(F.abs(fa - fb).alias("gap")).agg(F.max("gap").alias("ks")))
+    return rounded(counts.join(bins, "bin").select(F.abs(fa - fb).alias("gap")).agg(F.max("gap").alias("ks")))
