@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oblong.functions import intervals
-from oblong.operators import layouts, tables
+from oblong.operators import layouts, resampling, tables
 from oblong.plans import derived
 from oblong.plans.derived import MEASURES, ROOMS, RUNS
 from oblong.plans.geometry_queries import covered_sql
@@ -133,12 +133,24 @@ def low_high(k: str, n: str, low: str) -> str:
     return wilson_sql(k, n).replace("AS low", f"AS {low}_low").replace("AS high", f"AS {low}_high")
 
 
-@query(f"WITH {RUNS}, t AS (SELECT amplitude, count(*) AS n, count(*) FILTER (status = 'ok') AS k FROM runs GROUP BY GROUPING SETS ((), (amplitude))) SELECT coalesce(CAST(amplitude AS VARCHAR), 'all') AS amplitude, n, k, {wilson_sql('k', 'n')}, CASE WHEN k = n THEN FALSE ELSE TRUE END AS below_one FROM t")
+#: The uniform number of a source and a draw, as in ``cluster_intervals``.
+WEIGHTS = "[" + ", ".join(repr(t) for t in resampling.poisson_thresholds()) + "]"
+UNIFORM = f"({digits_sql('29', 'source', 'draw')} / 4294967296.0)"
+
+
+@query(f"""WITH {RUNS}, e AS (SELECT coalesce(CAST(amplitude AS VARCHAR), 'all') AS amplitude, source, count(*) AS n, count(*) FILTER (status = 'ok') AS k FROM runs GROUP BY GROUPING SETS ((source), (amplitude, source))),
+d AS (SELECT *, len(list_filter({WEIGHTS}, lambda t: t <= {UNIFORM})) AS w FROM e, (SELECT unnest(range(200)) AS draw)), r AS (SELECT amplitude, draw, sum(w * k) / nullif(sum(w * n), 0) AS r FROM d GROUP BY ALL),
+q AS (SELECT amplitude, quantile_cont(r, 0.025) AS cluster_low, quantile_cont(r, 0.975) AS cluster_high FROM r GROUP BY 1), t AS (SELECT amplitude, sum(n) AS n, sum(k) AS k, count(DISTINCT source) AS clusters FROM e GROUP BY 1)
+SELECT amplitude, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, clusters, {wilson_sql('k', 'n')}, round(cluster_low, 6) AS cluster_low, round(cluster_high, 6) AS cluster_high, k <> n AS below_one FROM t JOIN q USING (amplitude)""")
 def claims_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repair rates, overall and by amplitude."""
-    t = derived.runs(spark, sf_dir).groupingSets([[], [F.col("amplitude")]], "amplitude").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("k"))
+    """Repair rates, overall and by amplitude, with Wilson's interval, which takes a source's runs as independent, and one by clusters of sources."""
+    runs = derived.runs(spark, sf_dir)
+    each = runs.groupingSets([[F.col("source")], [F.col("amplitude"), F.col("source")]], "amplitude", "source").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("k"))
+    each = each.withColumn("amplitude", F.coalesce(F.col("amplitude").cast("string"), F.lit("all")))
+    drawn = resampling.cluster_intervals(each, ["amplitude"], ["source"], "k", "n", digits("29", "source", "draw") / 4294967296.0)
+    t = each.groupBy("amplitude").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(drawn.select("amplitude", "clusters", F.col("low").alias("cluster_low"), F.col("high").alias("cluster_high")), "amplitude")
     low, high = intervals.wilson(F.col("k"), F.col("n"))
-    return rounded(t.select(F.coalesce(F.col("amplitude").cast("string"), F.lit("all")).alias("amplitude"), "n", "k", low.alias("low"), high.alias("high"), (F.col("k") != F.col("n")).alias("below_one")))
+    return rounded(t.select("amplitude", "n", "k", "clusters", low.alias("low"), high.alias("high"), "cluster_low", "cluster_high", (F.col("k") != F.col("n")).alias("below_one")))
 
 
 @query(f"WITH {MEASURES} SELECT kind IN ('A', 'R') AS regulated, min(prediction) AS least, max(prediction) AS most, round(quantile_cont(prediction, 0.5), 4) AS median FROM measures GROUP BY 1")
@@ -163,13 +175,29 @@ def claims_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("sd"), F.count_if(v.between(0.86, 0.94)).alias("in_band"), F.count("*").alias("draws"), (F.avg(v) < 0.9).alias("below_target")))
 
 
-@query(f"WITH {RUNS}, p AS (SELECT source, avg(moved) FILTER (strategy = 'plain') AS a, avg(moved) FILTER (strategy = 'tiling') AS b FROM runs GROUP BY 1) SELECT count(*) FILTER (a < b) AS wins, count(*) FILTER (a > b) AS losses, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS pairs, round(quantile_cont(a - b, 0.5), 6) AS median FROM p")
+PAIRED = "p AS (SELECT source, avg(moved) FILTER (strategy = 'plain') AS a, avg(moved) FILTER (strategy = 'tiling') AS b FROM runs GROUP BY 1)"
+
+
+@query(f"""WITH {RUNS}, {PAIRED}, d AS (SELECT a - b AS d, abs(a - b) AS s FROM p WHERE a - b <> 0), c AS (SELECT s, count(*) AS c FROM d GROUP BY 1), r AS (SELECT d, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM d),
+w AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r), t AS (SELECT sum(c * c * c - c) AS tie FROM c)
+SELECT wins, losses, pairs, round(median, 6) AS median, w_plus, w_minus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0), 6) AS z
+FROM (SELECT count(*) FILTER (a < b) AS wins, count(*) FILTER (a > b) AS losses, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS pairs, quantile_cont(a - b, 0.5) AS median FROM p), w, t""")
 def claims_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired comparison of two strategies by source."""
+    """Paired comparison of two strategies by source, with Wilcoxon's signed ranks."""
     side = lambda s: F.avg(F.when(F.col("strategy") == s, F.col("moved")))
     p = derived.runs(spark, sf_dir).groupBy("source").agg(side("plain").alias("a"), side("tiling").alias("b"))
     a, b = F.col("a"), F.col("b")
-    return rounded(p.agg(F.count_if(a < b).alias("wins"), F.count_if(a > b).alias("losses"), F.count_if(a.isNotNull() & b.isNotNull()).alias("pairs"), F.percentile(a - b, 0.5).alias("median")))
+    counts = p.agg(F.count_if(a < b).alias("wins"), F.count_if(a > b).alias("losses"), F.count_if(a.isNotNull() & b.isNotNull()).alias("pairs"), F.percentile(a - b, 0.5).alias("median"))
+    return rounded(counts.crossJoin(F.broadcast(resampling.signed_ranks(p, "a", "b").drop("pairs"))))  # one row each
+
+
+@query(f"""WITH {RUNS}, m AS (SELECT source, strategy, avg(moved) AS v FROM runs GROUP BY 1, 2), f AS (SELECT * FROM m WHERE source IN (SELECT source FROM m GROUP BY 1 HAVING count(*) = 3)),
+r AS (SELECT source, strategy, rank() OVER (PARTITION BY source ORDER BY v) + (count(*) OVER (PARTITION BY source, v) - 1) / 2.0 AS r, pow(count(*) OVER (PARTITION BY source, v), 2) - 1 AS tie FROM f),
+s AS (SELECT strategy, sum(r) AS s, count(*) AS n, sum(tie) AS tie FROM r GROUP BY 1), t AS (SELECT max(n) AS n, sum(s * s) AS q, sum(tie) AS tie FROM s), x AS (SELECT n, (12.0 / (n * 12) * q - 12 * n) / (1 - tie / (n * 24.0)) AS x FROM t)
+SELECT n AS blocks, round(x, 6) AS statistic, round(exp(-x / 2), 6) AS p FROM x""")
+def strategy_friedman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the three strategies move rooms differently far, sources being the blocks: Friedman's test on rank sums."""
+    return rounded(resampling.friedman_test(derived.runs(spark, sf_dir), "source", "strategy", "moved", ["plain", "tiling", "fallback"]))
 
 
 CASES = "cases AS (SELECT source, amplitude, bool_or(status = 'ok') FILTER (strategy = 'plain') AS plain, bool_or(status = 'ok') FILTER (strategy = 'tiling') AS tiling, bool_or(status = 'ok') FILTER (strategy = 'fallback') AS fallback FROM runs GROUP BY 1, 2)"
