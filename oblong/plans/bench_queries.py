@@ -10,21 +10,13 @@ from oblong.operators import layouts, resampling, tables
 from oblong.plans import derived
 from oblong.plans.derived import MEASURES, ROOMS, RUNS
 from oblong.plans.geometry_queries import covered_sql
+from oblong.plans.hashing import digits, digits_sql
 from oblong.plans.layout_queries import CHANGES, PAIRS, _after
 from oblong.plans.registry import query, rounded
 from oblong.plans.table_queries import wilson_sql
 from oblong.sources.tables import table
 
 
-def digits(seed: str, *columns) -> F.Column:
-    """The first eight hexadecimal digits of a seeded hash, as a number: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])), 1, 8), 16, 10).cast("long")
-
-
-def digits_sql(seed: str, *columns: str) -> str:
-    return f"CAST('0x' || substr(md5('{seed}' || " + " || ".join(f"':' || CAST({c} AS VARCHAR)" for c in columns) + "), 1, 8) AS BIGINT)"
-
-
 @query("WITH o AS (SELECT o_orderkey AS plan_id, CAST(o_orderkey * 7 % 360 AS DOUBLE) AS deg FROM orders) SELECT plan_id, CAST(k AS BIGINT) AS variant, (deg + k * 45) % 360 AS azimuth FROM o, (SELECT unnest(range(8)) AS k) q")
 def azimuth_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each plan at eight azimuths."""

@@ -154,7 +154,9 @@ def measured_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("refused").agg(F.count("*").alias("n"), F.avg("wall_shift").alias("mean_shift"), F.max("area_change").alias("worst_area")))
 
 
-@query()
+@query(f"""WITH {MEASURES}, m AS (SELECT kind, cos(radians(deg)) AS c, sin(radians(deg)) AS s, prediction AS y FROM measures), t AS (SELECT kind, sum(c * c) cc, sum(c * s) cs, sum(c) co, sum(s * s) ss, sum(s) so, count(*) oo, sum(c * y) cy, sum(s * y) sy, sum(y) oy FROM m GROUP BY 1),
+d AS (SELECT *, cc * (ss * oo - so * so) - cs * (cs * oo - so * co) + co * (cs * so - ss * co) AS det FROM t)
+SELECT kind, round((cy * (ss * oo - so * so) - cs * (sy * oo - so * oy) + co * (sy * so - ss * oy)) / det, 4) AS a, round((cc * (sy * oo - so * oy) - cy * (cs * oo - so * co) + co * (cs * oy - sy * co)) / det, 4) AS b, round((cc * (ss * oy - sy * so) - cs * (cs * oy - sy * co) + cy * (cs * so - ss * co)) / det, 4) AS c FROM d""")
 def circular_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares on cosine, sine and a constant: nine sums a group in Spark, a 3 x 3 system for each group."""
     m = derived.measures(spark, sf_dir).select("kind", F.cos(F.radians("deg")).alias("c"), F.sin(F.radians("deg")).alias("s"), F.lit(1.0).alias("o"), "prediction")
@@ -178,3 +180,19 @@ def bounds_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = derived.measures(spark, sf_dir).where("spread > 0")
     regime = F.when(F.col("kind") == "A", "exchangeable").when(F.col("kind") == "N", "selected").otherwise("policy_calibrated")
     return rounded(m.groupBy(regime.alias("regime")).agg(F.count("*").alias("n"), F.avg(F.col("prediction") - 1.5 * F.col("spread")).alias("lower"), F.avg(F.col("prediction") + 1.5 * F.col("spread")).alias("upper")), 4)
+
+
+@query(f"""WITH {MEASURES}, d AS (SELECT kind, sha256(concat_ws('|', plan_id, line, CAST(round(deg) AS BIGINT), CAST(round(truth * 100) AS BIGINT))) AS h FROM measures),
+s AS (SELECT kind, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b, sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)) AS c FROM d GROUP BY 1)
+SELECT kind, n, sha256(concat_ws('|', n, a, b, c)) AS fingerprint FROM s""")
+def training_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint of each kind's training rows, the same in whatever order and partitions they lie: sums of their digests' parts."""
+    return fingerprints(derived.measures(spark, sf_dir), "kind", [F.col("plan_id"), F.col("line"), F.round("deg").cast("long"), F.round(F.col("truth") * 100).cast("long")])
+
+
+def fingerprints(rows: DataFrame, group: str, values: list) -> DataFrame:
+    """(group, n, fingerprint). A row is digested whole; three sums of sixty bits of the digests, and the count, name the multiset of rows."""
+    digest = F.sha2(F.concat_ws("|", *[v.cast("string") for v in values]), 256)
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)"))
+    sums = rows.select(group, digest.alias("h")).groupBy(group).agg(F.count("*").alias("n"), *[part(k).cast("decimal(38,0)").alias(f"s{k}") for k in range(3)])
+    return sums.select(group, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"s{k}").cast("string") for k in range(3)]), 256).alias("fingerprint"))

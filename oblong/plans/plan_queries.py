@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oblong.operators import linear
+from oblong.operators import conversion, linear, tables
 from oblong.operators.plans import per_plan
 from oblong.plans import derived
-from oblong.plans.derived import ROOMS
+from oblong.plans.derived import MEASURES, ROOMS
+from oblong.plans.hashing import digits, digits_sql
 from oblong.plans.layout_queries import PAIRS
 from oblong.plans.registry import SQL, query, rounded
 from oblong.sources.tables import table
@@ -102,18 +102,37 @@ def naive_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_plan(derived.rooms(spark, sf_dir), repair, "plan_id long, disjoint boolean, moved double")
 
 
-@query()
+HIT = f"""n AS (SELECT plan_id, count(*) AS n FROM rooms GROUP BY 1), hit AS (SELECT plan_id, {digits_sql('41', 'plan_id')} % n + 1 AS hit, {digits_sql('42', 'plan_id')} % 4 AS field, CASE WHEN {digits_sql('43', 'plan_id')} % 2 = 0 THEN 0.25 ELSE -0.25 END AS fault FROM n)"""
+
+
+@query(f"""WITH {ROOMS}, {HIT} SELECT r.plan_id, room_id, x + CASE WHEN room_id = hit AND field = 0 THEN fault ELSE 0 END AS x, y + CASE WHEN room_id = hit AND field = 1 THEN fault ELSE 0 END AS y,
+w + CASE WHEN room_id = hit AND field = 2 THEN abs(fault) ELSE 0 END AS w, h + CASE WHEN room_id = hit AND field = 3 THEN abs(fault) ELSE 0 END AS h FROM rooms r JOIN hit USING (plan_id)""")
 def corrupted_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rooms of each plan after a seeded fault of 0.25 m on one of them."""
+    """Rooms of each plan after a fault of 0.25 m on one number of one of them, drawn by a hash of the plan."""
+    rooms = derived.rooms(spark, sf_dir)
+    n = rooms.groupBy("plan_id").agg(F.count("*").alias("n"))
+    hit = n.select("plan_id", (digits("41", "plan_id") % F.col("n") + 1).alias("hit"), (digits("42", "plan_id") % 4).alias("field"), F.when(digits("43", "plan_id") % 2 == 0, 0.25).otherwise(-0.25).alias("fault"))
+    off = lambda k: F.when((F.col("room_id") == F.col("hit")) & (F.col("field") == k), F.col("fault") if k < 2 else F.abs("fault")).otherwise(0.0)
+    return rooms.join(hit, "plan_id").select("plan_id", "room_id", *[(F.col(c) + off(k)).alias(c) for k, c in enumerate("xywh")])
+
+
+UNIT = "u AS (SELECT DISTINCT plan_id, unnest(range(CAST(x AS BIGINT), CAST(x + w AS BIGINT))) AS cx, cy FROM (SELECT plan_id, x, w, unnest(range(CAST(y AS BIGINT), CAST(y + h AS BIGINT))) AS cy FROM rooms))"
 
-    def corrupt(plan: int, rooms: pd.DataFrame) -> list[tuple]:
-        random = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"17:{plan}".encode(), digest_size=4).digest(), "little"))
-        hit, field = int(random.integers(len(rooms))), int(random.integers(4))
-        after = _matrix(rooms)
-        after[hit, field] += 0.25 if random.random() < 0.5 or field > 1 else -0.25
-        return [(plan, int(r), *map(float, v)) for r, v in zip(rooms["room_id"], after, strict=True)]
 
-    return per_plan(derived.rooms(spark, sf_dir), corrupt, "plan_id long, room_id long, x double, y double, w double, h double")
+@query(f"""WITH RECURSIVE {ROOMS}, {UNIT}, pt AS (SELECT plan_id, cx + dx AS px, cy + dy AS py, count(*) AS c, min(cx) <> max(cx) AND min(cy) <> max(cy) AS diagonal FROM u, (SELECT unnest([0, 0, 1, 1]) AS dx, unnest([0, 1, 0, 1]) AS dy) GROUP BY 1, 2, 3),
+k AS (SELECT plan_id, CAST(sum(CASE WHEN c IN (1, 3) THEN 1 WHEN c = 2 AND diagonal THEN 2 ELSE 0 END) AS BIGINT) AS corners, count(*) FILTER (c = 4) AS quads FROM pt GROUP BY 1),
+a AS (SELECT plan_id, count(*) AS cells FROM u GROUP BY 1), e AS (SELECT p.plan_id, count(*) AS touching FROM u p JOIN u q ON p.plan_id = q.plan_id AND ((q.cx = p.cx + 1 AND q.cy = p.cy) OR (q.cx = p.cx AND q.cy = p.cy + 1)) GROUP BY 1),
+l AS (SELECT a.plan_id, a.room_id AS i, b.room_id AS j FROM rooms a JOIN rooms b ON a.plan_id = b.plan_id AND least(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0 AND greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0),
+r AS (SELECT plan_id, room_id AS i, room_id AS j FROM rooms UNION SELECT r.plan_id, r.i, l.j FROM r JOIN l ON l.plan_id = r.plan_id AND l.i = r.j), g AS (SELECT plan_id, i, min(j) AS g FROM r GROUP BY 1, 2), f AS (SELECT plan_id, count(DISTINCT g) AS fragments FROM g GROUP BY 1)
+SELECT plan_id, fragments, fragments - (cells - coalesce(touching, 0) + quads) AS holes, corners, CAST(cells AS DOUBLE) AS area FROM a JOIN k USING (plan_id) JOIN f USING (plan_id) LEFT JOIN e USING (plan_id)""")
+def outline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of each plan's rooms as closed rings: outer ones (fragments), holes, their corners and the area they enclose."""
+
+    def trace(plan: int, rooms: pd.DataFrame) -> list[tuple]:
+        outer, holes = conversion.outline_of(_matrix(rooms))
+        return [(plan, len(outer), len(holes), sum(map(len, outer + holes)), float(sum(map(conversion.area, outer + holes))))]
+
+    return per_plan(derived.rooms(spark, sf_dir), trace, "plan_id long, fragments long, holes long, corners long, area double")
 
 
 @query()
@@ -229,12 +248,27 @@ def permutation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_plan(rows, drift, "cluster long, n long, ks double, p double, drifted boolean", ("line", "truth"), "cluster", "at")
 
 
-@query()
+#: Splits of the protocol, each drawn by a hash of its own.
+REPETITIONS = 10
+
+
+@query(f"""WITH {MEASURES}, m AS (SELECT plan_id, abs(truth - prediction) / spread AS score, row_number() OVER (PARTITION BY plan_id ORDER BY prediction DESC, part_id, line, truth) = 1 AS best FROM measures),
+s AS (SELECT m.*, rep, {digits_sql('53', 'rep', 'plan_id')} % 2 = 0 AS calibrates FROM m, (SELECT unnest(range({REPETITIONS})) AS rep)),
+c AS (SELECT rep, all_.b AS of_best, score, row_number() OVER (PARTITION BY rep, all_.b ORDER BY score) AS i, count(*) OVER (PARTITION BY rep, all_.b) AS n FROM s, (SELECT unnest([TRUE, FALSE]) AS b) all_ WHERE calibrates AND (best OR NOT all_.b)),
+q AS (SELECT rep, of_best, max(CASE WHEN i <= ceil((n + 1) * 0.9) AND ceil((n + 1) * 0.9) <= n THEN score END) AS q FROM c GROUP BY 1, 2),
+t AS (SELECT p.procedure, s.rep, count(*) AS "rows", avg(CASE WHEN s.score <= q.q THEN 1.0 ELSE 0.0 END) AS coverage FROM s JOIN q ON q.rep = s.rep JOIN (SELECT * FROM (VALUES ('passive', FALSE, FALSE), ('on_selected', TRUE, FALSE), ('policy', TRUE, TRUE)) v(procedure, tests_best, of_best)) p ON p.of_best = q.of_best
+  WHERE NOT s.calibrates AND (s.best OR NOT p.tests_best) GROUP BY 1, 2)
+SELECT procedure, CAST(rep AS BIGINT) AS repetition, "rows", round(coverage, 6) AS coverage FROM t""")
 def selection_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of conformal bounds when the best of each plan's candidates is picked: passive, on the picked, and calibrated on picked ones."""
+    """Coverage of conformal bounds when the best of each plan's candidates is picked: passive, on the picked, and calibrated on picked
+    ones, over splits of the plans; a bound is the score of rank ceil((n + 1) 0.9), never interpolated."""
     m = derived.measures(spark, sf_dir).withColumn("score", F.abs(F.col("truth") - F.col("prediction")) / F.col("spread"))
-    best = m.withColumn("i", F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("prediction"), "part_id", "line", "truth"))).where("i = 1")
-    half = F.pmod(F.xxhash64("plan_id"), F.lit(2)) == 0
-    quantile = lambda rows: rows.where(half).agg(F.count("*").alias("n"), F.percentile("score", 0.9).alias("q"))
-    cover = lambda name, test, calibration: test.where(~half).crossJoin(F.broadcast(quantile(calibration))).agg(F.lit(name).alias("procedure"), F.count("*").alias("rows"), F.avg((F.col("score") <= F.col("q")).cast("double")).alias("coverage"))
-    return rounded(cover("passive", m, m).unionByName(cover("on_selected", best, m)).unionByName(cover("policy", best, best)))
+    m = m.withColumn("best", F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("prediction"), "part_id", "line", "truth")) == 1)
+    m = m.select("plan_id", "score", "best", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REPETITIONS - 1).cast("long"))).alias("repetition"))
+    m = m.withColumn("calibrates", digits("53", "repetition", "plan_id") % 2 == 0)
+    of = F.explode(F.when(F.col("best"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("of_best")
+    bounds = tables.conformal_quantile(m.where("calibrates").select("repetition", "score", of), ["repetition", "of_best"], "score", 10).select("repetition", "of_best", "q")
+    kinds = F.array(*[F.struct(F.lit(p).alias("procedure"), F.lit(t).alias("tests_best"), F.lit(b).alias("of_best")) for p, t, b in (("passive", False, False), ("on_selected", True, False), ("policy", True, True))])
+    tests = m.where("NOT calibrates").select("repetition", "score", "best", F.explode(kinds).alias("k")).select("repetition", "score", "best", "k.*").where("best OR NOT tests_best")
+    met = tests.join(F.broadcast(bounds), ["repetition", "of_best"])  # two rows a repetition
+    return rounded(met.groupBy("procedure", "repetition").agg(F.count("*").alias("rows"), F.avg((F.col("score") <= F.col("q")).cast("double")).alias("coverage")))

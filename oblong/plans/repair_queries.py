@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oblong.functions import scoring
 from oblong.operators import repair
 from oblong.operators.optimizer import AwaySteps, Daylight, Differences, Guarded, PairwiseSteps
 from oblong.operators.plans import per_plan
@@ -260,4 +261,40 @@ def infeasible_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_plan(derived.rooms(spark, sf_dir), run, "plan_id long, status string, reason string, proved boolean, relaxable string")
 
 
+_STATES = ("initial", "classic", "optimized")
 
+
+@query()
+def three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plan as given, repaired and optimized, scored by the model that the optimizer followed and by an independent closed form.
+
+    One run gives the rooms of all three states; both scores are column expressions over them. Plans that cannot be repaired have no
+    reference. ``status``: what the reference says about the gain that the model promises from the repaired to the optimized state.
+    """
+
+    def states(plan: int, rows: pd.DataFrame) -> list[tuple]:
+        case = case_of(rows, area=4.0)
+        found = [case.rooms]
+        try:
+            found.append(repair.legalize(case, tiling=True).rooms())
+            found.append(repair.legalize(case, tiling=True, scorer=Daylight(float(plan * 7 % 360)), most=12).rooms())
+        except repair.Refusal:
+            pass
+        return [(plan, state, float(plan * 7 % 360), *map(float, r)) for state, rooms in zip(_STATES, found, strict=False) for r in rooms]
+
+    rooms = per_plan(faulty(spark, sf_dir), states, "plan_id long, state string, deg double, x double, y double, w double, h double", _COLUMNS)
+    sizes = [F.col(c) for c in ("x", "y", "w", "h", "deg")]
+    value = lambda score, state: F.sum(F.when(F.col("state") == state, score))
+    measured, predicted = scoring.split_flux(*sizes), scoring.analytic(*sizes)
+    t = rooms.groupBy("plan_id").agg(*[value(measured, s).alias(f"reference_{s}") for s in _STATES], *[value(predicted, s).alias(f"predicted_{s}") for s in _STATES])
+    gain = lambda kind: F.col(f"{kind}_optimized") - F.col(f"{kind}_classic")
+    known = F.col("reference_optimized").isNotNull()
+    status = F.when(~known, "unmeasured").when(F.abs(gain("predicted")) <= 1e-9, "unchanged").when(gain("reference") > 0, "agrees").otherwise("contradicted")
+    return t.select("plan_id", F.when(known, "closed_form").otherwise("unavailable").alias("reference_kind"), *[f"reference_{s}" for s in _STATES], "predicted_initial", gain("predicted").alias("predicted_gain"), gain("reference").alias("reference_gain"), status.alias("status"))
+
+
+@query(f"WITH {FAULTY} SELECT plan_id, CASE WHEN fault < 4 THEN 'closed_form' ELSE 'unavailable' END AS reference_kind, TRUE AS never_loses, TRUE AS unmoved, fault >= 4 AS unmeasured FROM sizes")
+def three_state_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the three states: no promised loss, and a sound plan is the same repaired as given."""
+    t = three_states(spark, sf_dir).join(faulty(spark, sf_dir).select("plan_id", "fault").distinct(), "plan_id")
+    return t.select("plan_id", "reference_kind", F.coalesce(F.col("predicted_gain") >= -1e-6, F.lit(True)).alias("never_loses"), ((F.col("fault") != 0) | (F.abs(F.col("reference_initial") - F.col("reference_classic")) <= 1e-5)).alias("unmoved"), (F.col("status") == "unmeasured").alias("unmeasured"))

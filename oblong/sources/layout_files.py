@@ -188,11 +188,13 @@ def _simulation_lines(path: str, rows: int) -> Iterator[list[dict[str, str | Non
 
 
 def read_simulations(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
-    """All columns of simulations.csv as texts, streamed from its ZIP archive or from the bare file.
+    """All columns of simulations.csv as texts, from its ZIP archive or from the bare file, which Spark reads in parallel.
 
-    An archive's member can only be read from its beginning, so one task reads it, ``rows`` rows at a time, and deals them out. The path
+    An archive's member can only be read from its beginning, so one task reads it, ``rows`` rows at a time, and deals them out; its path
     must be one that every worker can open. Missing fields of a short line are null.
     """
+    if not path.lower().endswith(".zip"):
+        return spark.read.option("header", True).option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(path)
     with contextlib.closing(_simulation_lines(path, rows)) as lines:
         columns = list(next(lines)[0])
     if not columns:
