@@ -199,9 +199,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile_rows: int
     cut = stored(sorted_rows.mapInArrow(lean(tiles), "block binary, tile int, label string, size int, low array<double>, high array<double>, digests binary, copies array<long>, xs binary"), "tiles")
     bound = lambda least, column: F.array(*[least(F.get(column, F.lit(k))) for k in range(_BOX)])  # noqa: E731  null beyond the vectors' own dimensions
     facts = stored(cut.groupBy("label", "size", "block").agg(bound(F.min, "low").alias("low"), bound(F.max, "high").alias("high")), "blocks")
-    # One side of the pairs of a label's blocks is dealt out over several tasks, the other goes to each of them.
-    ours = facts.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(_PARTS)).cast("int"))
-    theirs = facts.select("label", "size", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")], F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    # One side of the pairs of a label's blocks is dealt out over tasks, whose number grows with the blocks; the other goes to each of them.
+    parts = facts.groupBy("label", "size").agg(F.greatest(F.lit(_PARTS), F.ceil(F.count("*") / _PART_BLOCKS)).cast("int").alias("parts"))
+    counted = facts.join(parts, ["label", "size"])
+    ours = counted.withColumn("part", F.pmod(F.xxhash64("block"), "parts").cast("int")).drop("parts")
+    theirs = counted.select("label", "size", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     gaps = F.zip_with(F.zip_with("low", "high2", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.zip_with("low2", "high", lambda a, b: F.greatest(a - b, F.lit(0.0))), lambda a, b: F.greatest(a, b))
     square = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + F.coalesce(gap * gap, F.lit(0.0)))
     pairs = ours.join(theirs, ["label", "size", "part"]).where((F.col("block") <= F.col("block2")) & (square <= 2 - 2 * threshold + 1e-6))
@@ -266,7 +268,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile_rows: int
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-#: Over how many tasks the pairs of one label's blocks are dealt.
-_PARTS = 16
+#: Over how many tasks at least the pairs of one label's blocks are dealt, and how many blocks a task is given at most on one side.
+_PARTS, _PART_BLOCKS = 16, 256
 _TILE_NAMES = ["block", "tile", "label", "size", "low", "high", "digests", "copies", "xs"]
 _TILE = [pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.binary()]
