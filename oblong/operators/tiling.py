@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oblong.operators.conversion import outline_of
 from oblong.operators.graphs import components, kept
 from oblong.operators.layouts import SNAP, both, coverage, pair_spans
+from oblong.operators.polygons import outline_distance
 
 #: The sides of a room by axis, and its fields as columns of a decision vector.
 SIDES = (("x", "left"), ("x", "right"), ("y", "low"), ("y", "high"))
@@ -106,12 +113,58 @@ def polygon_edges(corners: DataFrame) -> DataFrame:
     return moved.select("plan_id", "room_id", "k", F.pmod(F.degrees(F.atan2("dy", "dx")) + 180.0, F.lit(180.0)).alias("angle"), F.hypot("dx", "dy").alias("length"))
 
 
-def near_duplicate_groups(rooms: DataFrame, threshold: float, cell: float = 1.0, leading: int = 8) -> DataFrame:
+def outline_links(rooms: DataFrame, sizes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates among plans whose rooms have different ids, so that only their outlines can be compared.
+
+    ``rooms``: of the plans to compare; ``sizes``: (plan_id, copies). Returns (plan_id, met): how many other plans with other ids have an
+    outline within the threshold, copies included; and links (a, b) that connect all these plans, one for each plan and near outline
+    instead of all pairs. Equal outlines are one; different ones are compared where their boxes are within the threshold, on either's
+    corners.
+    """
+    packed = rooms.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("room_id", *FIELDS))).alias("r"))
+    packed = packed.select("plan_id", F.xxhash64(F.transform("r", lambda r: r["room_id"])).alias("ids"), F.flatten(F.transform("r", lambda r: F.array(*[r[f] for f in FIELDS]))).alias("v"))
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for v in batch["v"]:
+                outer, holes = outline_of(np.asarray(v, dtype=float).reshape(-1, 4))
+                rings = outer + holes
+                corners = np.concatenate(rings)
+                name = hashlib.sha256(b"|".join((np.round(r, 9) + 0.0).tobytes() for r in rings)).hexdigest()
+                rows.append((name, *corners.min(axis=0), *corners.max(axis=0)))
+            found = pd.DataFrame(rows, columns=["print", "x", "y", "w", "h"])
+            yield pd.concat([batch[["plan_id", "ids", "v"]].reset_index(drop=True), found], axis=1)
+
+    facts = kept(packed.mapInPandas(measured, "plan_id long, ids long, v array<double>, print string, x double, y double, w double, h double").join(sizes, "plan_id"), "outlines")
+    counts = facts.groupBy("print", "ids").agg(F.sum("copies").alias("c"), F.min("plan_id").alias("head"))
+    first, last = F.min(F.struct("ids", "head")), F.max(F.struct("ids", "head"))
+    totals = counts.groupBy("print").agg(F.sum("c").alias("t"), first.alias("first"), last.alias("last"))
+    heads = facts.join(facts.groupBy("print").agg(F.min("plan_id").alias("plan_id")), ["print", "plan_id"]).select("plan_id", F.lit(1).alias("room_id"), *FIELDS, "print", "v")
+    boxes = near_duplicates(heads.select("plan_id", "room_id", *FIELDS), threshold)
+    side = lambda own, name: heads.select(F.col("plan_id").alias(own), F.col("print").alias(f"print{name}"), F.col("v").alias(f"v{name}"))
+    candidates = boxes.select("plan_id", "other").join(side("plan_id", "1"), "plan_id").join(side("other", "2"), "other").select("print1", "print2", "v1", "v2")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = [outline_distance(*(np.asarray(v, dtype=float).reshape(-1, 4) for v in pair)) for pair in zip(batch["v1"], batch["v2"], strict=True)]
+            yield batch[["print1", "print2"]][np.array(far, dtype=float) <= threshold * (1 + 1e-9)] if len(batch) else batch[["print1", "print2"]]
+
+    near = kept(candidates.mapInPandas(compared, "print1 string, print2 string"), "near-outlines")
+    both = near.unionByName(near.select(F.col("print2").alias("print1"), F.col("print1").alias("print2"))).unionByName(totals.select(F.col("print").alias("print1"), F.col("print").alias("print2")))
+    met = facts.select("plan_id", "ids", F.col("print").alias("print1")).join(both, "print1").join(totals.withColumnRenamed("print", "print2"), "print2")
+    met = met.join(counts.select(F.col("print").alias("print2"), "ids", "c"), ["print2", "ids"], "left").withColumn("others", F.col("t") - F.coalesce("c", F.lit(0)))
+    met = kept(met.where("others > 0").select("plan_id", "others", F.when(F.col("first.ids") != F.col("ids"), F.col("first.head")).otherwise(F.col("last.head")).alias("to")), "met")
+    return met.groupBy("plan_id").agg(F.sum("others").alias("met")), met.select(F.col("plan_id").alias("a"), F.col("to").alias("b"))
+
+
+def near_duplicate_groups(rooms: DataFrame, threshold: float, cell: float = 1.0, leading: int = 8, outlines: bool = False) -> DataFrame:
     """(plan_id, class_id, copies, n_links, group_id) of every plan: near duplicates as classes of equal plans and groups of linked ones.
 
     Plans whose rooms have equal ids and numbers are one class, named by its smallest plan; only classes are compared, so m copies cost
     m rows and no pairs. ``n_links`` counts the other plans within the threshold, copies included; ``group_id`` is the smallest plan that
-    links lead to. Every link between different plans is found, and none is written out for its copies.
+    links lead to. Every link between different plans is found, and none is written out for its copies. With ``outlines`` plans whose rooms
+    have different ids are compared, too, by how far their outlines are from each other.
     """
     held = F.array_sort(F.collect_list(F.struct("room_id", *FIELDS)))
     plans = rooms.groupBy("plan_id").agg(F.sha2(F.to_json(held), 256).alias("print"))
@@ -123,7 +176,12 @@ def near_duplicate_groups(rooms: DataFrame, threshold: float, cell: float = 1.0,
     sizes = heads.select("class_id", "copies")
     side = lambda own, far: links.select(F.col(own).alias("class_id"), F.col(far).alias("far"))
     met = side("a", "b").unionByName(side("b", "a")).join(sizes.select(F.col("class_id").alias("far"), F.col("copies").alias("far_copies")), "far")
-    facts = sizes.join(met.groupBy("class_id").agg(F.sum("far_copies").alias("met")), "class_id", "left").join(components(links, "a", "b").withColumnRenamed("id", "class_id"), "class_id", "left")
+    met = met.groupBy("class_id").agg(F.sum("far_copies").alias("met"))
+    if outlines:
+        more, further = outline_links(rooms.join(heads.select("plan_id"), "plan_id", "left_semi"), heads.select("plan_id", "copies"), threshold)
+        met = met.unionByName(more.select(F.col("plan_id").alias("class_id"), "met")).groupBy("class_id").agg(F.sum("met").alias("met"))
+        links = links.unionByName(further)
+    facts = sizes.join(met, "class_id", "left").join(components(links, "a", "b").withColumnRenamed("id", "class_id"), "class_id", "left")
     facts = facts.select("class_id", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("group_id"))
     return members.join(facts, "class_id").select("plan_id", "class_id", "copies", "n_links", "group_id")
 

@@ -350,3 +350,10 @@ def near_duplicate_plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates as classes of equal plans and groups of linked ones: a row a plan, whatever the number of copies."""
     rooms = derived.rooms(spark, sf_dir).withColumn("x", F.col("x") + (F.col("part_id") % 3).cast("double") * 0.009)
     return tiling.near_duplicate_groups(rooms, 0.02)
+
+
+@query()
+def near_duplicate_outline_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates in which plans of different rooms are compared, too, by their outlines."""
+    rooms = derived.rooms(spark, sf_dir).withColumn("x", F.col("x") + (F.col("part_id") % 3).cast("double") * 0.009)
+    return tiling.near_duplicate_groups(rooms, 0.02, outlines=True)
