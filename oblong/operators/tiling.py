@@ -118,12 +118,15 @@ def outline_links(rooms: DataFrame, sizes: DataFrame, threshold: float) -> tuple
 
     ``rooms``: of the plans to compare; ``sizes``: (plan_id, copies). Returns (plan_id, met): how many other plans with other ids have an
     outline within the threshold, copies included; and links (a, b) that connect all these plans, one for each plan and near outline
-    instead of all pairs. Equal outlines are one; different ones are compared where their boxes are within the threshold, on either's
-    corners.
+    instead of all pairs. Equal outlines are one; different ones are compared, on either's corners, where they reach equally far, within
+    the threshold, in eight directions and their opposites.
     """
     packed = rooms.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("room_id", *FIELDS))).alias("r"))
     packed = packed.select("plan_id", F.xxhash64(F.transform("r", lambda r: r["room_id"])).alias("ids"), F.flatten(F.transform("r", lambda r: F.array(*[r[f] for f in FIELDS]))).alias("v"))
 
+    turn = np.radians([0, 90, 45, 135, 22.5, 112.5, 67.5, 157.5])
+    directions = np.stack((np.cos(turn), np.sin(turn)))
+
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -132,16 +135,19 @@ def outline_links(rooms: DataFrame, sizes: DataFrame, threshold: float) -> tuple
                 rings = outer + holes
                 corners = np.concatenate(rings)
                 name = hashlib.sha256(b"|".join((np.round(r, 9) + 0.0).tobytes() for r in rings)).hexdigest()
-                rows.append((name, *corners.min(axis=0), *corners.max(axis=0)))
-            found = pd.DataFrame(rows, columns=["print", "x", "y", "w", "h"])
+                reach = corners @ directions
+                rows.append((name, np.stack((reach.min(axis=0), reach.max(axis=0)), axis=1).ravel()))
+            found = pd.DataFrame(rows, columns=["print", "reach"])
             yield pd.concat([batch[["plan_id", "ids", "v"]].reset_index(drop=True), found], axis=1)
 
-    facts = kept(packed.mapInPandas(measured, "plan_id long, ids long, v array<double>, print string, x double, y double, w double, h double").join(sizes, "plan_id"), "outlines")
+    facts = kept(packed.mapInPandas(measured, "plan_id long, ids long, v array<double>, print string, reach array<double>").join(sizes, "plan_id"), "outlines")
     counts = facts.groupBy("print", "ids").agg(F.sum("copies").alias("c"), F.min("plan_id").alias("head"))
     first, last = F.min(F.struct("ids", "head")), F.max(F.struct("ids", "head"))
     totals = counts.groupBy("print").agg(F.sum("c").alias("t"), first.alias("first"), last.alias("last"))
-    heads = facts.join(facts.groupBy("print").agg(F.min("plan_id").alias("plan_id")), ["print", "plan_id"]).select("plan_id", F.lit(1).alias("room_id"), *FIELDS, "print", "v")
-    boxes = near_duplicates(heads.select("plan_id", "room_id", *FIELDS), threshold)
+    heads = facts.join(facts.groupBy("print").agg(F.min("plan_id").alias("plan_id")), ["print", "plan_id"]).select("plan_id", "reach", "print", "v")
+    # Four reaches at a time take the place of a room's numbers.
+    quads = heads.select("plan_id", F.posexplode(F.array(*[F.slice("reach", 4 * k + 1, 4) for k in range(4)])).alias("room_id", "q"))
+    boxes = near_duplicates(quads.select("plan_id", "room_id", *[F.col("q")[k].alias(f) for k, f in enumerate(FIELDS)]), threshold)
     side = lambda own, name: heads.select(F.col("plan_id").alias(own), F.col("print").alias(f"print{name}"), F.col("v").alias(f"v{name}"))
     candidates = boxes.select("plan_id", "other").join(side("plan_id", "1"), "plan_id").join(side("other", "2"), "other").select("print1", "print2", "v1", "v2")
 
