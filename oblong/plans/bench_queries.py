@@ -298,3 +298,15 @@ def surrogate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.grouping("kind") == 0, "kind").when(F.grouping("sector") == 0, "sector").when(F.grouping("state") == 0, "state").otherwise("all")
     t = g.agg(name.alias("grouping"), F.count("measured").alias("n"), (F.count("*") - F.count("measured")).alias("unmeasured"), F.avg(F.abs(F.col("prediction") - F.col("measured"))).alias("mae_"), F.corr(F.when(F.col("measured").isNotNull(), F.col("prediction")), F.col("measured")).alias("pearson_"))
     return t.select("grouping", F.coalesce("kind", F.col("sector").cast("string"), "state", F.lit("")).alias("value"), "n", "unmeasured", F.round("mae_", 4).alias("mae"), F.round("pearson_", 6).alias("pearson"))
+
+
+@query(f"""WITH {MEASURES}, e AS (SELECT coalesce(kind, 'all') AS kind, cluster AS source, sum(abs(prediction - truth)) AS err, count(*) AS n FROM measures GROUP BY GROUPING SETS ((cluster), (kind, cluster))),
+d AS (SELECT *, len(list_filter({WEIGHTS}, lambda t: t <= {UNIFORM})) AS w FROM e, (SELECT unnest(range(200)) AS draw)), r AS (SELECT kind, draw, sum(w * err) / nullif(sum(w * n), 0) AS r FROM d GROUP BY ALL)
+SELECT kind, (SELECT count(DISTINCT source) FROM e x WHERE x.kind = r.kind) AS clusters, (SELECT round(sum(err) / sum(n), 4) FROM e x WHERE x.kind = r.kind) AS mae, round(quantile_cont(r, 0.025), 4) AS low, round(quantile_cont(r, 0.975), 4) AS high FROM r GROUP BY 1""")
+def surrogate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute errors by kind and overall, with intervals when whole clusters are drawn."""
+    m = derived.measures(spark, sf_dir)
+    error = F.sum(F.abs(F.col("prediction") - F.col("truth"))).alias("err")
+    each = m.groupingSets([[F.col("cluster")], [F.col("kind"), F.col("cluster")]], "kind", "cluster").agg(error, F.count("*").alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), F.col("cluster").alias("source"), "err", "n")
+    found = resampling.cluster_intervals(each, ["kind"], ["source"], "err", "n", digits("29", "source", "draw") / 4294967296.0)
+    return rounded(found.withColumnRenamed("rate", "mae"), 4)
