@@ -160,3 +160,52 @@ def row_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "rows")
     sinks.write_rows(derived.rooms(spark, sf_dir).select("plan_id", "room_id", "x", "y", "w", "h"), path)
     return spark.read.option("header", True).schema("plan_id long, room_id long, x double, y double, w double, h double").csv(path)
+
+
+@query(f"""WITH {ROOMS}, v AS (SELECT CAST(plan_id AS VARCHAR) AS apartment_id, CAST(part_id AS VARCHAR) AS area_id, w * 2 + room_id AS value, w * h AS area, room_id FROM rooms WHERE room_id % 5 <> 0)
+SELECT apartment_id, area_id, max_by(value, room_id) AS value, max_by(area, room_id) AS area FROM v GROUP BY 1, 2""")
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated labels of areas written as CSV and read again: rows that are no numbers go, the last row of an area wins."""
+    rooms = derived.rooms(spark, sf_dir)
+    odd = F.col("room_id") % 5 == 0
+    rows = rooms.select(F.col("plan_id").cast("string").alias("apartment_id"), F.format_string("%d.0", "part_id").alias("area_id"), F.when(odd, "none").otherwise((F.col("w") * 2 + F.col("room_id")).cast("string")).alias("sun_mean"), (F.col("w") * F.col("h")).alias("layout_area"), "plan_id", "room_id")
+    path = folder(spark, "labels")
+    # One plan's rows stand in one file, in the order of its rooms: which is the last is told by the file.
+    rows.repartition(4, "plan_id").sortWithinPartitions("plan_id", "room_id").drop("plan_id", "room_id").write.option("header", True).csv(path)
+    return layout_files.read_labels(spark, path, "sun_mean")
+
+
+@query(f"WITH {ROOMS} SELECT CAST(plan_id AS VARCHAR) AS apartment_id, CAST(room_id AS VARCHAR) AS area_id, printf('%.3f', w / 3) AS sun, CASE WHEN part_id % 2 = 0 THEN 'a, \"b\"' ELSE 'é' END AS note FROM rooms")
+def simulation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulations written as CSV, with quotes, commas and letters beyond ASCII, and read again as texts."""
+    note = F.when(F.col("part_id") % 2 == 0, 'a, "b"').otherwise("é")
+    rows = derived.rooms(spark, sf_dir).select(F.col("plan_id").cast("string").alias("apartment_id"), F.col("room_id").cast("string").alias("area_id"), F.format_string("%.3f", F.col("w") / 3).alias("sun"), note.alias("note"))
+    path = folder(spark, "simulations")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return layout_files.read_simulations(spark, path)
+
+
+@query(f"""WITH {ROOMS}, p AS (SELECT plan_id, CAST(max(x + w) AS BIGINT) AS wide, CAST(max(y + h) AS BIGINT) AS high FROM rooms GROUP BY 1),
+b AS (SELECT plan_id, string_agg('<rect x="' || CAST(40 * x AS BIGINT) || '" y="' || CAST(40 * (high - y - h) AS BIGINT) || '" width="' || CAST(40 * w AS BIGINT) || '" height="' || CAST(40 * h AS BIGINT) || '" fill="none" stroke="black"><title>' || room_id || '</title></rect>', '' ORDER BY room_id) AS boxes FROM rooms JOIN p USING (plan_id) GROUP BY 1)
+SELECT plan_id, md5('<svg xmlns="http://www.w3.org/2000/svg" width="' || 40 * wide || '" height="' || 40 * high || '">' || boxes || '</svg>') AS digest FROM b JOIN p USING (plan_id)""")
+def svg_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing of every plan, by its digest."""
+    return sinks.svg(derived.rooms(spark, sf_dir)).select("plan_id", F.md5(F.col("svg").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {ROOMS} SELECT plan_id, 2 * count(*) AS boxes, CAST(80 * (max(x + w) + 1) AS BIGINT) AS width, CAST(40 * (max(y + h) + 1) AS BIGINT) AS height FROM rooms GROUP BY 1""")
+def svg_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every plan beside itself a metre narrower, at one scale: boxes and size of the drawing."""
+    rooms = derived.rooms(spark, sf_dir)
+    drawn = sinks.svg_compare(rooms, rooms.withColumn("w", F.greatest(F.col("w") - 1, F.lit(0.5))))
+    size = lambda name: F.regexp_extract("svg", f'^<svg[^>]* {name}="([0-9]+)"', 1).cast("long")
+    return drawn.select("plan_id", F.regexp_count("svg", F.lit("<rect")).cast("long").alias("boxes"), size("width").alias("width"), size("height").alias("height"))
+
+
+@query(f"WITH {ROOMS} SELECT count(DISTINCT plan_id) AS plans, count(*) AS rooms, sum(w * h) AS area FROM rooms")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a run, written as one line of sorted JSON and read again."""
+    found = derived.rooms(spark, sf_dir).agg(F.countDistinct("plan_id").alias("plans"), F.count("*").alias("rooms"), F.sum(F.col("w") * F.col("h")).alias("area")).first()
+    path = folder(spark, "record")
+    sinks.write_record(spark, path, found.asDict())
+    return spark.read.schema("plans long, rooms long, area double").json(path)
