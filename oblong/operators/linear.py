@@ -353,8 +353,22 @@ def whole_proof(rooms: np.ndarray, before: np.ndarray, outline: tuple[float, flo
     return {"no_gaps": covered, "no_overhang": held, "walls_clear": clear, "within_budget": moved <= Fraction(float(budget))}
 
 
+def daylight_value(x: np.ndarray, deg: float) -> float:
+    """The analytic daylight score of rooms."""
+    return float(_daylight(x, deg)[0].sum())
+
+
 def daylight(x: np.ndarray, deg: float) -> tuple[float, np.ndarray]:
     """The analytic daylight score of rooms and its gradient (the left one where the lit depth has its kink)."""
+    from oblong.functions.scoring import SOUTHWARD
+
+    value, facade, lit, pull, shallow, s, c = _daylight(x, deg)
+    slope = np.stack((-SOUTHWARD * s * value, -SOUTHWARD * c * value, pull * (c * c * lit + facade * shallow * s * s), pull * (s * s * lit + facade * shallow * c * c)), axis=1)
+    return float(value.sum()), slope.ravel()
+
+
+def _daylight(x: np.ndarray, deg: float) -> tuple:
+    """Each room's score, facade, lit depth and preference, whether it is lit throughout, and the azimuth's sine and cosine."""
     from oblong.functions.scoring import DEPTH_FACTOR, EXPOSURE, HEAD_HEIGHT, SOUTHWARD
 
     s, c = np.sin(np.radians(deg)), np.cos(np.radians(deg))
@@ -364,9 +378,7 @@ def daylight(x: np.ndarray, deg: float) -> tuple[float, np.ndarray]:
     shallow = depth <= limit
     lit = np.where(shallow, depth, limit)
     pull = np.exp(SOUTHWARD * (-px * s - py * c))
-    value = facade * lit * pull
-    slope = np.stack((-SOUTHWARD * s * value, -SOUTHWARD * c * value, pull * (c * c * lit + facade * shallow * s * s), pull * (s * s * lit + facade * shallow * c * c)), axis=1)
-    return float(value.sum()), slope.ravel()
+    return facade * lit * pull, facade, lit, pull, shallow, s, c
 
 
 def frank_wolfe(p: Layout, start: np.ndarray, deg: float, radius: float, most: int = 40, gap_limit: float = 1e-4) -> tuple[np.ndarray, list[tuple[float, float, float]], str]:
@@ -391,7 +403,7 @@ def frank_wolfe(p: Layout, start: np.ndarray, deg: float, radius: float, most: i
         away = weights[worst] < 1.0 and slope @ (x - atoms[worst]) > gap
         move, longest = (x - atoms[worst], weights[worst] / (1 - weights[worst])) if away else (s.x - x, 1.0)
         step, rise = min(longest, 1.0) if not away else longest, float(slope @ move)
-        while step > 1e-10 and daylight(x + step * move, deg)[0] < value + 1e-4 * step * rise:
+        while step > 1e-10 and daylight_value(x + step * move, deg) < value + 1e-4 * step * rise:
             step /= 2
         if step <= 1e-10:
             trace.append((value, gap, 0.0))

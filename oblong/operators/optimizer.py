@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 
-from oblong.operators.linear import Layout, Oracle, daylight
+from oblong.operators.linear import Layout, Oracle, daylight, daylight_value
 
 
 class Scorer(Protocol):
@@ -33,7 +33,7 @@ class Daylight:
     deg: float
 
     def value(self, x: np.ndarray) -> float:
-        return daylight(x, self.deg)[0]
+        return daylight_value(x, self.deg)
 
     def gradient(self, x: np.ndarray) -> np.ndarray:
         return daylight(x, self.deg)[1]
