@@ -70,7 +70,7 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DRAWN}
 SELECT CAST(plan_id AS VARCHAR) AS apartment_id, {REASON} AS reason, CASE WHEN fault < 3 THEN CAST(fault * 5 AS DOUBLE) END AS angle,
        CASE WHEN fault < 3 THEN nx * ny - CASE WHEN fault = 1 THEN 1 ELSE 0 END END AS rectangles, CASE WHEN fault < 3 THEN nx * ny - CASE WHEN fault = 1 THEN 2 ELSE 0 END END AS rooms,
-       CASE WHEN fault < 3 THEN 4 END AS corners, CASE WHEN fault < 3 THEN round((width - 0.1) * (height - 0.1), 4) END AS area, CASE WHEN fault < 3 THEN round(1 / width, 4) END AS place FROM drawn""")
+       CAST(CASE WHEN fault < 3 THEN 4 END AS BIGINT) AS corners, CASE WHEN fault < 3 THEN round((CAST(width AS DOUBLE) - 0.1) * (CAST(height AS DOUBLE) - 0.1), 4) END AS area, CASE WHEN fault < 3 THEN round(1 / width, 4) END AS place FROM drawn""")
 def corpus_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus file written and read again, and every apartment turned back, straightened, stitched and cut into rectangles, or rejected."""
     found = _converted(spark, sf_dir)
@@ -140,16 +140,16 @@ w AS (SELECT plan_id, string_agg(concat_ws(chr(10), '0', 'LINE', '8', wall_id, '
 SELECT plan_id, coalesce(len(p), 0) AS pathologies, CASE WHEN p IS NULL THEN md5(concat_ws(chr(10), '0', 'SECTION', '2', 'HEADER', '0', 'ENDSEC', '0', 'SECTION', '2', 'ENTITIES', r.t, w.t, '0', 'ENDSEC', '0', 'EOF') || chr(10)) END AS digest FROM r JOIN w USING (plan_id) LEFT JOIN bad USING (plan_id)""")
 def dxf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The DXF text of every plan that may be exported, by its digest; overlapping rooms are refused."""
-    return exports.dxf(derived.rooms(spark, sf_dir), _wall_lines(spark, sf_dir)).select("plan_id", F.size("pathologies").alias("pathologies"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return exports.dxf(derived.rooms(spark, sf_dir), _wall_lines(spark, sf_dir)).select("plan_id", F.size("pathologies").cast("long").alias("pathologies"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH {_LINES}, {_BAD}, s AS (SELECT plan_id, count(*) AS spaces, first(x + w / 2 ORDER BY room_id) AS cx FROM rooms GROUP BY 1)
-SELECT plan_id, CASE WHEN p IS NULL THEN spaces END AS spaces, CASE WHEN p IS NULL THEN 4 END AS walls, CASE WHEN p IS NULL THEN printf('%.6f', cx) END AS first_x,
+SELECT plan_id, CASE WHEN p IS NULL THEN spaces END AS spaces, CAST(CASE WHEN p IS NULL THEN 4 END AS BIGINT) AS walls, CASE WHEN p IS NULL THEN printf('%.6f', cx) END AS first_x,
        CASE WHEN p IS NULL THEN '0' || left(translate(to_base64(unhex(md5(plan_id || ':room:1'))), '+/=', '_$'), 21) END AS first_id FROM s LEFT JOIN bad USING (plan_id)""")
 def ifc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands in the IFC text of every plan that may be exported: spaces, walls, and the first room's place and identifier."""
     texts = exports.ifc(derived.rooms(spark, sf_dir), _wall_lines(spark, sf_dir))
-    found = lambda p: F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(p)))
+    found = lambda p: F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(p)).cast("long"))
     told = lambda p: F.when(F.col("text").isNotNull(), F.regexp_extract("text", p, 1))
     return texts.select("plan_id", found("=IFCSPACE").alias("spaces"), found("=IFCWALL").alias("walls"), told(r"#100=IFCCARTESIANPOINT\(\(([^,]*),").alias("first_x"), told(r"#104=IFCSPACE\('([^']*)'").alias("first_id"))
 
@@ -193,7 +193,7 @@ def svg_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.svg(derived.rooms(spark, sf_dir)).select("plan_id", F.md5(F.col("svg").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH {ROOMS} SELECT plan_id, 2 * count(*) AS boxes, CAST(80 * (max(x + w) + 1) AS BIGINT) AS width, CAST(40 * (max(y + h) + 1) AS BIGINT) AS height FROM rooms GROUP BY 1""")
+@query(f"""WITH {ROOMS} SELECT plan_id, CAST(2 * count(*) AS BIGINT) AS boxes, CAST(80 * (max(x + w) + 1) AS BIGINT) AS width, CAST(40 * (max(y + h) + 1) AS BIGINT) AS height FROM rooms GROUP BY 1""")
 def svg_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every plan beside itself a metre narrower, at one scale: boxes and size of the drawing."""
     rooms = derived.rooms(spark, sf_dir)

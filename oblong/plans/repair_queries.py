@@ -58,7 +58,7 @@ def case_of(rows: pd.DataFrame, area: float = 0.0) -> repair.Case:
 SELECT plan_id, CASE fault WHEN 0 THEN 'plain' WHEN 2 THEN 'plain' WHEN 1 THEN 'tiling' WHEN 3 THEN 'tiling' END AS strategy,
        CASE fault WHEN 4 THEN 'infeasible' WHEN 5 THEN 'grid_not_recoverable' ELSE 'ok' END AS status,
        CASE fault WHEN 0 THEN '' WHEN 2 THEN '' WHEN 4 THEN 'plain:infeasible,tiling:infeasible,fallback:rejected' WHEN 5 THEN 'plain:gap_needs_tiling,tiling:grid_not_recoverable,fallback:rejected' ELSE 'plain:gap_needs_tiling' END AS refusals,
-       fault < 4 AS valid, fault = 4 AS infeasibility_proved, CASE WHEN fault = 0 THEN 0.0 WHEN fault IN (1, 2) THEN 0.5 WHEN fault = 3 THEN h_last END AS total FROM sizes""")
+       fault < 4 AS valid, fault = 4 AS infeasibility_proved, CAST(CASE WHEN fault = 0 THEN 0.0 WHEN fault IN (1, 2) THEN 0.5 WHEN fault = 3 THEN h_last END AS DOUBLE) AS total FROM sizes""")
 def repair_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rung that gives a proved plan, or the refusals of all; refusals for want of room carry an exactly checked certificate."""
 
@@ -116,8 +116,8 @@ def grid_touch_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FAULTY}
-SELECT plan_id, CASE fault WHEN 2 THEN 0.5 * h0 WHEN 5 THEN 2.25 ELSE 0.0 END AS overlap, CASE fault WHEN 1 THEN 0.5 * h0 WHEN 3 THEN w_last * h_last ELSE 0.0 END AS gap, 0.0 AS overhang,
-       CASE WHEN fault = 4 THEN 6.0 - 3.0 ELSE 0.0 END AS narrow, fault = 0 AS exact FROM sizes""")
+SELECT plan_id, CAST(CASE fault WHEN 2 THEN 0.5 * h0 WHEN 5 THEN 2.25 ELSE 0.0 END AS DOUBLE) AS overlap, CAST(CASE fault WHEN 1 THEN 0.5 * h0 WHEN 3 THEN w_last * h_last ELSE 0.0 END AS DOUBLE) AS gap, CAST(0 AS DOUBLE) AS overhang,
+       CAST(CASE WHEN fault = 4 THEN 6.0 - 3.0 ELSE 0.0 END AS DOUBLE) AS narrow, fault = 0 AS exact FROM sizes""")
 def raw_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with the plans as given, exactly: a proof of a snapped plan speaks of the given one only where all are zero."""
 
@@ -128,7 +128,7 @@ def raw_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_plan(faulty(spark, sf_dir), measure, "plan_id long, overlap double, gap double, overhang double, narrow double, exact boolean", _COLUMNS)
 
 
-@query(f"WITH {FAULTY} SELECT plan_id, fault IN (0, 2) AS plain_again, 0.0 AS total FROM sizes WHERE fault < 4")
+@query(f"WITH {FAULTY} SELECT plan_id, fault IN (0, 2) AS plain_again, CAST(0 AS DOUBLE) AS total FROM sizes WHERE fault < 4")
 def repair_idempotence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repaired plans repaired again: nothing moves. ``plain_again``: whether the first repair took no tiling."""
 
@@ -210,7 +210,7 @@ class _Misled:
         return -self.true.gradient(x)
 
 
-@query(f"WITH {FAULTY} SELECT plan_id, plan_id % 5 < 2 AS refused, TRUE AS stays_if_refused, CASE WHEN plan_id % 5 < 2 THEN 1 END AS first_refusal FROM sizes WHERE fault < 4")
+@query(f"WITH {FAULTY} SELECT plan_id, plan_id % 5 < 2 AS refused, TRUE AS stays_if_refused, CAST(CASE WHEN plan_id % 5 < 2 THEN 1 END AS BIGINT) AS first_refusal FROM sizes WHERE fault < 4")
 def guarded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose gradients are compared with differences of an independent value; those of two plans in five point the wrong way and
     are refused at once, and the plan stays at the nearest valid one."""
