@@ -67,7 +67,7 @@ def repair_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         said = ",".join(f"{rung}:{status}" for rung, status, _ in o.refusals)
         return [(plan, o.strategy, o.status, said, o.sides is not None and all(o.verdicts.values()), bool(o.proved), None if o.total is None else round(o.total, 6) + 0.0)]
 
-    return per_plan(faulty(spark, sf_dir), run, "plan_id long, strategy string, status string, refusals string, valid boolean, infeasibility_proved boolean, total double", _COLUMNS)
+    return per_plan(faulty(spark, sf_dir), run, "plan_id long, strategy string, status string, refusals string, valid boolean, infeasibility_proved boolean, total double", _COLUMNS, period=1)
 
 
 @query(f"""WITH {FAULTY}
