@@ -87,7 +87,7 @@ def generated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append((plan, name, status, len(case.rooms)))
         return out
 
-    return per_plan(faulty(spark, sf_dir), run, "plan_id long, run string, status string, rooms long", _COLUMNS)
+    return per_plan(faulty(spark, sf_dir), run, "plan_id long, run string, status string, rooms long", _COLUMNS, period=1)
 
 
 @query(f"""WITH {FAULTY}, r AS (SELECT *, unnest(range(nx * ny)) AS k FROM sizes), p AS (SELECT *, k % nx AS i, k // nx AS j FROM r WHERE NOT (fault IN (3, 4) AND k = nx * ny - 1) AND NOT (fault = 4 AND k = nx * ny - 2))
