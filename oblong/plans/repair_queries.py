@@ -140,7 +140,7 @@ def repair_idempotence(spark: SparkSession, sf_dir: str) -> DataFrame:
         twice = repair.cascade(repair.Case(once.rooms(), case.outline, case.least_width, case.areas))
         return [(plan, once.strategy == "plain", round(twice.total, 6) + 0.0)]
 
-    return per_plan(faulty(spark, sf_dir), again, "plan_id long, plain_again boolean, total double", _COLUMNS)
+    return per_plan(faulty(spark, sf_dir), again, "plan_id long, plain_again boolean, total double", _COLUMNS, period=1)
 
 
 @query(f"""WITH {ROOMS}, {WALLS}, m AS (SELECT plan_id, room_id, x, y, w, h FROM rooms WHERE room_id <= 2), l AS (SELECT *, CASE WHEN horizontal THEN low ELSE place END AS x0, CASE WHEN horizontal THEN high ELSE place END AS x1, CASE WHEN horizontal THEN place ELSE low END AS y0, CASE WHEN horizontal THEN place ELSE high END AS y1 FROM walls WHERE wall_id < 2),
