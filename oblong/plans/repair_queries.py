@@ -282,7 +282,7 @@ def three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
             pass
         return [(plan, state, float(plan * 7 % 360), *map(float, r)) for state, rooms in zip(_STATES, found, strict=False) for r in rooms]
 
-    rooms = per_plan(faulty(spark, sf_dir), states, "plan_id long, state string, deg double, x double, y double, w double, h double", _COLUMNS)
+    rooms = per_plan(faulty(spark, sf_dir), states, "plan_id long, state string, deg double, x double, y double, w double, h double", _COLUMNS, period=360)
     sizes = [F.col(c) for c in ("x", "y", "w", "h", "deg")]
     value = lambda score, state: F.sum(F.when(F.col("state") == state, score))
     measured, predicted = scoring.split_flux(*sizes), scoring.analytic(*sizes)
