@@ -112,7 +112,7 @@ def grid_touch_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = repair.touched_up(cells[kept], np.ones((nx, ny), dtype=bool), 0 if fault == 5 else 4)
         return [] if found is None else [(plan, int(r), *map(int, c)) for r, c in zip(ids[kept], found, strict=True)]
 
-    return per_plan(rooms, mend, "plan_id long, room_id long, left long, right long, low long, high long", ("i", "j", "fault"))
+    return per_plan(rooms, mend, "plan_id long, room_id long, left long, right long, low long, high long", ("i", "j", "fault"), period=1)
 
 
 @query(f"""WITH {FAULTY}
@@ -125,7 +125,7 @@ def raw_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = repair.residuals(case_of(rows))
         return [(plan, *(float(found[k]) for k in ("overlap", "gap", "overhang", "narrow")), not any(found.values()))]
 
-    return per_plan(faulty(spark, sf_dir), measure, "plan_id long, overlap double, gap double, overhang double, narrow double, exact boolean", _COLUMNS)
+    return per_plan(faulty(spark, sf_dir), measure, "plan_id long, overlap double, gap double, overhang double, narrow double, exact boolean", _COLUMNS, period=1)
 
 
 @query(f"WITH {FAULTY} SELECT plan_id, fault IN (0, 2) AS plain_again, CAST(0 AS DOUBLE) AS total FROM sizes WHERE fault < 4")
@@ -258,7 +258,7 @@ def infeasible_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         except repair.Refusal as refusal:
             return [(plan, refusal.status, refusal.reason, refusal.proved, ",".join(refusal.relaxable))]
 
-    return per_plan(derived.rooms(spark, sf_dir), run, "plan_id long, status string, reason string, proved boolean, relaxable string")
+    return per_plan(derived.rooms(spark, sf_dir), run, "plan_id long, status string, reason string, proved boolean, relaxable string", period=1)
 
 
 _STATES = ("initial", "classic", "optimized")
