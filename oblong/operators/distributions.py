@@ -7,18 +7,40 @@ import math
 import numpy as np
 
 
+def _stirling_rest(z: float) -> float:
+    """What Stirling's formula for log z! leaves over."""
+    if z <= 15:
+        return math.lgamma(z + 1) - (z + 0.5) * math.log(z) + z - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+
+
+def _deviance(k: float, mean: float) -> float:
+    """k log(k / mean) + mean - k, without cancellation where both are close."""
+    v = (k - mean) / (k + mean)
+    if abs(v) > 0.1:
+        return k * math.log(k / mean) + mean - k
+    total, term, j = (k - mean) * v, 2 * k * v, 1
+    while abs(term) > abs(total) * 1e-17:
+        term *= v * v
+        j += 2
+        total += term / j
+    return total
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by Lentz's continued fraction."""
+    """Regularised incomplete beta function, by Lentz's continued fraction, whose terms grow with the root of the larger parameter."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
     if x > (a + 1) / (a + b + 2):
         return 1.0 - beta_inc(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    n = a + b
+    power = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _deviance(a, n * x) - _deviance(b, n * (1 - x))
+    front = math.exp(power) * math.sqrt(b / (2 * math.pi * a * n))
     tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
     f = d
-    for m in range(1, 500):
+    for m in range(1, 500 + 20 * math.isqrt(int(max(a, b)))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d or tiny)
             c = 1 + num / c or tiny
@@ -32,6 +54,8 @@ def beta_quantile(p: float, a: float, b: float) -> float:
     low, high = 0.0, 1.0
     for _ in range(200):
         mid = (low + high) / 2
+        if mid in (low, high):
+            break
         low, high = (mid, high) if beta_inc(a, b, mid) < p else (low, mid)
     return (low + high) / 2
 
@@ -107,7 +131,8 @@ def binomial_two_sided(k: int, n: int) -> float:
     """Exact McNemar: two-sided binomial test at one half."""
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n
+    few = min(k, n - k)
+    tail = sum(math.comb(n, i) for i in range(few + 1)) / 2**n if n <= 200 else beta_inc(n - few, few + 1, 0.5)
     return min(1.0, 2 * tail)
 
 
