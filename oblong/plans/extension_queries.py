@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.operators import distributions, extension, linear
-from oblong.operators.plans import per_plan
+from oblong.operators.plans import per_matrix
 from oblong.plans import derived
 from oblong.plans.derived import MEASURES, ROOMS, RUNS
-from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH
+from oblong.plans.plan_queries import BOX, LEAST_WIDTH, repaired
 from oblong.plans.registry import query, rounded
 
 
@@ -72,21 +72,21 @@ def repair_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     walls = derived.walls(spark, sf_dir).where("load_bearing").select("plan_id", F.col("horizontal").cast("int").alias("flat"), "place", F.col("low").alias("wall_low"), F.col("high").alias("wall_high"))
     columns = ("x", "y", "w", "h", "flat", "place", "wall_low", "wall_high")
 
-    def report(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        before = rows[["x", "y", "w", "h"]].to_numpy(float)
-        areas = np.full(len(before), LEAST_AREA)
-        solved = linear.nearest_with_areas(linear.layout(before, BOX, LEAST_WIDTH), before.ravel(), areas)
+    def report(plan: int, first: list[float], before: np.ndarray, solved: linear.Solution, areas: np.ndarray) -> tuple:
         strategy, after = ("plain", linear.snapped(solved.x)) if solved.x is not None else ("fallback", linear.naive_repair(before, BOX))
         proof = linear.proof(after, BOX, LEAST_WIDTH, areas)
-        first = rows.iloc[0]
-        wall = [] if pd.isna(first["place"]) else [(bool(first["flat"]), float(first["place"]), float(first["wall_low"]), float(first["wall_high"]))]
+        flat, place, low, high = first
+        wall = [] if np.isnan(place) else [(bool(flat), place, low, high)]
         outline = (*after[:, :2].min(axis=0), *(after[:, :2] + after[:, 2:]).max(axis=0))
         more = linear.whole_proof(after, before, outline, wall, 2.0)
         moved = float(np.abs(after - before).max())
         status = "ok" if all(proof.values()) else "refused" if solved.x is not None else solved.status
-        return [(plan, strategy, status, all(proof.values()), *more.values(), moved)]
+        return (plan, strategy, status, all(proof.values()), *more.values(), moved)
 
-    return per_plan(rooms.join(walls, "plan_id", "left"), report, "plan_id long, strategy string, status string, proved boolean, no_gaps boolean, no_overhang boolean, walls_clear boolean, within_budget boolean, moved double", columns)
+    def reports(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        return [report(plan, first, before, s, areas) for plan, first, (before, _, s, areas) in zip(plans.tolist(), matrix[ends[:-1], 4:].tolist(), repaired(matrix, ends), strict=True)]
+
+    return per_matrix(rooms.join(walls, "plan_id", "left"), reports, "plan_id long, strategy string, status string, proved boolean, no_gaps boolean, no_overhang boolean, walls_clear boolean, within_budget boolean, moved double", columns, many=True)
 
 
 @query()
