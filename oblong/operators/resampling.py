@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -69,8 +70,12 @@ def cluster_intervals(sums: DataFrame, group: list[str], cluster: list[str], hit
     clusters is how often it is drawn. ``uniform`` is a number from 0 to 1 of a cluster and of the column ``draw``, so draws are the same
     in every run and on every task, and are sums over the clusters, added up where these lie: what is shuffled is a row a draw.
     """
-    weight = F.size(F.filter(F.array(*[F.lit(t) for t in poisson_thresholds()]), lambda t: t <= uniform))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(*group, "draw", weight.alias("w_"), hits, total)
+    weight = functools.reduce(lambda a, b: a + b, [(F.lit(t) <= F.col("u_")).cast("int") for t in poisson_thresholds()])
+    # A cluster's number is drawn once for all of its groups; one that is not drawn adds nothing.
+    whole_clusters = sums.groupBy(*cluster).agg(F.collect_list(F.struct(*group, hits, total)).alias("rows_"))
+    every = whole_clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # Exploded, the number is evaluated once; as a plain column, once for every threshold.
+    drawn = every.withColumn("u_", F.explode(F.array(uniform))).withColumn("w_", weight).where("w_ > 0").select("draw", "w_", F.explode("rows_").alias("row_")).select("row_.*", "draw", "w_")
     rates = drawn.groupBy(*group, "draw").agg((F.sum(F.col("w_") * F.col(hits)) / F.nullif(F.sum(F.col("w_") * F.col(total)), F.lit(0))).alias("r_"))
     tail = (1 - level) / 2
     ends = rates.groupBy(*group).agg(F.percentile("r_", tail).alias("low"), F.percentile("r_", 1 - tail).alias("high")).select(*[F.col(g).alias(f"g_{g}") for g in group], "low", "high")
