@@ -104,7 +104,7 @@ def read_corpus(spark: SparkSession, path: str, excluded: tuple[str, ...] = ("BA
 
 
 _APARTMENT = (
-    "apartment_id string, site_id string, reason string, angle double, rooms array<struct<x:double,y:double,w:double,h:double,type:string,source:int>>, outline array<double>, "
+    "apartment_id string, reason string, angle double, rooms array<struct<x:double,y:double,w:double,h:double,type:string,source:int>>, outline array<double>, "
     "walls array<array<double>>, openings array<struct<wall:int,s:double,relative_width:double>>, columns array<array<double>>"
 )
 
@@ -113,20 +113,25 @@ def converted(corpus: DataFrame, **options: float) -> DataFrame:
     """One row an apartment of ``read_corpus``: its plan as rectangles, outline (x and y in turn), walls, openings and columns, in the frame
     that ``angle`` was turned back to; or the first reason why there is none. ``options``: most_rooms, most_rectangles, snap, stitch."""
     flat = F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"])))
-    rows = corpus.where("apartment_id IS NOT NULL").select("apartment_id", "at", "site_id", "entity_type", "entity_subtype", flat.alias("corners"))
+    named = corpus.where("apartment_id IS NOT NULL")
+    # The place in the file only orders an apartment's entities, and the site is only handed on: equal drawings are converted once.
+    place = F.row_number().over(Window.partitionBy("apartment_id").orderBy("at"))
+    rows = named.select("apartment_id", place.alias("k"), "entity_type", "entity_subtype", flat.alias("corners"))
+    sites = named.groupBy("apartment_id").agg(F.min_by("site_id", F.when(F.col("site_id") != "", F.col("at"))).alias("site_id"))
 
     def run(apartment: str, entities: pd.DataFrame) -> list[tuple]:
-        sites = [s for s in entities["site_id"] if s]
         given = [(k, s, None if c is None else np.asarray(c, dtype=float).reshape(-1, 2)) for k, s, c in zip(entities["entity_type"], entities["entity_subtype"], entities["corners"], strict=True)]
         try:
             a = conversion.convert(given, **options)
         except conversion.Rejected as rejected:
-            return [(apartment, sites[0] if sites else None, str(rejected), None, None, None, None, None, None)]
+            return [(apartment, str(rejected), None, None, None, None, None, None)]
         rooms = [dict(zip(("x", "y", "w", "h", "type", "source"), r, strict=True)) for r in a.rooms]
         openings = [dict(zip(("wall", "s", "relative_width"), o, strict=True)) for o in a.openings]
-        return [(apartment, sites[0] if sites else None, None, a.angle, rooms, a.outline.ravel().tolist(), [list(w) for w in a.walls], openings, [list(c) for c in a.columns])]
+        return [(apartment, None, a.angle, rooms, a.outline.ravel().tolist(), [list(w) for w in a.walls], openings, [list(c) for c in a.columns])]
 
-    return per_plan(rows, run, _APARTMENT, ("site_id", "entity_type", "entity_subtype", "corners"), "apartment_id", "at")
+    found = per_plan(rows, run, _APARTMENT, ("entity_type", "entity_subtype", "corners"), "apartment_id", "k", period=1)
+    first, *others = found.columns
+    return found.join(sites, "apartment_id").select(first, "site_id", *others)
 
 
 def conversion_statistics(apartments: DataFrame) -> DataFrame:
