@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 
-from oblong.operators.linear import daylight
+from oblong.operators.linear import daylight, daylights
 
 DESCRIPTORS = ("rooms", "width", "height", "area", "south", "daylight")
 #: Least spread of an ensemble, slopes that count as none, least agreement of signs.
@@ -35,6 +35,29 @@ def descriptors(x: np.ndarray, deg: float) -> tuple[np.ndarray, np.ndarray]:
     return values, slopes
 
 
+def described(rooms: np.ndarray, deg: np.ndarray) -> np.ndarray:
+    """The descriptors of many plans of equally many rooms: ``rooms`` by plan, room and x, y, w, h; ``deg`` by plan."""
+    s, c = np.sin(np.radians(deg))[:, None], np.cos(np.radians(deg))[:, None]
+    x, y, w, h = np.moveaxis(rooms, -1, 0)
+    count = np.full(len(rooms), float(rooms.shape[1]))
+    return np.stack((count, w.sum(axis=1), h.sum(axis=1), (w * h).sum(axis=1), -(x * s + y * c).sum(axis=1), daylights(rooms, deg)), axis=1)
+
+
+def simulated_many(rooms: np.ndarray, deg: np.ndarray) -> np.ndarray:
+    """``simulated`` of many plans of equally many rooms."""
+    light = daylights(rooms, deg)
+    return light / (1 + light / 60) + 0.4 * np.sqrt(np.maximum((rooms[..., 2] * rooms[..., 3]).sum(axis=1), 0.0))
+
+
+def differences_many(score: Callable[[np.ndarray, np.ndarray], np.ndarray], rooms: np.ndarray, deg: np.ndarray, step: float) -> np.ndarray:
+    """``finite_differences`` of many plans of equally many rooms, by a score of many; a row a plan."""
+    count, size = len(rooms), rooms[0].size
+    moves = step * np.eye(size)
+    at = rooms.reshape(count, 1, size)
+    ask = lambda v: score(v.reshape(count * size, -1, 4), np.repeat(deg, size)).reshape(count, size)
+    return (ask(at + moves) - ask(at - moves)) / (2 * step)
+
+
 def simulated(x: np.ndarray, deg: float) -> float:
     """The stand-in for a simulator: daylight that saturates, and a share of the area's root."""
     light = daylight(x, deg)[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oblong.operators import linear
 from oblong.operators import surrogates as sg
-from oblong.operators.plans import per_plan
+from oblong.operators.plans import alike, per_matrix, per_plan
 from oblong.plans import derived
 from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH
 from oblong.plans.registry import query
@@ -103,15 +103,20 @@ def gradient_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     net = sg.fit(features, truths, SEED)
 
-    def report(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        x, deg = _vector(rows), _azimuth(plan)
-        declared = net.gradient(x, deg)
-        own = sg.agreement(declared, sg.finite_differences(lambda v: net.value(v, deg), x, 1e-5))
-        slopes = sg.finite_differences(lambda v: sg.simulated(v, deg), x, 0.1)
-        _, cosine, signs = sg.agreement(declared, slopes)
-        return [(plan, own[0], own[1], cosine, signs, sg.guarded(declared, slopes)[1])]
+    def report(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        out = []
+        for at, held in alike(matrix, ends):
+            deg = plans[at] * 7 % 360.0
+            measured = sg.differences_many(lambda v, d: net.values(sg.described(v, d)), held, deg, 1e-5)
+            simulator = sg.differences_many(sg.simulated_many, held, deg, 0.1)
+            for plan, x, d, own_slopes, slopes in zip(plans[at].tolist(), held, deg.tolist(), measured, simulator, strict=True):
+                declared = net.gradient(x.ravel(), d)
+                own = sg.agreement(declared, own_slopes)
+                _, cosine, signs = sg.agreement(declared, slopes)
+                out.append((plan, own[0], own[1], cosine, signs, sg.guarded(declared, slopes)[1]))
+        return out
 
-    return per_plan(rooms, report, schema)
+    return per_matrix(rooms, report, schema, many=True)
 
 
 @query()
