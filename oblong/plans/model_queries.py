@@ -33,11 +33,14 @@ def _azimuth(plan: int) -> float:
 def _described(rooms: DataFrame) -> DataFrame:
     """(plan_id, descriptors, truth) of each plan."""
 
-    def describe(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        x, deg = _vector(rows), _azimuth(plan)
-        return [(plan, sg.descriptors(x, deg)[0].tolist(), sg.simulated(x, deg))]
-
-    return per_plan(rooms, describe, "plan_id long, features array<double>, truth double")
+    def describe(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> tuple:
+        features, truths = np.zeros((len(plans), len(sg.DESCRIPTORS))), np.zeros(len(plans))
+        for own, held in alike(matrix, ends):
+            deg = plans[own] * 7 % 360.0
+            features[own], truths[own] = sg.described(held, deg), sg.simulated_many(held, deg)
+        return plans, list(features), truths
+
+    return per_matrix(rooms, describe, "plan_id long, features array<double>, truth double", many=True)
 
 
 def _order(column: str = "plan_id"):
