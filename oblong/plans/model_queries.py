@@ -235,9 +235,9 @@ def calibration_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each plan the fingerprint of its predictions, truths and spreads, and the token that freezes it."""
     measures = derived.measures(spark, sf_dir)
 
-    def sign(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        rows = rows.sort_values(["line", "part_id", "quantity", "prediction", "truth", "spread"])
-        digest = sg.data_fingerprint({c: rows[c].to_numpy(float) for c in ("prediction", "truth", "spread")})
+    def sign(plan: int, lines: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+        rows = numbers[np.lexsort((*numbers.T[::-1], lines))]
+        digest = sg.data_fingerprint(dict(zip(("prediction", "truth", "spread"), rows.T[2:], strict=True)))
         return [(plan, len(rows), digest, sg.signed_token(digest, "2024-01-01T00:00:00Z"))]
 
-    return per_plan(measures, sign, "plan_id long, n long, fingerprint string, token string", ("part_id", "quantity", "prediction", "truth", "spread"), order="line")
+    return per_matrix(measures, sign, "plan_id long, n long, fingerprint string, token string", ("part_id", "quantity", "prediction", "truth", "spread"), order="line")
