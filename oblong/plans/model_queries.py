@@ -154,15 +154,21 @@ def optimizer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeded disturbances of each plan, repaired in full and with one part at a time left out."""
 
-    def runs(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        before, out = _vector(rows).reshape(-1, 4), []
-        areas, deg = np.full(len(before), LEAST_AREA), _azimuth(plan)
-        for start in (0, 1):
-            seed = int.from_bytes(hashlib.sha256(f"{SEED}:{plan}:{start}".encode()).digest()[:8], "little")
-            case = before + np.random.default_rng(seed).normal(0, 0.3, before.shape)
-            case[:, 2:] = np.maximum(case[:, 2:], 0.1)
-            whole = linear.nearest_with_areas(linear.layout(case, BOX, LEAST_WIDTH), case.ravel(), areas)
-            bare = linear.nearest(linear.layout(case, BOX, LEAST_WIDTH), case.ravel())
+    def runs(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        keys, cases, out = [], [], []
+        for plan, a, b in zip(plans.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+            for start in (0, 1):
+                seed = int.from_bytes(hashlib.sha256(f"{SEED}:{plan}:{start}".encode()).digest()[:8], "little")
+                case = matrix[a:b] + np.random.default_rng(seed).normal(0, 0.3, (b - a, 4))
+                case[:, 2:] = np.maximum(case[:, 2:], 0.1)
+                keys.append((plan, start))
+                cases.append(case)
+        layouts, least = [linear.layout(c, BOX, LEAST_WIDTH) for c in cases], [np.full(len(c), LEAST_AREA) for c in cases]
+        given = [c.ravel() for c in cases]
+        bares = linear.nearest_many(layouts, given)  # first: cuts extend the layouts
+        wholes = linear.nearest_many(layouts, given, least)
+        for (plan, start), case, areas, whole, bare in zip(keys, cases, least, wholes, bares, strict=True):
+            deg = _azimuth(plan)
             for name, s, fall in (("full", whole, True), ("no areas", bare, True), ("no fallback", whole, False)):
                 after = linear.snapped(s.x) if s.x is not None else linear.naive_repair(case, BOX) if fall else None
                 if after is None:
@@ -172,7 +178,7 @@ def ablation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((plan, start, name, s.status, valid, float(np.abs(after - case).max()), linear.daylight(after.ravel(), deg)[0]))
         return out
 
-    return per_plan(derived.rooms(spark, sf_dir), runs, "plan_id long, start long, config string, status string, valid boolean, moved double, score double")
+    return per_matrix(derived.rooms(spark, sf_dir), runs, "plan_id long, start long, config string, status string, valid boolean, moved double, score double", many=True)
 
 
 @query()
