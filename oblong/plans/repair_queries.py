@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oblong.functions import scoring
 from oblong.operators import repair
 from oblong.operators.optimizer import AwaySteps, Daylight, Differences, Guarded, PairwiseSteps
-from oblong.operators.plans import per_plan
+from oblong.operators.plans import alike, per_matrix, per_plan
 from oblong.plans import derived
 from oblong.plans.derived import ROOMS, WALLS
 from oblong.plans.plan_queries import BOX
@@ -156,15 +156,17 @@ def wall_side_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k, f: F.col("walls")[k][f].cast("double").alias(f"{f}{k}")
     rooms = derived.rooms(spark, sf_dir).where("room_id <= 2").join(packed, "plan_id").select("plan_id", "room_id", "x", "y", "w", "h", *[pick(k, f) for k in (0, 1) for f in ("flat", "place", "low", "high")])
 
-    def assign(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        matrix, first, out = rows[["x", "y", "w", "h"]].to_numpy(float), rows.iloc[0], []
-        for k in (0, 1):
-            wall = (bool(first[f"flat{k}"]), float(first[f"place{k}"]), float(first[f"low{k}"]), float(first[f"high{k}"]))
-            sides = repair.compatible_sides(repair.penetrations(matrix, wall, (0.0, 0.0, *BOX), 1.0))
-            out += [(plan, k, int(r), repair.SIDES[s]) for r, s in zip(rows["room_id"], sides, strict=True)]
-        return out
+    names = np.array(repair.SIDES, dtype=object)
+
+    def assign(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> tuple:
+        sides = np.zeros((2, len(ids)), dtype=int)
+        for own, held in alike(matrix, ends):
+            at = ends[own][:, None] + np.arange(held.shape[1])
+            for k in (0, 1):
+                sides[k, at] = repair.compatible_sides_many(held[..., :4], held[:, 0, 4 + 4 * k : 8 + 4 * k], (0.0, 0.0, *BOX), 1.0)
+        return np.tile(np.repeat(plans, np.diff(ends)), 2), np.repeat([0, 1], len(ids)), np.tile(ids, 2), names[sides.ravel()]
 
-    return per_plan(rooms, assign, "plan_id long, wall_id long, room_id long, side string", ("x", "y", "w", "h", *[f"{f}{k}" for k in (0, 1) for f in ("flat", "place", "low", "high")]))
+    return per_matrix(rooms, assign, "plan_id long, wall_id long, room_id long, side string", ("x", "y", "w", "h", *[f"{f}{k}" for k in (0, 1) for f in ("flat", "place", "low", "high")]), many=True)
 
 
 def _optimised(rows: pd.DataFrame, plan: int, **options: object) -> repair.Outcome | None:
