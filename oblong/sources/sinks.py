@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oblong.operators.plans import per_plan
+from oblong.operators.plans import per_matrix
 
 
 def plan_json(plans: DataFrame) -> DataFrame:
@@ -50,27 +50,28 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
 def svg(rooms: DataFrame, pixels: int = 40) -> DataFrame:
     """(plan_id, svg): a drawing of each plan, y upwards."""
 
-    def draw(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        top = float((rows["y"] + rows["h"]).max())
-        right = float((rows["x"] + rows["w"]).max())
-        boxes = "".join(f'<rect x="{pixels * r.x:g}" y="{pixels * (top - r.y - r.h):g}" width="{pixels * r.w:g}" height="{pixels * r.h:g}" fill="none" stroke="black"><title>{r.room_id}</title></rect>' for r in rows.itertuples())
+    def draw(plan: int, ids: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+        rows = numbers.tolist()
+        top, right = max(y + h for _, y, _, h in rows), max(x + w for x, _, w, _ in rows)
+        boxes = "".join(f'<rect x="{pixels * x:g}" y="{pixels * (top - y - h):g}" width="{pixels * w:g}" height="{pixels * h:g}" fill="none" stroke="black"><title>{name}</title></rect>' for name, (x, y, w, h) in zip(ids.tolist(), rows, strict=True))
         return [(plan, f'<svg xmlns="http://www.w3.org/2000/svg" width="{pixels * right:g}" height="{pixels * top:g}">{boxes}</svg>')]
 
-    return per_plan(rooms, draw, "plan_id long, svg string")
+    return per_matrix(rooms, draw, "plan_id long, svg string")
 
 
 def svg_sheet(panels: DataFrame, columns: int = 2, pixels: int = 40, gap: float = 1.0) -> DataFrame:
     """(plan_id, svg): the states of each plan (column ``panel``: 0, 1, …) side by side at one scale, ``columns`` in a row, each with its number."""
 
-    def draw(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        wide, high = float((rows["x"] + rows["w"]).max()) + gap, float((rows["y"] + rows["h"]).max()) + gap
-        parts, n = [], int(rows["panel"].max()) + 1
-        for r in rows.itertuples():
-            left, top = (r.panel % columns) * wide, (r.panel // columns) * high
-            parts.append(f'<rect x="{pixels * (left + r.x):g}" y="{pixels * (top + high - gap - r.y - r.h):g}" width="{pixels * r.w:g}" height="{pixels * r.h:g}" fill="none" stroke="black"><title>{r.panel}:{r.room_id}</title></rect>')
+    def draw(plan: int, ids: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+        rows = numbers.tolist()
+        wide, high = max(x + w for _, x, _, w, _ in rows) + gap, max(y + h for _, _, y, _, h in rows) + gap
+        parts, n = [], int(max(r[0] for r in rows)) + 1
+        for name, (panel, x, y, w, h) in zip(ids.tolist(), rows, strict=True):
+            left, top = (panel % columns) * wide, (panel // columns) * high
+            parts.append(f'<rect x="{pixels * (left + x):g}" y="{pixels * (top + high - gap - y - h):g}" width="{pixels * w:g}" height="{pixels * h:g}" fill="none" stroke="black"><title>{int(panel)}:{name}</title></rect>')
         return [(plan, f'<svg xmlns="http://www.w3.org/2000/svg" width="{pixels * wide * min(columns, n):g}" height="{pixels * high * -(-n // columns):g}">{"".join(parts)}</svg>')]
 
-    return per_plan(panels, draw, "plan_id long, svg string", ("panel", "x", "y", "w", "h"))
+    return per_matrix(panels, draw, "plan_id long, svg string", ("panel", "x", "y", "w", "h"))
 
 
 def svg_compare(before: DataFrame, after: DataFrame, pixels: int = 40) -> DataFrame:
