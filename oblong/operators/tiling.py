@@ -58,6 +58,15 @@ def cell_counts(rooms: DataFrame) -> DataFrame:
     return cells.join(over, on, "left").groupBy("plan_id", "x0", "x1", "y0", "y1").agg(F.count("p").alias("n"))
 
 
+def cells_of(rooms: np.ndarray) -> np.ndarray:
+    """How many of a plan's rooms, rows x, y, w, h, cover each cell between its neighbouring grid lines; as ``cell_counts`` for one plan."""
+    far = rooms[:, :2] + rooms[:, 2:]
+    xs, ys = (np.unique(np.concatenate((rooms[:, k], far[:, k]))) for k in (0, 1))
+    across = (rooms[:, 0, None] <= xs[:-1]) & (far[:, 0, None] >= xs[1:])
+    along = (rooms[:, 1, None] <= ys[:-1]) & (far[:, 1, None] >= ys[1:])
+    return across.T.astype(int) @ along.astype(int)
+
+
 def outline_gaps(rooms: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Area of a rectangular outline that no room covers, and area of rooms outside of it."""
     left, low = F.greatest("x", F.lit(x0)), F.greatest("y", F.lit(y0))

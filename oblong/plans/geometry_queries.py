@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oblong.functions import circular
-from oblong.operators import layouts, tiling
-from oblong.operators.plans import per_plan
+from oblong.operators import layouts, linear, tiling
+from oblong.operators.plans import per_matrix
 from oblong.plans import derived
 from oblong.plans.derived import OPENINGS, ROOMS, TYPED, WALLS
 from oblong.plans.layout_queries import PAIRS, UNION_SQL
@@ -39,8 +37,12 @@ n AS (SELECT c.*, (SELECT count(*) FROM rooms r WHERE r.plan_id = c.plan_id AND
 SELECT plan_id, count(*) AS cells, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (n > 1) AS overlapped, bool_and(n = 1) AS is_partition FROM n GROUP BY 1""")
 def grid_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the cells of each plan's grid are covered once each."""
-    n = F.col("n")
-    return tiling.cell_counts(derived.rooms(spark, sf_dir)).groupBy("plan_id").agg(F.count("*").alias("cells"), F.count_if(n == 0).alias("uncovered"), F.count_if(n > 1).alias("overlapped"), F.bool_and(n == 1).alias("is_partition"))
+
+    def count(plan: int, ids: np.ndarray, rooms: np.ndarray) -> list[tuple]:
+        n = tiling.cells_of(rooms)
+        return [(plan, n.size, int((n == 0).sum()), int((n > 1).sum()), bool((n == 1).all()))] if n.size else []
+
+    return per_matrix(derived.rooms(spark, sf_dir), count, "plan_id long, cells long, uncovered long, overlapped long, is_partition boolean")
 
 
 def covered_sql(name: str, source: str) -> str:
@@ -60,15 +62,15 @@ SELECT plan_id, o.plan_id IS NULL AS disjoint, area = outline AS full, o.plan_id
 def tiling_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rational proofs that rooms tile the box around them: disjoint, with areas that add up to the box's."""
 
-    def prove(plan: int, rooms: pd.DataFrame) -> list[tuple]:
-        q = [[Fraction(v) for v in r] for r in rooms[["x", "y", "w", "h"]].to_numpy(float).tolist()]
-        apart = lambda a, b: a[0] + a[2] <= b[0] or b[0] + b[2] <= a[0] or a[1] + a[3] <= b[1] or b[1] + b[3] <= a[1]
-        disjoint = all(apart(q[i], q[j]) for i in range(len(q)) for j in range(i + 1, len(q)))
+    def prove(plan: int, ids: np.ndarray, rooms: np.ndarray) -> list[tuple]:
+        _, (flat,) = linear.integers(rooms.ravel().tolist())
+        q = [flat[k : k + 4] for k in range(0, len(flat), 4)]
+        disjoint = linear.disjoint_rooms(q)
         box = [max(r[k] + r[k + 2] for r in q) - min(r[k] for r in q) for k in (0, 1)]
         full = sum(r[2] * r[3] for r in q) == box[0] * box[1]
         return [(plan, disjoint, full, disjoint and full)]
 
-    return per_plan(derived.rooms(spark, sf_dir), prove, "plan_id long, disjoint boolean, full boolean, tiles boolean")
+    return per_matrix(derived.rooms(spark, sf_dir), prove, "plan_id long, disjoint boolean, full boolean, tiles boolean")
 
 
 MERGES = f"""{PAIRS}, merges AS (SELECT plan_id, CASE WHEN (dy > 1e-7 AND abs(ax + aw - bx) < 1e-7) OR (NOT (dy > 1e-7 AND abs(bx + bw - ax) < 1e-7) AND dx > 1e-7 AND abs(ay + ah - "by") < 1e-7) THEN a_room_id ELSE b_room_id END AS i,
