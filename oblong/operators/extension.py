@@ -38,12 +38,14 @@ def extra_checks(rooms: DataFrame, checks: dict[str, tuple[Column, Column]]) ->
 def linear_constraints(rooms: DataFrame, terms: DataFrame, bounds: DataFrame) -> DataFrame:
     """(plan_id, constraint, value, bound, satisfied) of users' sums of coefficient x field over rooms; a constraint whose rooms a plan lacks is absent.
 
-    ``terms``: constraint, room_id, field, coefficient. ``bounds``: constraint, bound.
+    ``terms``: constraint, room_id, field, coefficient. ``bounds``: constraint, bound. Both are what a user writes down and go to all
+    tasks: room ids and fields are few, so a shuffle by them would send all rooms to a few tasks.
     """
-    fields = rooms.select("plan_id", "room_id", F.explode(F.create_map(*[v for f in "xywh" for v in (F.lit(f), F.col(f))])).alias("field", "value"))
+    value = F.create_map(*[v for f in "xywh" for v in (F.lit(f), F.col(f))])
     sizes = terms.groupBy("constraint").agg(F.count("*").alias("n_terms"))
-    sums = fields.join(terms, ["room_id", "field"]).groupBy("plan_id", "constraint").agg(F.sum(F.col("coefficient") * F.col("value")).alias("value"), F.count("*").alias("n"))
-    whole = sums.join(sizes, "constraint").where("n = n_terms").join(bounds, "constraint")
+    each = rooms.join(F.broadcast(terms.where(F.col("field").isin(*"xywh"))), "room_id").select("plan_id", "constraint", "coefficient", F.element_at(value, F.col("field")).alias("value"))
+    sums = each.groupBy("plan_id", "constraint").agg(F.sum(F.col("coefficient") * F.col("value")).alias("value"), F.count("*").alias("n"))
+    whole = sums.join(F.broadcast(sizes), "constraint").where("n = n_terms").join(F.broadcast(bounds), "constraint")
     return whole.select("plan_id", "constraint", "value", "bound", (F.col("value") <= F.col("bound") + SNAP).alias("satisfied"))
 
 
