@@ -151,28 +151,32 @@ def leaking(assignment: DataFrame, source: str, part: str) -> DataFrame:
     return assignment.groupBy(source).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
 
 
-def kernel_densities(rows: DataFrame, reference: DataFrame, id_: str, vector: str, bandwidth: float, tile_rows: int = 2048) -> DataFrame:
+def kernel_densities(rows: DataFrame, reference: DataFrame, id_: str, vector: str, bandwidth: float, tile_rows: int | None = None) -> DataFrame:
     """(id, density) of every row: the mean Gaussian kernel to all rows of ``reference``, whole vectors, at least 1e-12.
 
     Rows and reference are cut into tiles by a hash, and a task is given one tile of either at a time; only sums leave it. Comparing all
     with all is what the density is, so the work grows with the product of both sizes, but no task's share does. Null vectors have none.
+    Each side travels once for every tile of the other: tiles are an eighth of their side, but of 2,048 rows at least and 65,536 at most.
     """
     own, other = rows.where(F.col(vector).isNotNull()), reference.where(F.col(vector).isNotNull())
-    n_own, n_other = (max(1, -(-d.count() // tile_rows)) for d in (own, other))
+    tiles = lambda n: max(1, -(-n // (tile_rows or min(max(-(-n // 8), 2048), 65536))))
+    n_own, n_other = (tiles(d.count()) for d in (own, other))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    tile = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), vector), F.lit(n)).cast("int")
-    left = own.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), tile(n_own, 1).alias("tile"), every(n_other).alias("block"), F.lit(True).alias("own"))
-    right = other.select(F.lit(None).cast(own.schema[id_].dataType).alias("id"), F.col(vector).cast("array<double>").alias("v"), every(n_own).alias("tile"), tile(n_other, 2).alias("block"), F.lit(False).alias("own"))
+    tile = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col(id_), F.col(vector)), F.lit(n)).cast("int")
+    left = own.select(F.col(id_).alias("id"), F.col(vector).alias("v"), tile(n_own, 1).alias("tile"), every(n_other).alias("block"), F.lit(True).alias("own"))
+    right = other.select(F.lit(None).cast(own.schema[id_].dataType).alias("id"), F.col(vector).alias("v"), every(n_own).alias("tile"), tile(n_other, 2).alias("block"), F.lit(False).alias("own"))
 
     def sums(table: pa.Table) -> pa.Table:
         a, b = (table.filter(pa.array(table.column("own").to_numpy() == side)) for side in (True, False))
         total = np.zeros(a.num_rows)
         if a.num_rows and b.num_rows:
-            x, y = (np.array(t.column("v").to_pylist(), dtype=float) for t in (a, b))
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                far = ((part**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * part @ y.T).clip(min=0)
-                total[at : at + 256] = np.exp(-far / (2 * bandwidth**2)).sum(axis=1)
+            x, y = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1) for t in (a, b))
+            size = (y**2).sum(axis=1)[None]
+            step = max(1, 2**19 // len(y))  # few megabytes at a time
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
+                far = ((part**2).sum(axis=1)[:, None] + size - 2 * part @ y.T).clip(min=0)
+                total[at : at + step] = np.exp(-far / (2 * bandwidth**2)).sum(axis=1)
         return pa.Table.from_arrays([a.column("id"), pa.array(total), pa.array([b.num_rows] * a.num_rows, pa.int64())], names=["id", "s", "n"])
 
     kind = own.schema[id_].dataType.simpleString()
