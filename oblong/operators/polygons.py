@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oblong.operators.plans import alike
+
 #: Fixed value: metres above which a drawn wall is none.
 THICKEST = 1.0
 
@@ -113,6 +115,91 @@ def outline(rooms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack((xs[i], ys[j]), axis=1), np.concatenate((standing, lying))
 
 
+def _turns(rooms: np.ndarray, apart: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """For many plans of equally many rooms the lines of both axes, ascending, and what turns where two of them cross, as in ``corners_of``."""
+    count, n, _ = rooms.shape
+    lines, spans = [], []
+    for k in (0, 1):
+        near = rooms[:, :, k]
+        sides = np.concatenate((near, near + rooms[:, :, k + 2]), axis=1)
+        ordered = np.sort(sides, axis=1)
+        new = np.hstack((np.ones((count, 1), dtype=bool), np.diff(ordered, axis=1) > apart))
+        held = np.full((count, 2 * n), np.inf)
+        plan, at = np.nonzero(new)
+        held[plan, (np.cumsum(new, axis=1) - 1)[plan, at]] = ordered[plan, at]
+        place = np.abs(held[:, None, :] - sides[:, :, None]).argmin(axis=2)
+        slab = np.arange(2 * n - 1)
+        lines.append(held)
+        spans.append((place[:, :n, None] <= slab) & (place[:, n:, None] > slab))
+    across, along = (v.astype(np.float32) for v in spans)
+    cells = np.zeros((count, 2 * n + 1, 2 * n + 1), dtype=np.int8)
+    cells[:, 1:-1, 1:-1] = across.transpose(0, 2, 1) @ along > 0
+    return lines, cells[:, 1:, 1:] - cells[:, :-1, 1:] - cells[:, 1:, :-1] + cells[:, :-1, :-1]
+
+
+def corners_of(rooms: np.ndarray, apart: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the unions of many plans of equally many rooms, given by plan, room and x, y, w, h: (plan, (x, y, turn)), in order.
+
+    ``turn`` counts the filled quarters around a corner by turns with plus and minus. A union follows from its corners and turns, so unions
+    are equal where these are. Lines that a rounding separates are one, as in ``conversion.filled``.
+    """
+    lines, turn = _turns(rooms, apart)
+    plan, i, j = np.nonzero(turn)
+    return plan, np.stack((lines[0][plan, i], lines[1][plan, j], turn[plan, i, j]), axis=1)
+
+
+def _outlines(matrix: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners and edges as ``outline`` gives them, of all plans, filled up by a plan's first corner and by edges that are nowhere."""
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    for own, rooms in alike(matrix, ends):
+        (xs, ys), turn = _turns(rooms, 0.0)
+        plan, i, j = np.nonzero(turn)
+        found[0].append((own[plan], np.stack((xs[plan, i], ys[plan, j]), axis=1)))
+        # Along a line an edge goes from one corner to the next; where parts of the union touch it goes on.
+        p, i, j = np.nonzero(turn % 2)
+        found[1].append((own[p[::2]], np.stack((xs[p, i][::2], ys[p, j][::2], xs[p, i][1::2], ys[p, j][1::2]), axis=1)))
+        p, j, i = np.nonzero(turn.transpose(0, 2, 1) % 2)
+        found[1].append((own[p[::2]], np.stack((xs[p, i][::2], ys[p, j][::2], xs[p, i][1::2], ys[p, j][1::2]), axis=1)))
+    out = []
+    for parts in found:
+        plan, values = (np.concatenate(v) for v in zip(*parts, strict=True))
+        order = np.argsort(plan, kind="stable")
+        plan, values = plan[order], values[order]
+        held = np.bincount(plan, minlength=len(ends) - 1)
+        first = np.cumsum(held) - held
+        full = np.full((len(held), held.max(), values.shape[1]), np.inf)
+        full[plan, np.arange(len(plan)) - first[plan]] = values
+        out.append(full)
+    corners, edges = out
+    return np.where(np.isinf(corners), corners[:, :1], corners), edges
+
+
+def outline_distances(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """``outline_distance`` of many pairs whose unions have an area: rooms of all first and of all second plans, and where each plan begins."""
+    out = np.zeros(len(ends_a) - 1)
+    size = np.maximum(np.diff(ends_a), np.diff(ends_b))
+    order, k = np.argsort(size, kind="stable"), 0
+
+    def furthest(corners: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        x, y, (x0, y0, x1, y1) = corners[:, :, :1], corners[:, :, 1:], np.ascontiguousarray(np.moveaxis(edges[:, None], -1, 0))
+        dx, dy = np.maximum(0, np.maximum(x0 - x, x - x1)), np.maximum(0, np.maximum(y0 - y, y - y1))
+        return np.sqrt((dx * dx + dy * dy).min(axis=2).max(axis=1))
+
+    def chosen(matrix: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = ends[own + 1] - ends[own]
+        upto = np.concatenate(([0], np.cumsum(held)))
+        return matrix[np.repeat(ends[own] - upto[:-1], held) + np.arange(upto[-1])], upto
+
+    while k < len(order):
+        # Corners times edges grow with the square of the rooms or faster: fewer pairs of large plans at a time.
+        own = order[k : k + 512]
+        own = own[: max(1, 200_000 // int(size[own[-1]]) ** 2)]
+        k += len(own)
+        (corners_a, edges_a), (corners_b, edges_b) = _outlines(*chosen(a, ends_a, own)), _outlines(*chosen(b, ends_b, own))
+        out[own] = np.maximum(furthest(corners_a, edges_b), furthest(corners_b, edges_a))
+    return out
+
+
 def outline_distance(a: np.ndarray, b: np.ndarray) -> float | None:
     """The furthest that a corner of one union's outline lies from the other's outline, either way; None where one has no rooms."""
     if not len(a) or not len(b):

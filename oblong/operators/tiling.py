@@ -6,14 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oblong.operators.conversion import outline_of
 from oblong.operators.graphs import components, kept
 from oblong.operators.layouts import SNAP, both, coverage, pair_spans
-from oblong.operators.polygons import outline_distance
+from oblong.operators.plans import alike
+from oblong.operators.polygons import corners_of, outline_distances
 
 #: The sides of a room by axis, and its fields as columns of a decision vector.
 SIDES = (("x", "left"), ("x", "right"), ("y", "low"), ("y", "high"))
@@ -122,6 +122,27 @@ def polygon_edges(corners: DataFrame) -> DataFrame:
     return moved.select("plan_id", "room_id", "k", F.pmod(F.degrees(F.atan2("dy", "dx")) + 180.0, F.lit(180.0)).alias("angle"), F.hypot("dx", "dy").alias("length"))
 
 
+def cell_keys(values: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the unit cells that rows of numbers are in, and (row, name), by row, of all cells that rows within ``reach`` could be in.
+
+    Names are hashes: rows that are near share one, others may. Cells are much wider than ``reach``, so a row mostly has one.
+    """
+
+    def mixed(name: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        name = (name ^ cell.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return name ^ (name >> np.uint64(32))
+
+    own, row = np.zeros(len(values), dtype=np.uint64), np.arange(len(values))
+    choices = own
+    for v in values.T:
+        own = mixed(own, np.floor(v + 0.5))
+        low, high = np.floor(v - reach + 0.5)[row], np.floor(v + reach + 0.5)[row]
+        two = low != high
+        row, choices = np.concatenate((row, row[two])), np.concatenate((mixed(choices, low), mixed(choices[two], high[two])))
+    order = np.argsort(row, kind="stable")
+    return own.view(np.int64), row[order], choices[order].view(np.int64)
+
+
 def outline_links(rooms: DataFrame, sizes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Near duplicates among plans whose rooms have different ids, so that only their outlines can be compared.
 
@@ -136,36 +157,44 @@ def outline_links(rooms: DataFrame, sizes: DataFrame, threshold: float) -> tuple
     turn = np.radians([0, 90, 45, 135, 22.5, 112.5, 67.5, 157.5])
     directions = np.stack((np.cos(turn), np.sin(turn)))
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for v in batch["v"]:
-                outer, holes = outline_of(np.asarray(v, dtype=float).reshape(-1, 4))
-                rings = outer + holes
-                corners = np.concatenate(rings)
-                name = hashlib.sha256(b"|".join((np.round(r, 9) + 0.0).tobytes() for r in rings)).hexdigest()
-                reach = corners @ directions
-                rows.append((name, np.stack((reach.min(axis=0), reach.max(axis=0)), axis=1).ravel()))
-            found = pd.DataFrame(rows, columns=["print", "reach"])
-            yield pd.concat([batch[["plan_id", "ids", "v"]].reset_index(drop=True), found], axis=1)
-
-    facts = kept(packed.mapInPandas(measured, "plan_id long, ids long, v array<double>, print string, reach array<double>").join(sizes, "plan_id"), "outlines")
+            ends = batch.column("v").offsets.to_numpy()
+            matrix = batch.column("v").values.to_numpy(zero_copy_only=False).reshape(-1, 4)
+            names, reach = np.full(batch.num_rows, None, dtype=object), np.zeros((batch.num_rows, 16))
+            for all_, rooms in alike(matrix, ends // 4):
+                most = max(1, 400_000 // rooms.shape[1] ** 2)
+                for k in range(0, len(all_), most):
+                    plan, corners = corners_of(rooms[k : k + most])
+                    own, starts = np.unique(plan, return_index=True)  # rooms without an area have no outline
+                    own, cuts = all_[k + own], [*starts.tolist(), len(plan)]
+                    rounded = np.ascontiguousarray(np.round(corners, 9) + 0.0)
+                    names[own] = [hashlib.sha256(rounded[p:q].tobytes()).hexdigest() for p, q in zip(cuts, cuts[1:], strict=False)]
+                    along = corners[:, :2] @ directions
+                    if len(own):
+                        reach[own] = np.stack((np.minimum.reduceat(along, starts), np.maximum.reduceat(along, starts)), axis=2).reshape(len(own), -1)
+            key, row, choices = cell_keys(reach, threshold * (1 + 1e-9))
+            upto = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            told = [pa.array(names, type=pa.string()), pa.array(list(reach), type=pa.list_(pa.float64())), pa.array(key), pa.ListArray.from_arrays(pa.array(upto), pa.array(choices))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "print", "reach", "key", "choices"])
+
+    facts = kept(packed.mapInArrow(measured, "plan_id long, ids long, v array<double>, print string, reach array<double>, key long, choices array<long>").where("print IS NOT NULL").join(sizes, "plan_id"), "outlines")
     counts = facts.groupBy("print", "ids").agg(F.sum("copies").alias("c"), F.min("plan_id").alias("head"))
     first, last = F.min(F.struct("ids", "head")), F.max(F.struct("ids", "head"))
     totals = counts.groupBy("print").agg(F.sum("c").alias("t"), first.alias("first"), last.alias("last"))
-    heads = facts.join(facts.groupBy("print").agg(F.min("plan_id").alias("plan_id")), ["print", "plan_id"]).select("plan_id", "reach", "print", "v")
-    # Four reaches at a time take the place of a room's numbers.
-    quads = heads.select("plan_id", F.posexplode(F.array(*[F.slice("reach", 4 * k + 1, 4) for k in range(4)])).alias("room_id", "q"))
-    boxes = near_duplicates(quads.select("plan_id", "room_id", *[F.col("q")[k].alias(f) for k, f in enumerate(FIELDS)]), threshold)
+    heads = facts.join(facts.groupBy("print").agg(F.min("plan_id").alias("plan_id")), ["print", "plan_id"]).select("plan_id", "reach", "print", "v", "key", "choices")
+    other = heads.select(F.col("plan_id").alias("other"), F.col("reach").alias("reach2"), F.explode("choices").alias("key"))
+    gap = F.array_max(F.zip_with("reach", "reach2", lambda p, q: F.abs(p - q)))
+    boxes = heads.select("plan_id", "reach", "key").join(other, "key").where((F.col("plan_id") < F.col("other")) & (gap <= threshold * (1 + 1e-9)))
     side = lambda own, name: heads.select(F.col("plan_id").alias(own), F.col("print").alias(f"print{name}"), F.col("v").alias(f"v{name}"))
     candidates = boxes.select("plan_id", "other").join(side("plan_id", "1"), "plan_id").join(side("other", "2"), "other").select("print1", "print2", "v1", "v2")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = [outline_distance(*(np.asarray(v, dtype=float).reshape(-1, 4) for v in pair)) for pair in zip(batch["v1"], batch["v2"], strict=True)]
-            yield batch[["print1", "print2"]][np.array(far, dtype=float) <= threshold * (1 + 1e-9)] if len(batch) else batch[["print1", "print2"]]
+            held = [(batch.column(v).values.to_numpy(zero_copy_only=False).reshape(-1, 4), batch.column(v).offsets.to_numpy() // 4) for v in ("v1", "v2")]
+            yield batch.select(["print1", "print2"]).filter(pa.array(outline_distances(*held[0], *held[1]) <= threshold * (1 + 1e-9)))
 
-    near = kept(candidates.mapInPandas(compared, "print1 string, print2 string"), "near-outlines")
+    near = kept(candidates.mapInArrow(compared, "print1 string, print2 string"), "near-outlines")
     both = near.unionByName(near.select(F.col("print2").alias("print1"), F.col("print1").alias("print2"))).unionByName(totals.select(F.col("print").alias("print1"), F.col("print").alias("print2")))
     met = facts.select("plan_id", "ids", F.col("print").alias("print1")).join(both, "print1").join(totals.withColumnRenamed("print", "print2"), "print2")
     met = met.join(counts.select(F.col("print").alias("print2"), "ids", "c"), ["print2", "ids"], "left").withColumn("others", F.col("t") - F.coalesce("c", F.lit(0)))
