@@ -88,7 +88,7 @@ def room_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.abs(F.col("truth") - F.col("prediction")) / F.col("spread")
     sector = F.floor(((F.col("deg") + 22.5) % 360) / 45) % 8
     each = derived.measures(spark, sf_dir).select("kind", "cluster", "spread", score.alias("score"), sector.alias("sector"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REPETITIONS - 1).cast("long"))).alias("repetition"))
-    cal = F.substring(F.md5(F.concat_ws(":", F.col("repetition").cast("string"), F.col("cluster").cast("string"))), 1, 1) < "8"
+    cal = F.substring(F.md5(F.concat(F.col("repetition").cast("string"), F.lit(":"), F.col("cluster").cast("string"))), 1, 1) < "8"
     split = each.withColumn("cal", cal)
     levels = tables.conformal_quantile(split.where("cal"), ["repetition", "kind"], "score", 10).select("repetition", "kind", "q")
     tested = split.where("NOT cal").join(levels, ["repetition", "kind"]).groupBy("repetition", "kind", "sector")
