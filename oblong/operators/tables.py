@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oblong.functions.intervals import wilson
+from oblong.operators.graphs import kept
 
 
 def tally(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -64,12 +65,14 @@ def placed(rows: DataFrame, group: list[str], values: list[str], total: str = "m
     """The rows with their group's size and, for each of ``values``, the range of values that they are in (``range_<value>``) and how many
     rows of the group are in the ranges before (``before_<value>``). Null values are in a last range of their own, null groups are groups.
 
-    Approximate quantiles cut a group into ranges, so no task needs a whole group; counts are exact wherever the cuts are. The rows are
-    read three times, for cuts, for counts and for themselves, however many values are ranked.
+    Approximate quantiles cut a group into ranges, so no task needs a whole group; counts are exact wherever the cuts are. But these
+    depend on the order in which rows and shuffled blocks come, so they are found once and kept: counts and rows must be cut alike. The
+    rows are read three times, for cuts, for counts and for themselves, however many values are ranked.
     """
     inner = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     named = [F.col(g).alias(f"g_{g}") for g in group]
     cuts = rows.groupBy(*group).agg(F.count("*").alias(total), *[F.percentile_approx(v, inner, F.lit(2000)).alias(f"cuts_{v}") for v in values]).select(*named, total, *[f"cuts_{v}" for v in values])
+    cuts = kept(cuts, "cuts")
     # Cuts ascend: how many lie below a value is found by halving, in a few steps instead of one a cut.
     halves = F.array(*[F.lit(2**k) for k in reversed(range(max(1, (ranges - 1).bit_length())))])
     below = lambda v: F.aggregate(halves, F.lit(0), lambda i, s: i + F.when(F.get(F.col(f"cuts_{v}"), i + s - 1) < F.col(v), s).otherwise(0))
