@@ -108,6 +108,11 @@ def minimum(a: np.ndarray, b: np.ndarray, rows: np.ndarray, low: np.ndarray, hig
     return told, start + sign * _values(all_)[:, :n]
 
 
+def contains(a: np.ndarray, b: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, slack: float = 1e-6) -> np.ndarray:
+    """Whether each point is within its layout."""
+    return (_times(a, x, rows) - b <= slack).all(axis=1) & (x >= low - slack).all(axis=1) & (x <= high + slack).all(axis=1)
+
+
 def daylight(x: np.ndarray, deg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The analytic daylight scores of plans and their gradients, by plan and column."""
     value, facade, lit, pull, shallow, s, c = _daylight(x, deg)

@@ -14,14 +14,12 @@ from oblong.operators import linear, together
 from oblong.operators import surrogates as sg
 from oblong.operators.plans import alike, per_matrix, per_plan
 from oblong.plans import derived
-from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH
+from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH, repaired_alike
 from oblong.plans.registry import query
 
 #: Training plans at most; the others are only scored.
 TRAINING_PLANS = 1500
 SEED = 29
-#: Programs are solved at once for so many plans, times their rooms squared: their tables take some tens of megabytes.
-TOGETHER = 40_000
 
 
 def _vector(rooms: pd.DataFrame) -> np.ndarray:
@@ -134,30 +132,21 @@ def optimizer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     budgets, mosts = np.array([0.25, 0.5]), np.array([5, 10, 25, 50])
 
     def runs(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> tuple:
-        found = []
-        for own, held in alike(matrix, ends):
-            most = min(1024, max(1, TOGETHER // held.shape[1] ** 2))
-            found += [swept(plans[own[k : k + most]], held[k : k + most]) for k in range(0, len(own), most)]
+        found = [swept(*of) for of in repaired_alike(plans, matrix, ends)]
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def swept(plans: np.ndarray, rooms: np.ndarray) -> tuple:
-        count, n, _ = rooms.shape
-        given, (a, b, held) = rooms.reshape(count, -1), together.layouts(rooms, BOX)
-        low, high = np.tile([0.0, 0.0, LEAST_WIDTH, LEAST_WIDTH], (count, n)), np.tile([*BOX, *BOX], (count, n)).astype(float)
-        status, start = together.nearest_with_areas(a, b, held, low, high, given, np.full((count, n), LEAST_AREA))
-        own = np.flatnonzero(status == "optimal")
-        plans, start, low = plans[own], start[own], low[own]
-        low[:, 2::4], low[:, 3::4] = start[:, 2::4], start[:, 3::4]  # sizes only grow, so areas stay
+    def swept(plans: np.ndarray, a: np.ndarray, b: np.ndarray, held: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple:
+        count = len(plans)
         deg = plans * 7 % 360.0
         twice = lambda v: np.concatenate((v, v))
-        x, values, gaps, steps, status = together.frank_wolfe(twice(a[own]), twice(b[own]), twice(held[own]), twice(low), twice(high[own]), twice(start), twice(deg), np.repeat(budgets, len(own)), most=50)
+        x, values, gaps, steps, status = together.frank_wolfe(twice(a), twice(b), twice(held), twice(low), twice(high), twice(start), twice(deg), np.repeat(budgets, count), most=50)
         last = together.daylight(x, twice(deg))[0][:, None]
         cut, taken = steps[:, None] > mosts, np.minimum(steps[:, None], mosts)
         value = np.where(cut, values[:, np.minimum(mosts, values.shape[1] - 1)], last)
         gap = np.where(taken > 0, np.take_along_axis(gaps, np.maximum(taken - 1, 0), axis=1), None)
         spread = lambda v: np.repeat(v, len(mosts))
         gain = value - twice(together.daylight(start, deg)[0])[:, None]
-        return spread(twice(plans)), spread(np.repeat(budgets, len(own))), np.tile(mosts, 2 * len(own)), np.where(cut, "limit", status[:, None]).astype(object).ravel(), taken.ravel(), value.ravel(), gain.ravel(), gap.ravel()
+        return spread(twice(plans)), spread(np.repeat(budgets, count)), np.tile(mosts, 2 * count), np.where(cut, "limit", status[:, None]).astype(object).ravel(), taken.ravel(), value.ravel(), gain.ravel(), gap.ravel()
 
     schema = "plan_id long, budget double, most long, status string, iterations long, value double, gain double, gap double"
     return per_matrix(derived.rooms(spark, sf_dir), runs, schema, many=True, least=120_000)
