@@ -6,6 +6,9 @@ filled up by empty ones, which never leave the basis.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 
 from oblong.functions.scoring import DEPTH_FACTOR, EXPOSURE, HEAD_HEIGHT, SOUTHWARD
@@ -113,6 +116,24 @@ def contains(a: np.ndarray, b: np.ndarray, rows: np.ndarray, low: np.ndarray, hi
     return (_times(a, x, rows) - b <= slack).all(axis=1) & (x >= low - slack).all(axis=1) & (x <= high + slack).all(axis=1)
 
 
+def proved(rooms: np.ndarray, box: tuple[float, float], least_width: float, least_area: float) -> np.ndarray:
+    """Whether all of ``linear.proof`` holds, for plans of ``linear.snapped`` rooms, whose sides are integers over 2^24 below 2^7.
+
+    They are compared as such, so verdicts are exact; thresholds are rounded up to the next integer.
+    """
+    d, slack = 2**24, 10**6
+    q = (rooms * d).astype(np.int64)
+    (x, y, w, h), n = np.moveaxis(q, -1, 0), rooms.shape[1]
+    right, top = x + w, y + h
+    most = [math.floor(Fraction(v) * d) for v in box]
+    inside = ((x >= 0) & (y >= 0) & (right <= most[0]) & (top <= most[1])).all(axis=1)
+    wide = (np.minimum(w, h) >= math.ceil((Fraction(least_width) - Fraction(1, slack)) * d)).all(axis=1)
+    large = (w * h >= math.ceil((Fraction(least_area) - Fraction(1, slack)) * d * d)).all(axis=1)
+    i, j = np.triu_indices(n, 1)
+    apart = (right[:, i] <= x[:, j]) | (right[:, j] <= x[:, i]) | (top[:, i] <= y[:, j]) | (top[:, j] <= y[:, i])
+    return inside & wide & large & apart.all(axis=1)
+
+
 def daylight(x: np.ndarray, deg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The analytic daylight scores of plans and their gradients, by plan and column."""
     value, facade, lit, pull, shallow, s, c = _daylight(x, deg)

@@ -14,7 +14,7 @@ from oblong.operators import linear, together
 from oblong.operators import surrogates as sg
 from oblong.operators.plans import alike, per_matrix, per_plan
 from oblong.plans import derived
-from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH, repaired_alike
+from oblong.plans.plan_queries import BOX, LEAST_AREA, LEAST_WIDTH, TOGETHER, repaired_alike
 from oblong.plans.registry import query
 
 #: Training plans at most; the others are only scored.
@@ -156,31 +156,42 @@ def optimizer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two seeded disturbances of each plan, repaired in full and with one part at a time left out."""
 
-    def runs(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> list[tuple]:
-        keys, cases, out = [], [], []
-        for plan, a, b in zip(plans.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
-            for start in (0, 1):
-                seed = int.from_bytes(hashlib.sha256(f"{SEED}:{plan}:{start}".encode()).digest()[:8], "little")
-                case = matrix[a:b] + np.random.default_rng(seed).normal(0, 0.3, (b - a, 4))
-                case[:, 2:] = np.maximum(case[:, 2:], 0.1)
-                keys.append((plan, start))
-                cases.append(case)
-        layouts, least = [linear.layout(c, BOX, LEAST_WIDTH) for c in cases], [np.full(len(c), LEAST_AREA) for c in cases]
-        given = [c.ravel() for c in cases]
-        bares = linear.nearest_many(layouts, given)  # first: cuts extend the layouts
-        wholes = linear.nearest_many(layouts, given, least)
-        for (plan, start), case, areas, whole, bare in zip(keys, cases, least, wholes, bares, strict=True):
-            deg = _azimuth(plan)
-            for name, s, fall in (("full", whole, True), ("no areas", bare, True), ("no fallback", whole, False)):
-                after = linear.snapped(s.x) if s.x is not None else linear.naive_repair(case, BOX) if fall else None
-                if after is None:
-                    out.append((plan, start, name, s.status, False, None, None))
-                    continue
-                valid = all(linear.proof(after, BOX, LEAST_WIDTH, areas).values())
-                out.append((plan, start, name, s.status, valid, float(np.abs(after - case).max()), linear.daylight(after.ravel(), deg)[0]))
-        return out
+    def runs(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> tuple:
+        found = []
+        for own, held in alike(matrix, ends):
+            most = min(1024, max(1, TOGETHER // held.shape[1] ** 2)) // 2 + 1  # two starts a plan
+            found += [ablated(plans[own[k : k + most]], held[k : k + most]) for k in range(0, len(own), most)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    return per_matrix(derived.rooms(spark, sf_dir), runs, "plan_id long, start long, config string, status string, valid boolean, moved double, score double", many=True)
+    def disturbance(plan: int, start: int, rooms: int) -> np.ndarray:
+        seed = int.from_bytes(hashlib.sha256(f"{SEED}:{plan}:{start}".encode()).digest()[:8], "little")
+        return np.random.default_rng(seed).normal(0, 0.3, (rooms, 4))
+
+    def ablated(plans: np.ndarray, rooms: np.ndarray) -> tuple:
+        n, count, starts = rooms.shape[1], 2 * len(plans), np.tile([0, 1], len(plans))
+        keys = np.repeat(plans, 2)
+        cases = np.repeat(rooms, 2, axis=0) + np.stack([disturbance(p, s, n) for p, s in zip(keys.tolist(), starts.tolist(), strict=True)])
+        cases[:, :, 2:] = np.maximum(cases[:, :, 2:], 0.1)
+        a, b, rows = together.layouts(cases, BOX)
+        low, high = np.tile([0.0, 0.0, LEAST_WIDTH, LEAST_WIDTH], (count, n)), np.tile([*BOX, *BOX], (count, n)).astype(float)
+        bare, whole = (together.nearest_with_areas(a, b, rows, low, high, cases.reshape(count, -1), np.full((count, n), least)) for least in (0.0, LEAST_AREA))
+        deg, placed, out = np.array([_azimuth(p) for p in keys.tolist()]), {}, []
+        for name, (status, points), fall in (("full", whole, True), ("no areas", bare, True), ("no fallback", whole, False)):
+            solved = status == "optimal"
+            after = linear.snapped(points).reshape(count, n, 4)
+            valid = together.proved(after, BOX, LEAST_WIDTH, LEAST_AREA)
+            for k in np.flatnonzero(~solved).tolist() if fall else ():
+                if k not in placed:
+                    own = linear.naive_repair(cases[k], BOX)
+                    placed[k] = own, all(linear.proof(own, BOX, LEAST_WIDTH, np.full(n, LEAST_AREA)).values())
+                after[k], valid[k] = placed[k]
+            told = solved | fall
+            moved, score = np.abs(after - cases).max(axis=(1, 2)), together.daylight(after.reshape(count, -1), deg)[0]
+            out.append((keys, starts, np.full(count, name, dtype=object), status.astype(object), valid & told, np.where(told, moved, None), np.where(told, score, None)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    schema = "plan_id long, start long, config string, status string, valid boolean, moved double, score double"
+    return per_matrix(derived.rooms(spark, sf_dir), runs, schema, many=True, least=60_000)
 
 
 @query()
