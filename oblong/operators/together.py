@@ -134,6 +134,38 @@ def proved(rooms: np.ndarray, box: tuple[float, float], least_width: float, leas
     return inside & wide & large & apart.all(axis=1)
 
 
+def only_gaps(rooms: np.ndarray, box: tuple[float, float], least_width: float, least_area: float, budget: float) -> np.ndarray:
+    """Whether ``repair.legalize`` would refuse a plan for gaps and for nothing else, exactly proved; what is not sure counts as no.
+
+    Repaired rooms that neither overlap nor leave the box cover it if, and only if, their areas add up to that of the box.
+    """
+    count, n, _ = rooms.shape
+    given = rooms.reshape(count, -1)
+    low = np.maximum(np.tile([0.0, 0.0, least_width, least_width], n), given - budget)
+    high = np.minimum(np.tile([*box, *box], n), given + budget)
+    out, bounded = np.zeros(count, dtype=bool), np.flatnonzero(np.isfinite(given).all(axis=1) & (low <= high).all(axis=1) & (rooms[:, :, 2:] > 0).all(axis=(1, 2)))
+    if not len(bounded) or max(box) >= 128:
+        return out
+    rooms, given, low, high = rooms[bounded], given[bounded], low[bounded], high[bounded]
+    a, b, rows = layouts(rooms, box)
+    status, points = nearest_with_areas(a, b, rows, low, high, given, np.full((len(rooms), n), least_area))
+    x, y, w, h = np.moveaxis(points.reshape(-1, n, 4), -1, 0)
+    sides = np.stack((x, x + w, y, y + h), axis=2)  # as in repair.exact_sides
+    exact = np.round(sides * 2**24) / 2**24
+    for axis in (0, 1):
+        for value in (0.0, box[axis]):
+            own = slice(2 * axis, 2 * axis + 2)
+            exact[:, :, own] = np.where(np.abs(sides[:, :, own] - value) <= 1e-6, value, exact[:, :, own])
+    left, right, bottom, top = np.moveaxis(exact, -1, 0)
+    after = np.stack((left, bottom, right - left, top - bottom), axis=2)
+    near = np.abs(after - rooms).max(axis=(1, 2)) <= budget + 9e-7  # of a millionth that is allowed
+    cells = (after[:, :, 2:] * 2**24).astype(np.int64).prod(axis=2)
+    # Sums that doubles tell apart by far: rooms of a sure gap lack more than rounding takes.
+    short = (cells / 2.0**48).sum(axis=1) < box[0] * box[1] - 1e-6
+    out[bounded] = (status == "optimal") & proved(after, box, least_width, least_area) & near & short
+    return out
+
+
 def daylight(x: np.ndarray, deg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The analytic daylight scores of plans and their gradients, by plan and column."""
     value, facade, lit, pull, shallow, s, c = _daylight(x, deg)

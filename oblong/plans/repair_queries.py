@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.functions import scoring
-from oblong.operators import repair
+from oblong.operators import repair, together
 from oblong.operators.optimizer import AwaySteps, Daylight, Differences, Guarded, PairwiseSteps
 from oblong.operators.plans import alike, per_matrix, per_plan
 from oblong.plans import derived
 from oblong.plans.derived import ROOMS, WALLS
-from oblong.plans.plan_queries import BOX
+from oblong.plans.plan_queries import BOX, TOGETHER
 from oblong.plans.registry import query
 from oblong.sources.tables import table
 
@@ -251,16 +251,28 @@ def optimizer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infeasible_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans in a box with a budget: which rows stand in the way, whether the certificate holds exactly, and what may be dropped."""
 
-    def run(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        rooms = rows[["x", "y", "w", "h"]].to_numpy(float)
-        case = repair.Case(rooms, repair.rectangle(0.0, 0.0, *BOX), 1.0, np.full(len(rooms), 2.0), budget=1.0)
+    least_width, least_area, budget = 1.0, 2.0, 1.0
+
+    def alone(plan: int, rooms: np.ndarray) -> tuple:
+        case = repair.Case(rooms, repair.rectangle(0.0, 0.0, *BOX), least_width, np.full(len(rooms), least_area), budget=budget)
         try:
             o = repair.legalize(case)
-            return [(plan, o.status, "", None, "")]
+            return plan, o.status, "", None, ""
         except repair.Refusal as refusal:
-            return [(plan, refusal.status, refusal.reason, refusal.proved, ",".join(refusal.relaxable))]
+            return plan, refusal.status, refusal.reason, refusal.proved, ",".join(refusal.relaxable)
+
+    def run(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        out = []
+        for own, held in alike(matrix, ends):
+            most = min(1024, max(1, TOGETHER // held.shape[1] ** 2))
+            for k in range(0, len(own), most):
+                rooms, keys = held[k : k + most], plans[own[k : k + most]].tolist()
+                # Most can be repaired but leave gaps, and are told at once; whatever else there is to say is said one by one.
+                gaps = together.only_gaps(rooms, BOX, least_width, least_area, budget)
+                out += [(plan, "gap_needs_tiling", "no_gaps", None, "") if gap else alone(plan, r) for plan, gap, r in zip(keys, gaps.tolist(), rooms, strict=True)]
+        return out
 
-    return per_plan(derived.rooms(spark, sf_dir), run, "plan_id long, status string, reason string, proved boolean, relaxable string", period=1)
+    return per_matrix(derived.rooms(spark, sf_dir), run, "plan_id long, status string, reason string, proved boolean, relaxable string", many=True, least=60_000)
 
 
 _STATES = ("initial", "classic", "optimized")
