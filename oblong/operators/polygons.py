@@ -117,8 +117,15 @@ def outline(rooms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _turns(rooms: np.ndarray, apart: float) -> tuple[list[np.ndarray], np.ndarray]:
     """For many plans of equally many rooms the lines of both axes, ascending, and what turns where two of them cross, as in ``corners_of``."""
+    lines, _, cells = _cells(rooms, apart)
+    return lines, cells[:, 1:, 1:] - cells[:, :-1, 1:] - cells[:, 1:, :-1] + cells[:, :-1, :-1]
+
+
+def _cells(rooms: np.ndarray, apart: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For many plans of equally many rooms the lines of both axes, ascending, which of them are each room's sides (the near ones of all
+    rooms, then the far ones), and whether the cells between lines are covered, with a rim of empty ones."""
     count, n, _ = rooms.shape
-    lines, spans = [], []
+    lines, places, spans = [], [], []
     for k in (0, 1):
         near = rooms[:, :, k]
         sides = np.concatenate((near, near + rooms[:, :, k + 2]), axis=1)
@@ -130,11 +137,37 @@ def _turns(rooms: np.ndarray, apart: float) -> tuple[list[np.ndarray], np.ndarra
         place = np.abs(held[:, None, :] - sides[:, :, None]).argmin(axis=2)
         slab = np.arange(2 * n - 1)
         lines.append(held)
+        places.append(place)
         spans.append((place[:, :n, None] <= slab) & (place[:, n:, None] > slab))
     across, along = (v.astype(np.float32) for v in spans)
     cells = np.zeros((count, 2 * n + 1, 2 * n + 1), dtype=np.int8)
     cells[:, 1:-1, 1:-1] = across.transpose(0, 2, 1) @ along > 0
-    return lines, cells[:, 1:, 1:] - cells[:, :-1, 1:] - cells[:, 1:, :-1] + cells[:, :-1, :-1]
+    return lines, places, cells
+
+
+def ring_counts(rooms: np.ndarray, apart: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(outer rings, holes, their corners, area) of the unions of many plans of equally many rooms, as ``conversion.outline_of`` traces them.
+
+    Rooms that share a side or more hang together; holes follow from Euler's formula on the cells.
+    """
+    count, n, _ = rooms.shape
+    (xs, ys), places, cells = _cells(rooms, apart)
+    f = cells > 0
+    turn = cells[:, 1:, 1:] - cells[:, :-1, 1:] - cells[:, 1:, :-1] + cells[:, :-1, :-1]
+    right, up = f[:, 1:] & f[:, :-1], f[:, :, 1:] & f[:, :, :-1]
+    total = lambda v: v.sum(axis=(1, 2), dtype=np.int64)
+    euler = total(f) - total(right) - total(up) + total(right[:, :, 1:] & right[:, :, :-1])
+    near, far = ([p[:, own] for p in places] for own in (slice(None, n), slice(n, None)))
+    shared = [np.minimum(b[:, :, None], b[:, None]) - np.maximum(a[:, :, None], a[:, None]) for a, b in zip(near, far, strict=True)]
+    held = (far[0] > near[0]) & (far[1] > near[1])
+    reach = (np.minimum(*shared) >= 0) & (np.maximum(*shared) > 0) & held[:, :, None] & held[:, None]
+    for k in range(n):
+        reach |= reach[:, :, k, None] & reach[:, k, None, :]
+    fragments = (held & (reach.argmax(axis=2) == np.arange(n))).sum(axis=1)
+    width, height = (np.diff(v, axis=1, append=np.inf) for v in (np.where(np.isinf(v), np.nan, v) for v in (xs, ys)))
+    width, height = (np.where(np.isfinite(v), v, 0.0)[:, :-1] for v in (width, height))
+    area = np.einsum("pi,pij,pj->p", width, f[:, 1:-1, 1:-1].astype(float), height)
+    return fragments, fragments - euler, np.abs(turn).sum(axis=(1, 2), dtype=np.int64), area
 
 
 def corners_of(rooms: np.ndarray, apart: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
