@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oblong.operators import polygons, tables
-from oblong.operators.plans import per_plan
+from oblong.operators.plans import per_matrix, per_plan
 from oblong.plans import derived
 from oblong.plans.derived import MEASURES, ROOMS, WALLS
 from oblong.plans.registry import query, rounded
@@ -72,11 +72,15 @@ def outline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rooms = derived.rooms(spark, sf_dir).select("plan_id", "room_id", "x", "y", "w", "h")
     paired = rooms.withColumn("side", F.lit(0)).unionByName(rooms.withColumn("plan_id", F.col("plan_id") - 1).withColumn("side", F.lit(1)))
 
-    def distance(plan: int, rows: pd.DataFrame) -> list[tuple]:
-        a, b = polygons.both_sides(rows)
-        return [(plan, polygons.outline_distance(a, b))] if len(a) and len(b) else []
+    def distance(plans: np.ndarray, ids: np.ndarray, matrix: np.ndarray, ends: np.ndarray) -> tuple:
+        plan, second = np.repeat(np.arange(len(plans)), np.diff(ends)), matrix[:, 4] == 1
+        counts = lambda mask: np.bincount(plan[mask], minlength=len(plans))
+        held = [counts(~second), counts(second)]
+        both = (held[0] > 0) & (held[1] > 0)
+        sides = [(matrix[own & both[plan], :4], np.concatenate(([0], np.cumsum(n[both])))) for own, n in zip((~second, second), held, strict=True)]
+        return plans[both], polygons.outline_distances(*sides[0], *sides[1])
 
-    return per_plan(paired, distance, "plan_id long, distance double", ("x", "y", "w", "h", "side"))
+    return per_matrix(paired, distance, "plan_id long, distance double", ("x", "y", "w", "h", "side"), many=True)
 
 
 @query(f"""WITH {MEASURES}, s AS (SELECT r, kind, deg, abs(truth - prediction) / spread AS score, spread, substr(md5(CAST(r AS VARCHAR) || ':' || CAST(cluster AS VARCHAR)), 1, 1) < '8' AS cal FROM measures, (SELECT unnest(range({REPETITIONS})) AS r)),
